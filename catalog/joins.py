@@ -66,7 +66,7 @@ def stage_presence(spark, sf):
 
 
 @query(
-    """with p as (select doc_id, text, unnest([upper(split_part(text, ' ', 1)),
+    """with p as (select doc_id, text, unnest([lower(split_part(text, ' ', 1)),
       'Zed ' || doc_id, right(text, 25), '']) as name from documents)
     select doc_id::varchar as file_id, name, contains(lower(text), lower(name)) as grounded
     from p where name <> ''"""
@@ -75,7 +75,7 @@ def grounded_names(spark, sf):
     # Three people per summary: the first word, someone invented, and the last words.
     docs = transcripts(spark, sf)
     names = [
-        F.upper(F.split_part("text", F.lit(" "), F.lit(1))),
+        F.lower(F.split_part("text", F.lit(" "), F.lit(1))),
         F.concat(F.lit("Zed "), "file_id"),
         F.right("text", F.lit(25)),
         F.lit(""),

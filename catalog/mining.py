@@ -46,7 +46,7 @@ CUES = {
 
 
 def _cue_sql(kind: str, column: str) -> str:
-    body = "|".join(CUES[kind])
+    body = "|".join(CUES[kind]).replace(" ", r"[^\p{L}\p{N}]+")
     return rf"regexp_matches(lower({column}), '(^|[^\p{{L}}\p{{N}}])({body})([^\p{{L}}\p{{N}}]|$)')"
 
 

@@ -57,9 +57,13 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def escaped(text: Column) -> Column:
-    """Text as it stands between the quotes of a JSON string."""
-    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+BREAKS = (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def escaped(text: Column, breaks=BREAKS) -> Column:
+    """Text as it stands between the quotes of a JSON string; without ``breaks``, line
+    breaks are left as they are."""
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), *breaks):
         text = F.replace(text, F.lit(plain), F.lit(written))
     return text
 

@@ -71,11 +71,13 @@ def _replies_sql() -> str:
 REPLIES = _replies_sql()
 BLOCKS = rf"""
 select *, nullif(regexp_extract(reply, '\{{.*\}}', 0, 's'), '') as block from ({REPLIES})"""
+# DuckDB takes a comma before the closing brace; JSON does not.
 # json_type of a key that is absent is null; of a null value it is 'NULL'.
 CHECKED = f"""
 select *, coalesce(try(json_type(good_block, '$.title')), 'VARCHAR') as title_type,
   coalesce(try(json_type(good_block, '$.date')), 'VARCHAR') as date_type
-from (select *, case when json_valid(block) then block end as good_block from ({BLOCKS}))"""
+from (select *, case when json_valid(block) and not regexp_matches(block, ',\\s*\\}}')
+    then block end as good_block from ({BLOCKS}))"""
 NAMED = f"""
 select *, good_block is not null and title_type = 'VARCHAR' and date_type = 'VARCHAR' as accepted,
   coalesce(good_block ->> '$.title', 'untitled') as title,
@@ -110,14 +112,14 @@ def parse_summary_strict(spark, sf):
     f"""select file_id, not accepted as failed,
     case when good_block is not null and title_type = 'VARCHAR' then title end as title,
     case when good_block is not null and date_type = 'VARCHAR' then date end as date
-    from ({NAMED}) where good_block is not null"""
+    from ({NAMED})"""
 )
 def title_date_defaults(spark, sf):
     parsed = replies(spark, sf).withColumn(
         "v", fn.parse_summary_strict(fn.extract_json_block(F.col("reply")))
     )
     title, date, failed = fn.title_date_defaults(F.col("v"))
-    return parsed.where(F.col("v").isNotNull()).select(
+    return parsed.select(
         "file_id", title.alias("title"), date.alias("date"), failed.alias("failed")
     )
 

@@ -57,7 +57,7 @@ def archived_transcripts(spark, sf):
       case when length(text) % 4 < 3 then 'success' else 'failed' end as status,
       case when length(text) % 4 < 3 then '' else 'Summary generation failed (see logs for detail)'
         end as error,
-      case when length(text) % 4 < 3 then '2024-03-01_Notes_of_' || length(text)
+      case when length(text) % 4 < 3 then '2024_03_01_Notes_of_' || length(text)
         || '_characters.json' end as output_filename
     from documents"""
 )

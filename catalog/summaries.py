@@ -43,7 +43,7 @@ def stored(spark, sf):
         "src": F.col("user_folder_id"),
         "lang": F.col("lang"),
         "t": escaped(F.col("text")),
-        "raw": F.col("text"),
+        "raw": escaped(F.col("text"), breaks=()),
         "day": F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"),
     }
     body = F.lit("")

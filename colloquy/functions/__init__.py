@@ -17,6 +17,7 @@ from .text import (
     paragraphs,
     sanitize_filename,
     sentences,
+    spaced_words,
     summary_filename,
     tokens,
 )
@@ -34,6 +35,7 @@ __all__ = [
     "parse_summary_strict",
     "sanitize_filename",
     "sentences",
+    "spaced_words",
     "summary_filename",
     "summary_unwrap",
     "title_date_defaults",

@@ -28,7 +28,8 @@ def _text_or_default(v: Column, key: str, default: str) -> tuple[Column, Column]
     kind = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
     value = F.try_variant_get(v, f"$.{key}", "string")
     failed = kind.isNotNull() & (kind != "STRING")
-    return F.when(kind.isNull(), F.lit(default)).when(kind == "STRING", value), failed
+    text = F.when(kind.isNull(), F.lit(default)).when(kind == "STRING", value)
+    return F.when(v.isNotNull(), text), failed
 
 
 def title_date_defaults(v: Column) -> tuple[Column, Column, Column]:

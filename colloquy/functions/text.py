@@ -14,14 +14,21 @@ WS = (
 )
 NOT_NAME = rf"[^\p{{L}}\p{{N}}_{WS}-]"
 GAPS = rf"[{WS}-]+"
+WORD = r"\p{L}\p{N}_"
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
 TOKEN = r"[\p{L}\p{N}]+"
+NO_TOKEN = r"[^\p{L}\p{N}]+"
 
 
 def sanitize_filename(c: Column, n: int = 80) -> Column:
-    """Keep word characters, turn runs of white space or '-' into '_', cut to n characters."""
-    kept = F.regexp_replace(c, NOT_NAME, "")
+    """Keep word characters, turn runs of white space or '-' into '_', cut to n characters.
+
+    Each word character is one character of the result, so nothing behind the n-th can
+    matter. The text is cut there first, with what follows up to the next word character.
+    """
+    needed = F.regexp_extract(c, rf"^(?:[^{WORD}]*+[{WORD}]){{0,{n}}}+[^{WORD}]*+", 0)
+    kept = F.regexp_replace(needed, NOT_NAME, "")
     return F.substring(F.regexp_replace(kept, GAPS, "_"), 1, n)
 
 
@@ -72,8 +79,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def mentions(text: Column, phrases) -> Column:
-    """True where any of the phrases occurs as whole words, whatever its case."""
-    body = "|".join(re.escape(p.lower()) for p in phrases)
-    pattern = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{body})(?:[^\p{{L}}\p{{N}}]|$)"
-    return F.regexp_like(F.lower(text), F.lit(pattern))
+def spaced_words(text: Column) -> Column:
+    """The words of a text in lower case, one space before and after each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), NO_TOKEN, " "), F.lit(" "))
+
+
+def mentions(spaced: Column, phrases) -> Column:
+    """True where any of the phrases occurs as whole words in the result of ``spaced_words``.
+
+    Only words count: what stands between them, in text or phrase, does not.
+    """
+    found = F.lit(False)
+    for phrase in phrases:
+        words = re.findall(r"[^\W_]+", phrase.lower())
+        found = found | F.contains(spaced, F.lit(f" {' '.join(words)} "))
+    return found

@@ -8,6 +8,7 @@ from ..schemas import ITEM_FIELDS, ITEM_SECTIONS
 from ..skew import top_per_key
 
 SCORE = r"^([1-9]|10)$"
+ITEM = "section: string, pos: int, item_json: string"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
@@ -26,7 +27,7 @@ def _score(c: Column) -> Column:
 
 
 def _day(c: Column) -> Column:
-    return F.when(F.regexp_like(c, F.lit(ISO_DATE)), F.try_to_date(c, "yyyy-MM-dd"))
+    return F.when(F.regexp_like(c, F.lit(ISO_DATE)), c.try_cast("date"))
 
 
 def action_items_flatten(
@@ -42,28 +43,25 @@ def action_items_flatten(
     layout = ", ".join(f"`{s}` array<string>" for s in sections)
     flag = f"{assistant_slug(assistant_name)}_reference"
     # A field that is absent or null in the item is null here.
-    fields = ", ".join(f"`{f}` string" for f in (*ITEM_FIELDS, flag))
+    fields = ", ".join(f"`{f}`: string" for f in (*ITEM_FIELDS, flag))
+
+    def tagged_items(section: str) -> Column:
+        # The item is parsed here, once: from_json below a projection is repeated per field.
+        tagged = F.transform(
+            F.col("_s")[section],
+            lambda item, i: F.struct(
+                F.lit(section).alias("section"),
+                i.alias("pos"),
+                item.alias("item_json"),
+                F.from_json(item, f"struct<{fields}>", STRICT).alias("_i"),
+            ),
+        )
+        nothing = F.expr(f"cast(array() as array<struct<{ITEM}, _i: struct<{fields}>>>)")
+        return F.coalesce(tagged, nothing)
 
     listed = df.select("file_id", F.from_json(F.col(col), layout, STRICT).alias("_s"))
-    tagged = F.flatten(
-        F.array(
-            *[
-                F.coalesce(
-                    F.transform(
-                        F.col("_s")[s],
-                        lambda item, i, s=s: F.struct(
-                            F.lit(s).alias("section"), i.alias("pos"), item.alias("item_json")
-                        ),
-                    ),
-                    F.expr("cast(array() as array<struct<section:string,pos:int,item_json:string>>)"),
-                )
-                for s in sections
-            ]
-        )
-    )
-    rows = listed.select("file_id", F.inline(tagged)).withColumn(
-        "_i", F.from_json("item_json", fields, STRICT)
-    )
+    items = F.concat(*[tagged_items(s) for s in sections])
+    rows = listed.select("file_id", F.inline(items))
     field = F.col("_i")
     return rows.select(
         "file_id",
@@ -105,12 +103,18 @@ def action_item_validate(items: DataFrame, assistant_name: str) -> DataFrame:
     def has(name: str) -> Column:
         return F.array_contains("_keys", name)
 
-    violations = F.concat(
+    fields = F.concat(
         F.transform(
             F.array_except("_expected", "_keys"), lambda k: F.concat(F.lit("missing:"), k)
         ),
         F.transform(F.array_except("_keys", "_expected"), lambda k: F.concat(F.lit("extra:"), k)),
         rule(given != known, "order"),
+    )
+    violations = F.concat(
+        # Most items have just the fields they should.
+        F.when(F.col("_keys") == F.col("_expected"), F.array().cast("array<string>")).otherwise(
+            fields
+        ),
         rule(has("urgency_score") & F.col("urgency").isNull(), "urgency_score"),
         rule(has("priority_score") & F.col("priority").isNull(), "priority_score"),
         rule(has("due_date") & F.col("due_date").isNull(), "due_date"),

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import error_count, log_tail
 from ..schemas import REPORT_HEAD, REPORT_RULE, RUN_START
-from ..skew import running, top_per_key
+from ..skew import computed_once, running, top_per_key
 
 # The line formats of the log.
-STRUCTURED = r"(?s)^([0-9-]{10} [0-9:]{8},[0-9]{3}) - ([A-Z]+) - (\S+) - (.*)$"
-SCHEDULER = r"(?s)^([0-9-]{10}T[0-9:]{8}(?:\.[0-9]{1,6})?): (.*)$"
+STRUCTURED = r"^[0-9-]{10} [0-9:]{8},[0-9]{3} - [A-Z]+ - \S+ - "
+SCHEDULER = r"^[0-9-]{10}T[0-9:]{8}(\.[0-9]{1,6})?: "
 STARTING = r"^Starting '(.*)'$"
 COMPLETED = r"^Completed '(.*)' in ([0-9]+\.[0-9]{2})s$"
 
@@ -27,41 +27,42 @@ OUTCOMES = {
 
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Adds ``kind, ts, level, func, message, step, phase, seconds`` to lines of a log."""
-    structured = F.regexp_like("line", F.lit(STRUCTURED))
-    scheduler = F.regexp_like("line", F.lit(SCHEDULER))
-    kinds = lines.withColumn(
-        "kind", F.when(structured, "structured").when(scheduler, "scheduler").otherwise("plain")
-    )
-    is_structured, is_scheduler = F.col("kind") == "structured", F.col("kind") == "scheduler"
-    stamp = F.when(
-        is_structured, F.translate(F.regexp_extract("line", STRUCTURED, 1), ",", ".")
-    ).when(is_scheduler, F.regexp_extract("line", SCHEDULER, 1))
-    message = (
-        F.when(is_structured, F.regexp_extract("line", STRUCTURED, 4))
-        .when(is_scheduler, F.regexp_extract("line", SCHEDULER, 2))
-        .otherwise(F.col("line"))
-    )
-    typed = kinds.withColumns(
+    kind = (
+        F.when(F.regexp_like("line", F.lit(STRUCTURED)), "structured")
+        .when(F.regexp_like("line", F.lit(SCHEDULER)), "scheduler")
+        .otherwise("plain")
+    )
+    structured, scheduler = F.col("kind") == "structured", F.col("kind") == "scheduler"
+    # No field before the message can hold the text between the fields.
+    parts = F.when(structured, F.split("line", " - ", 4)).when(
+        scheduler, F.split("line", ": ", 2)
+    )
+    cut = lines.withColumn("kind", kind).withColumn("_parts", parts)
+    part = F.col("_parts")
+    message = F.when(structured, part[3]).when(scheduler, part[1]).otherwise(F.col("line"))
+    worded = cut.withColumn("message", message)
+    starting = structured & F.startswith("message", F.lit("Starting '"))
+    completed = structured & F.startswith("message", F.lit("Completed '"))
+    phase = F.when(starting & F.regexp_like("message", F.lit(STARTING)), "start").when(
+        completed & F.regexp_like("message", F.lit(COMPLETED)), "complete"
+    )
+    phased = worded.withColumn("phase", phase)
+    start, complete = F.col("phase") == "start", F.col("phase") == "complete"
+    return computed_once(
+        phased,
+        [*lines.columns, "kind", "message", "phase"],
         {
-            "ts": stamp.try_cast("timestamp_ntz"),
-            "level": F.when(is_structured, F.regexp_extract("line", STRUCTURED, 2)),
-            "func": F.when(is_structured, F.regexp_extract("line", STRUCTURED, 3)),
-            "message": message,
-        }
-    )
-    phase = F.when(
-        is_structured & F.regexp_like("message", F.lit(STARTING)), "start"
-    ).when(is_structured & F.regexp_like("message", F.lit(COMPLETED)), "complete")
-    return typed.withColumn("phase", phase).withColumns(
-        {
-            "step": F.when(F.col("phase") == "start", F.regexp_extract("message", STARTING, 1)).when(
-                F.col("phase") == "complete", F.regexp_extract("message", COMPLETED, 1)
+            "ts": F.translate(part[0], ",", ".").try_cast("timestamp_ntz"),
+            "level": F.when(structured, part[1]),
+            "func": F.when(structured, part[2]),
+            "step": F.when(start, F.regexp_extract("message", STARTING, 1)).when(
+                complete, F.regexp_extract("message", COMPLETED, 1)
             ),
             # Two decimals, as the log writes them.
-            "seconds": F.when(
-                F.col("phase") == "complete", F.regexp_extract("message", COMPLETED, 2)
-            ).try_cast("double"),
-        }
+            "seconds": F.when(complete, F.regexp_extract("message", COMPLETED, 2)).try_cast(
+                "double"
+            ),
+        },
     )
 
 
@@ -138,8 +139,8 @@ def step_duration_stats(logs: DataFrame) -> DataFrame:
     return values.groupBy("step").agg(
         F.sum("n").alias("calls"),
         F.round(F.sum(F.col("seconds") * F.col("n")) / F.sum("n"), 4).alias("mean_seconds"),
-        F.round(F.percentile("seconds", 0.5, "n"), 4).alias("p50_seconds"),
-        F.round(F.percentile("seconds", 0.95, "n"), 4).alias("p95_seconds"),
+        F.round(F.percentile("seconds", 0.5, F.col("n")), 4).alias("p50_seconds"),
+        F.round(F.percentile("seconds", 0.95, F.col("n")), 4).alias("p95_seconds"),
         F.max("seconds").alias("max_seconds"),
     )
 

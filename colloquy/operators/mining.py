@@ -3,8 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import mentions, paragraphs, sentences, tokens
-from ..skew import salted_join, top_per_key
+from ..functions.text import mentions, paragraphs, sentences, spaced_words, tokens
+from ..skew import SALTS, top_per_key
+
+# Share of the files from which on a term counts as frequent.
+FREQUENT = 0.005
 
 # Cue phrases in plain English; callers bring their own for other languages.
 CUES = {
@@ -23,16 +26,14 @@ def transcript_segments(df: DataFrame, unit: str = "sentence") -> DataFrame:
     )
 
 
-def _kinds(text: Column, cues: dict[str, list[str]], question_mark: str | None) -> Column:
-    found = [
-        F.when(
-            mentions(text, phrases)
-            | (F.endswith(text, F.lit("?")) if kind == question_mark else F.lit(False)),
-            F.lit(kind),
-        )
-        for kind, phrases in cues.items()
-    ]
-    return F.array_compact(F.array(*found))
+def _kinds(text: Column, words: Column, cues, question_mark: str | None) -> Column:
+    def found(kind: str, phrases: list[str]) -> Column:
+        said = mentions(words, phrases)
+        return said | F.endswith(text, F.lit("?")) if kind == question_mark else said
+
+    return F.array_compact(
+        F.array(*[F.when(found(kind, phrases), kind) for kind, phrases in cues.items()])
+    )
 
 
 def cue_extract(
@@ -43,10 +44,12 @@ def cue_extract(
 ) -> DataFrame:
     """One row per segment and kind of cue found in it.
 
-    The phrases become one pattern per kind, tested where the segment is. A segment that
-    ends with a question mark also counts as the kind named by ``question_mark``.
+    The phrases are tested where the segment is; nothing is joined. A segment that ends
+    with a question mark also counts as the kind named by ``question_mark``.
     """
-    return segments.withColumn("kind", F.explode(_kinds(F.col(text), cues, question_mark)))
+    spaced = segments.withColumn("_words", spaced_words(F.col(text)))
+    kinds = _kinds(F.col(text), F.col("_words"), cues, question_mark)
+    return spaced.withColumn("kind", F.explode(kinds)).drop("_words")
 
 
 def document_terms(df: DataFrame) -> DataFrame:
@@ -64,17 +67,45 @@ def document_frequency(df: DataFrame) -> DataFrame:
     return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _idf(df: DataFrame) -> DataFrame:
-    files = df.agg(F.count("*"))
-    weight = F.log(files.scalar() / F.col("df"))
-    return document_frequency(df).select("term", weight.alias("idf"))
+def _by_file(df: DataFrame) -> DataFrame:
+    """Each transcript moved once, so that nothing about its words has to be.
+
+    The words of a text, each with its file, are more than the text. A row is one file, so
+    no file can overload a task by having many rows.
+    """
+    return df.select("file_id", "text").repartition("file_id")
+
+
+def with_idf(terms: DataFrame, texts: DataFrame, files: Column) -> DataFrame:
+    """Adds ``idf`` to rows of ``file_id, term``; ``files`` is the number of files.
+
+    A frequent term has a row in a large share of the files. Those in more than
+    ``FREQUENT`` of them are spread over ``SALTS`` groups by file, and only they are: the
+    many rare terms are not copied. If a file has 1,000 different terms on average, at most
+    1,000 / FREQUENT terms can be that frequent, however many files there are, so their
+    list is broadcast.
+    """
+    frequency = document_frequency(texts)
+    frequent = F.col("df") > files * F.lit(FREQUENT)
+    listed = frequency.where(frequent).select("term", F.lit(True).alias("_frequent"))
+    copies = F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    weights = frequency.select(
+        "term", F.log(files / F.col("df")).alias("idf"), F.explode(copies).alias("_salt")
+    )
+    spread = F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int")
+    salted = terms.join(F.broadcast(listed), "term", "left").withColumn(
+        "_salt", F.when(F.col("_frequent"), spread).otherwise(0)
+    )
+    return salted.join(weights, ["term", "_salt"]).drop("_salt", "_frequent")
 
 
 def key_terms(df: DataFrame, k: int) -> DataFrame:
     """The k terms of each file with the highest tf-idf: ``file_id, term, score, rank``."""
-    scored = salted_join(
-        document_terms(df), _idf(df), ["term"], "inner", spread=["file_id"]
-    ).select("file_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score"))
+    texts = _by_file(df)
+    files = df.agg(F.count("*")).scalar()
+    scored = with_idf(document_terms(texts), texts, files).select(
+        "file_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
+    )
     order = [F.desc("score"), F.asc("term")]
     return top_per_key(scored, ["file_id"], order, k, "rank", spread=["term"])
 
@@ -87,19 +118,18 @@ def extractive_summary(df: DataFrame, k: int) -> DataFrame:
     of the chosen sentences are cut from the transcript at the end and are not shuffled
     with the terms. A file without words gives no rows.
     """
-    numbered = df.select(
+    texts = _by_file(df)
+    numbered = texts.select(
         "file_id", F.posexplode(F.transform(sentences(F.col("text")), tokens)).alias("pos", "words")
     )
     words = numbered.select("file_id", (F.col("pos") + 1).alias("pos"), F.explode("words").alias("term"))
-    per_sentence = words.groupBy("file_id", "term", "pos").agg(F.count("*").alias("n"))
-    per_file = per_sentence.groupBy("file_id", "term").agg(
-        F.sum("n").alias("tf"), F.collect_list(F.struct("pos", "n")).alias("places")
-    )
-    weighted = salted_join(per_file, _idf(df), ["term"], "inner", spread=["file_id"])
+    places = words.groupBy("file_id", "term").agg(F.collect_list("pos").alias("places"))
+    weight = F.size("places") * F.col("idf")
     scores = (
-        weighted.select("file_id", (F.col("tf") * F.col("idf")).alias("weight"), F.inline("places"))
+        with_idf(places, texts, df.agg(F.count("*")).scalar())
+        .select("file_id", weight.alias("weight"), F.explode("places").alias("pos"))
         .groupBy("file_id", "pos")
-        .agg(F.round(F.sum(F.col("weight") * F.col("n")) / F.sum("n"), 6).alias("score"))
+        .agg(F.round(F.avg("weight"), 6).alias("score"))
     )
     order = [F.desc("score"), F.asc("pos")]
     chosen = (
@@ -107,7 +137,7 @@ def extractive_summary(df: DataFrame, k: int) -> DataFrame:
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("chosen"))
     )
-    texts = df.select("file_id", "text")
+    # The same texts, moved the same way: Spark takes them from the first shuffle.
     found = chosen.join(texts, "file_id").withColumn("_s", sentences(F.col("text")))
     picked = F.transform(
         "chosen",
@@ -122,7 +152,7 @@ def assistant_mentions(df: DataFrame, name: str) -> DataFrame:
     Without a mention ``positions`` is an empty array.
     """
     named = F.transform(
-        sentences(F.col("text")), lambda s, i: F.when(mentions(s, [name]), i + 1)
+        sentences(F.col("text")), lambda s, i: F.when(mentions(spaced_words(s), [name]), i + 1)
     )
     positions = F.coalesce(F.array_compact(named), F.array().cast("array<int>"))
     return df.select("file_id", positions.alias("positions")).withColumn(

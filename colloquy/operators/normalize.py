@@ -124,7 +124,7 @@ def summary_normalize(df: DataFrame, col: str = "v") -> DataFrame:
     )
     full_date = F.when(
         F.regexp_like("date_raw", F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")),
-        F.try_to_date("date_raw", "yyyy-MM-dd"),
+        F.col("date_raw").try_cast("date"),
     )
     return (
         typed.withColumn("date", full_date)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.json import extract_json_block, parse_summary_strict, title_date_defaults
 from ..functions.text import summary_filename
 from ..schemas import DOCUMENT_MIME, LEDGER
+from ..skew import computed_once
 
 
 def document_type_filter(df: DataFrame, mime: str = DOCUMENT_MIME) -> DataFrame:
@@ -25,13 +26,15 @@ def accept_replies(replies: DataFrame) -> DataFrame:
     parsed = cut.withColumn("_v", parse_summary_strict(F.col("_json")))
     title, date, failed = title_date_defaults(F.col("_v"))
     checked = parsed.withColumn("_ok", ~failed).withColumn("_title", title).withColumn("_date", date)
-    return checked.select(
-        *replies.columns,
-        F.when(F.col("_ok"), F.col("_json")).alias("json_content"),
-        F.when(F.col("_ok"), F.col("_v")).alias("v"),
-        F.when(F.col("_ok"), summary_filename(F.col("_date"), F.col("_title"))).alias(
-            "output_filename"
-        ),
+    name = summary_filename(F.col("_date"), F.col("_title"))
+    return computed_once(
+        checked,
+        replies.columns,
+        {
+            "json_content": F.when(F.col("_ok"), F.col("_json")),
+            "v": F.when(F.col("_ok"), F.col("_v")),
+            "output_filename": F.when(F.col("_ok"), name),
+        },
     )
 
 
@@ -102,5 +105,5 @@ def latest_summary(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
 
 def first_match(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """The first ``value`` per key in a stated order."""
-    first = F.min(F.struct(*order, value))[value]
+    first = F.min(F.struct(*order, F.col(value).alias("_value")))["_value"]
     return df.groupBy(*keys).agg(first.alias(value))

@@ -1,4 +1,5 @@
-"""Joins and running totals that hold when one key has a large share of the rows."""
+"""Plan shapes: joins, totals and top rows that hold when one key has a large share of the
+rows, and values that are computed once."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -7,6 +8,17 @@ SALTS = 16
 BLOCK = 100_000
 
 
+def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` and the new columns, whose values later steps read and do not work out again.
+
+    A filter on a computed column is otherwise pushed below the projection, with a second
+    copy of what it takes to compute it. Spark pushes nothing through a generator, so the
+    columns go through one that makes one row of one row.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def salted_join(
     big: DataFrame,
     keyed: DataFrame,

@@ -18,7 +18,7 @@ def read_job_log(spark: SparkSession, path: str, default: str = NO_LOG) -> DataF
     This is for logs that fit in a cell; ``read_log_lines`` reads logs of any size.
     """
     try:
-        files = spark.read.option("wholetext", "true").text(path)
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if not _missing(error):
             raise

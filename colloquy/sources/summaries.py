@@ -8,7 +8,7 @@ from ..functions.json import summary_unwrap
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Stored replies, one per file: ``file_id, raw, v``."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(
         F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("raw")
     ).withColumn("v", summary_unwrap(F.col("raw")))

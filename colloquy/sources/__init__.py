@@ -5,10 +5,16 @@ from .ledger import append_ledger, read_ledger
 from .logfiles import read_job_log, read_log_lines
 from .probe import read_probe
 from .summaries import read_summaries, write_summaries
-from .transcripts import decode_transcripts, scan_transcripts, write_transcript_text
+from .transcripts import (
+    attach_texts,
+    decode_transcripts,
+    scan_transcripts,
+    write_transcript_text,
+)
 
 __all__ = [
     "append_ledger",
+    "attach_texts",
     "decode_transcripts",
     "inventory_report",
     "list_transcripts",

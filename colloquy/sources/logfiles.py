@@ -15,7 +15,8 @@ def _missing(error: AnalysisException) -> bool:
 def read_job_log(spark: SparkSession, path: str, default: str = NO_LOG) -> DataFrame:
     """Each log file whole: ``log_file, text``. A missing log is one row with ``default``.
 
-    This is for logs that fit in a cell; ``read_log_lines`` reads logs of any size.
+    This is for logs that fit in a cell; ``read_log_lines`` reads logs of any size. A log of
+    zero bytes is passed over by Spark's readers.
     """
     try:
         files = spark.read.text(path, wholetext=True)

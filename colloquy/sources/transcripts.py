@@ -15,7 +15,10 @@ def decode_transcripts(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole transcript files below ``path``, laid out as ``<user folder>/<file name>``."""
+    """Whole transcript files below ``path``, laid out as ``<user folder>/<file name>``.
+
+    Spark's readers pass over files of zero bytes; ``attach_texts`` keeps those that are listed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parts = F.split("path", "/")
     return decode_transcripts(
@@ -29,6 +32,11 @@ def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def attach_texts(listed: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Every listed file with its text; null where there is no body for it."""
+    return listed.join(bodies.select("file_id", "text"), "file_id", "left")
+
+
 def write_transcript_text(df: DataFrame, path: str, per_file: bool = False) -> None:
     """Store transcripts: Parquet by default, one text folder per file only when asked.
 

@@ -8,6 +8,7 @@ from colloquy.operators import (
     action_item_validate,
     action_items_flatten,
 )
+from colloquy.skew import use_all_cores
 
 from .registry import query, table
 
@@ -53,7 +54,7 @@ def _tail_column(tail: str):
 
 
 def _orders(spark, sf):
-    return table(spark, sf, "orders").select(
+    return use_all_cores(table(spark, sf, "orders"), "o_orderkey").select(
         F.col("o_orderkey").cast("string").alias("file_id"),
         (F.col("o_orderkey") % 11).alias("fault"),
         (F.col("o_orderkey") % 4).alias("shape"),

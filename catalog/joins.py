@@ -73,7 +73,7 @@ def stage_presence(spark, sf):
 )
 def grounded_names(spark, sf):
     # Three people per summary: the first word, someone invented, and the last words.
-    docs = transcripts(spark, sf)
+    docs = transcripts(spark, sf, costly=True)
     names = [
         F.lower(F.split_part("text", F.lit(" "), F.lit(1))),
         F.concat(F.lit("Zed "), "file_id"),

@@ -21,7 +21,7 @@ from (select doc_id, {SENTENCES} as s from documents)"""
 
 @query(f"select file_id, pos::int as pos, md5(segment) as segment_md5 from ({NUMBERED})")
 def sentence_segments(spark, sf):
-    cut = transcript_segments(transcripts(spark, sf))
+    cut = transcript_segments(transcripts(spark, sf, costly=True))
     return cut.select("file_id", "pos", F.md5("segment").alias("segment_md5"))
 
 
@@ -32,7 +32,7 @@ def sentence_segments(spark, sf):
         lambda s: trim(s)), lambda s: s <> '') as s from documents))"""
 )
 def paragraph_segments(spark, sf):
-    cut = transcript_segments(transcripts(spark, sf), "paragraph")
+    cut = transcript_segments(transcripts(spark, sf, costly=True), "paragraph")
     return cut.select("file_id", "pos", F.md5("segment").alias("segment_md5"))
 
 
@@ -59,7 +59,7 @@ def _cue_sql(kind: str, column: str) -> str:
     )
 )
 def cue_sentences(spark, sf):
-    found = cue_extract(transcript_segments(transcripts(spark, sf)), CUES)
+    found = cue_extract(transcript_segments(transcripts(spark, sf, costly=True)), CUES)
     return found.select("file_id", "pos", "kind", F.md5("segment").alias("segment_md5"))
 
 
@@ -105,7 +105,7 @@ def summary_sentences(spark, sf):
       lambda i: i is not null) as p from documents)"""
 )
 def assistant_mention_table(spark, sf):
-    found = assistant_mentions(transcripts(spark, sf), "Those")
+    found = assistant_mentions(transcripts(spark, sf, costly=True), "Those")
     return found.select(
         "file_id", "mentioned", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")
     )

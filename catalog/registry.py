@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy import configure
 from colloquy.schemas import DOCUMENT_MIME
+from colloquy.skew import use_all_cores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +34,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def transcripts(spark: SparkSession, sf: str) -> DataFrame:
+def transcripts(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
     """``documents`` as transcripts: the source is the user's folder."""
-    return table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents")
+    return (use_all_cores(docs, "doc_id") if costly else docs).select(
         F.col("doc_id").cast("string").alias("file_id"),
         F.concat(F.lit("talk "), F.col("doc_id")).alias("file_name"),
         F.col("source").alias("user_folder_id"),

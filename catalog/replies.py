@@ -33,7 +33,7 @@ KINDS = (
 
 def replies(spark, sf):
     """One reply per transcript: ``file_id, user_folder_id, reply``."""
-    docs = transcripts(spark, sf)
+    docs = transcripts(spark, sf, costly=True)
     good = F.concat(
         F.lit('{"title": "Talk -- '),
         "file_id",

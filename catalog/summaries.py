@@ -37,7 +37,7 @@ LAYOUTS = (
 
 def stored(spark, sf):
     """Stored replies: ``file_id, raw, v``, fenced and wrapped as they are on disk."""
-    docs = transcripts(spark, sf)
+    docs = transcripts(spark, sf, costly=True)
     values = {
         "n": F.col("file_id"),
         "src": F.col("user_folder_id"),

@@ -8,7 +8,7 @@ from ..schemas import ITEM_FIELDS, ITEM_SECTIONS
 from ..skew import top_per_key
 
 SCORE = r"^([1-9]|10)$"
-ITEM = "section: string, pos: int, item_json: string"
+ITEM = "section: string, pos: int, item_json: string, _i: map<string,string>"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
@@ -33,30 +33,27 @@ def _day(c: Column) -> Column:
 def action_items_flatten(
     df: DataFrame, assistant_name: str, col: str = "json_content"
 ) -> DataFrame:
-    """One row per action item: ``file_id, section, pos, item_json`` and its fields.
+    """One row per action item: ``file_id, section, pos, item_json, field_names`` and its fields.
 
-    The sections are cut out of the text in one read. Each item keeps its own text, because
-    the order of its fields is part of the contract and a parsed object has none. Empty
-    and missing sections give no rows.
+    The sections are cut out of the text in one read, and each item is read once for itself,
+    so that one odd item does not cost the others. The names keep their order, which is part
+    of the contract. Empty and missing sections give no rows.
     """
     sections = item_sections(assistant_name)
     layout = ", ".join(f"`{s}` array<string>" for s in sections)
     flag = f"{assistant_slug(assistant_name)}_reference"
-    # A field that is absent or null in the item is null here.
-    fields = ", ".join(f"`{f}`: string" for f in (*ITEM_FIELDS, flag))
-
     def tagged_items(section: str) -> Column:
-        # The item is parsed here, once: from_json below a projection is repeated per field.
+        # Read inside the generator, as a projection would read the item once per field.
         tagged = F.transform(
             F.col("_s")[section],
             lambda item, i: F.struct(
                 F.lit(section).alias("section"),
                 i.alias("pos"),
                 item.alias("item_json"),
-                F.from_json(item, f"struct<{fields}>", STRICT).alias("_i"),
+                F.from_json(item, "map<string,string>", STRICT).alias("_i"),
             ),
         )
-        nothing = F.expr(f"cast(array() as array<struct<{ITEM}, _i: struct<{fields}>>>)")
+        nothing = F.expr(f"cast(array() as array<struct<{ITEM}>>)")
         return F.coalesce(tagged, nothing)
 
     listed = df.select("file_id", F.from_json(F.col(col), layout, STRICT).alias("_s"))
@@ -68,6 +65,7 @@ def action_items_flatten(
         "section",
         "pos",
         "item_json",
+        F.coalesce(F.map_keys(field), F.array().cast("array<string>")).alias("field_names"),
         field["description"].alias("description"),
         field["owner"].alias("owner"),
         field["due_date"].alias("due_date_raw"),
@@ -84,15 +82,14 @@ def action_item_validate(items: DataFrame, assistant_name: str) -> DataFrame:
     """Adds ``violations``: the names of the contract rules an item breaks, in rule order."""
     sections = item_sections(assistant_name)
     flag = f"{assistant_slug(assistant_name)}_reference"
-    keys = F.coalesce(F.json_object_keys("item_json"), F.array().cast("array<string>"))
     common = F.array(*[F.lit(f) for f in ITEM_FIELDS])
     expected = F.when(
         F.col("section") == sections[-1], F.concat(common, F.array(F.lit(flag)))
     ).otherwise(common)
-    checked = items.withColumn("_keys", keys).withColumn("_expected", expected)
+    checked = items.withColumn("_expected", expected)
 
-    known = F.array_except("_expected", F.array_except("_expected", "_keys"))
-    given = F.filter("_keys", lambda k: F.array_contains(F.col("_expected"), k))
+    known = F.array_except("_expected", F.array_except("_expected", "field_names"))
+    given = F.filter("field_names", lambda k: F.array_contains(F.col("_expected"), k))
     kind = F.schema_of_variant(
         F.try_variant_get(F.try_parse_json("item_json"), f"$.{flag}", "variant")
     )
@@ -101,18 +98,18 @@ def action_item_validate(items: DataFrame, assistant_name: str) -> DataFrame:
         return F.when(broken, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
 
     def has(name: str) -> Column:
-        return F.array_contains("_keys", name)
+        return F.array_contains("field_names", name)
 
     fields = F.concat(
         F.transform(
-            F.array_except("_expected", "_keys"), lambda k: F.concat(F.lit("missing:"), k)
+            F.array_except("_expected", "field_names"), lambda k: F.concat(F.lit("missing:"), k)
         ),
-        F.transform(F.array_except("_keys", "_expected"), lambda k: F.concat(F.lit("extra:"), k)),
+        F.transform(F.array_except("field_names", "_expected"), lambda k: F.concat(F.lit("extra:"), k)),
         rule(given != known, "order"),
     )
     violations = F.concat(
         # Most items have just the fields they should.
-        F.when(F.col("_keys") == F.col("_expected"), F.array().cast("array<string>")).otherwise(
+        F.when(F.col("field_names") == F.col("_expected"), F.array().cast("array<string>")).otherwise(
             fields
         ),
         rule(has("urgency_score") & F.col("urgency").isNull(), "urgency_score"),
@@ -125,7 +122,7 @@ def action_item_validate(items: DataFrame, assistant_name: str) -> DataFrame:
             flag,
         ),
     )
-    return checked.withColumn("violations", violations).drop("_keys", "_expected")
+    return checked.withColumn("violations", violations).drop("_expected")
 
 
 def action_item_rank(items: DataFrame, k: int) -> DataFrame:

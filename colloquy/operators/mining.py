@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.text import mentions, paragraphs, sentences, spaced_words, tokens
 from ..skew import SALTS, top_per_key
 
-# Share of the files from which on a term counts as frequent.
-FREQUENT = 0.005
+# A term counts as frequent from this share of all pairs of file and term on.
+FREQUENT = 1 / 10_000
 
 # Cue phrases in plain English; callers bring their own for other languages.
 CUES = {
@@ -79,14 +79,14 @@ def _by_file(df: DataFrame) -> DataFrame:
 def with_idf(terms: DataFrame, texts: DataFrame, files: Column) -> DataFrame:
     """Adds ``idf`` to rows of ``file_id, term``; ``files`` is the number of files.
 
-    A frequent term has a row in a large share of the files. Those in more than
-    ``FREQUENT`` of them are spread over ``SALTS`` groups by file, and only they are: the
-    many rare terms are not copied. If a file has 1,000 different terms on average, at most
-    1,000 / FREQUENT terms can be that frequent, however many files there are, so their
-    list is broadcast.
+    A frequent term has a row in a large share of the files. Terms with more than a
+    ten-thousandth of all rows are spread over ``SALTS`` groups by file, and only they are:
+    the many rare terms are not copied. There cannot be more than ten thousand such terms,
+    however much text there is, so their list is broadcast.
     """
     frequency = document_frequency(texts)
-    frequent = F.col("df") > files * F.lit(FREQUENT)
+    pairs = frequency.agg(F.sum("df")).scalar()
+    frequent = F.col("df") > pairs * F.lit(FREQUENT)
     listed = frequency.where(frequent).select("term", F.lit(True).alias("_frequent"))
     copies = F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     weights = frequency.select(
@@ -180,7 +180,7 @@ def owner_from_speaker(
 
 def assemble_parts(turns: DataFrame, turns_per_part: int = 1000) -> DataFrame:
     """Turns as labelled text, a bounded number of turns per row: ``file_id, part, text``."""
-    part = F.floor(F.col("turn") / F.lit(turns_per_part)).alias("part")
+    part = F.expr(f"turn div {turns_per_part}").alias("part")
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))),
         lambda t: F.concat_ws(": ", t["speaker"], t["text"]),

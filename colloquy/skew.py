@@ -6,6 +6,19 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 BLOCK = 100_000
+SPLIT = 128 * 1024 * 1024
+
+
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small input out over the cores before costly work on each of its rows.
+
+    A task reads whole row groups, so a small table is often read by one task while the
+    other cores wait. Input that gives every core a split of its own is left as it is:
+    nothing large is ever moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPLIT else df
 
 
 def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
@@ -65,7 +78,7 @@ def running(
     by a window over one row per block.
     """
     sums, lasts = sums or {}, lasts or {}
-    ranged = df.withColumn("_block", F.floor(F.col(pos) / F.lit(block_size)))
+    ranged = df.withColumn("_block", F.expr(f"{pos} div {block_size}"))
     totals = [F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()]
     totals += [
         F.max_by(c, F.when(c.isNotNull(), F.col(pos))).alias(f"_last_{out}")

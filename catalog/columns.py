@@ -137,7 +137,7 @@ def batch_id(spark, sf):
 
 
 @query(
-    """select doc_id, length(right(text, 6000)) as tail_chars, md5(right(text, 6000)) as tail_md5
+    """select doc_id, length(right(text, 6000))::int as tail_chars, md5(right(text, 6000)) as tail_md5
     from documents"""
 )
 def log_tail(spark, sf):
@@ -189,7 +189,7 @@ def null_marker_cleanup(spark, sf):
 
 @query(
     """select doc_id, 'system' as first_role, 'user' as second_role,
-    length('Summarise the meeting.') as system_chars, md5(text) as user_md5 from documents"""
+    length('Summarise the meeting.')::int as system_chars, md5(text) as user_md5 from documents"""
 )
 def chat_messages(spark, sf):
     messages = F.col("messages")

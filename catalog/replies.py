@@ -85,7 +85,7 @@ select *, good_block is not null and title_type = 'VARCHAR' and date_type = 'VAR
 from ({CHECKED})"""
 
 
-@query(f"select file_id, md5(block) as block_md5, length(block) as block_chars from ({BLOCKS})")
+@query(f"select file_id, md5(block) as block_md5, length(block)::int as block_chars from ({BLOCKS})")
 def extract_json_block(spark, sf):
     block = fn.extract_json_block(F.col("reply"))
     return replies(spark, sf).select(

@@ -109,13 +109,14 @@ def step_pairs(logs: DataFrame) -> DataFrame:
     keys = ["log_file", "run", "step"]
     marks = logs.where(F.col("phase").isNotNull()).select(*keys, "phase", "line_no", "seconds")
     counted = running(marks, [*keys, "phase"], "line_no", sums={"n": F.lit(1)})
-    starts = counted.where(F.col("phase") == "start").select(
-        *keys, "n", F.col("line_no").alias("start_line")
-    )
-    ends = counted.where(F.col("phase") == "complete").select(
-        *keys, "n", F.col("line_no").alias("end_line"), "seconds"
+    start, complete = F.col("phase") == "start", F.col("phase") == "complete"
+    # There is one start and one completion per number, so an aggregate brings them together.
+    pairs = counted.groupBy(*keys, "n").agg(
+        F.max(F.when(start, F.col("line_no"))).alias("start_line"),
+        F.max(F.when(complete, F.col("line_no"))).alias("end_line"),
+        F.max("seconds").alias("seconds"),
     )
-    return starts.join(ends, [*keys, "n"], "full_outer").withColumn(
+    return pairs.withColumn(
         "outcome",
         F.when(F.col("end_line").isNull(), "unfinished")
         .when(F.col("start_line").isNull(), "unstarted")

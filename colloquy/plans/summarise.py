@@ -50,15 +50,16 @@ def summarise_batch(
 ) -> DataFrame:
     """Summarise what the ledger does not show as done; returns the counts per folder.
 
-    The replies are stored before anything is derived from them, so each transcript costs
-    one model call however often its reply is read. Run it without speculative tasks.
+    The replies are stored, with what was accepted of them, before summaries and ledger are
+    written from there: each transcript costs one model call and each reply is read once.
+    Run it without speculative tasks.
     """
     todo = transcripts if ledger is None else unprocessed(transcripts, ledger)
     called = enrich_with_retry(requests(todo, system), fn, keep=KEEP, text="request", **calls)
     replies = f"{out}/replies/archive_batch_id={batch}"
-    called.write.mode("errorifexists").parquet(replies)
+    outcomes(called).drop("v").write.mode("errorifexists").parquet(replies)
 
-    done = outcomes(spark.read.parquet(replies)).withColumn("archive_batch_id", F.lit(batch))
+    done = spark.read.parquet(replies).withColumn("archive_batch_id", F.lit(batch))
     summaries = done.where(F.col("status") == "success").select(
         "file_id", "user_folder_id", "json_content", "output_filename", "archive_batch_id"
     )

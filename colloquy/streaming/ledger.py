@@ -36,14 +36,17 @@ def ledger_stream(
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        enriched = enrich(batch)
+        enriched = outcomes(enrich(batch)).drop("v")
         _put(enriched, f"{out}/replies", number)
         # The schema is given, as an empty batch writes no file to take it from.
         layout = T.StructType([*enriched.schema.fields, T.StructField("batch_id", T.LongType())])
         stored = batch.sparkSession.read.schema(layout).parquet(f"{out}/replies")
-        replies = stored.where(F.col("batch_id") == number).drop("batch_id")
         name = f"processed-transcripts_{number:08d}"
-        done = outcomes(replies).withColumn("archive_batch_id", F.lit(name))
+        done = (
+            stored.where(F.col("batch_id") == number)
+            .drop("batch_id")
+            .withColumn("archive_batch_id", F.lit(name))
+        )
         accepted = done.where(F.col("status") == "success").select(
             "file_id", "user_folder_id", "json_content", "output_filename", "archive_batch_id"
         )

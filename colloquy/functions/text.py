@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import NULL_MARKERS
+from ..schemas import BATCH_PREFIX, NULL_MARKERS
 
 # Unicode white space, written so that Java and RE2 read it alike.
 WS = (
@@ -44,7 +44,7 @@ def empty_transcript_guard(c: Column) -> Column:
 
 def batch_id(ts: Column) -> Column:
     """Name of the archive batch that starts at ``ts``."""
-    return F.concat(F.lit("processed-transcripts_"), F.date_format(ts, "yyyyMMdd-HHmmss"))
+    return F.concat(F.lit(BATCH_PREFIX), F.date_format(ts, "yyyyMMdd-HHmmss"))
 
 
 def log_tail(c: Column, n: int = 6000) -> Column:

@@ -1,7 +1,6 @@
 """The call of a model per transcript: the one place where Python runs on the rows."""
 
 import json
-import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -22,10 +21,10 @@ def check_reply(reply: str) -> None:
 
     A reply without any braces is final, and passes.
     """
-    found = re.search(r"\{.*\}", reply, re.DOTALL)
-    if found is None:
+    first, last = reply.find("{"), reply.rfind("}")
+    if not 0 <= first < last:
         return
-    summary = json.loads(found[0])
+    summary = json.loads(reply[first : last + 1])
     for key in ("title", "date"):
         if not isinstance(summary.get(key, ""), str):
             raise TypeError(f"{key} is not a text")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import AUDIO_NAME, BAD_MODE, SPLIT_MODES, VIDEO_NAME, VIDEO_ONLY_NAME
 from ..sources.probe import read_probe
 
 
@@ -29,25 +30,27 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(name, r"(?s)^(\.*[^.].*)\.[^.]*$", "$1")
 
 
+def _numbered(form: str, track: Column) -> Column:
+    before, after = form.split("%s")
+    return F.concat(F.lit(before), track.cast("string"), F.lit(after))
+
+
 def media_output_names(path: Column, track: Column, directory: str | None = None):
     """(audio file, video file) that track number ``track`` is written to."""
 
-    def name(kind: str, extension: str) -> Column:
-        file = F.concat(
-            base_name(path), F.lit(f"_output_{kind}_track_"), track.cast("string"), F.lit(extension)
-        )
+    def name(form: str) -> Column:
+        file = F.concat(base_name(path), _numbered(form, track))
         return F.concat(F.lit(directory.rstrip("/") + "/"), file) if directory else file
 
-    return name("audio", ".mp3"), name("video", ".mp4")
+    return name(AUDIO_NAME), name(VIDEO_NAME)
 
 
 def split_mode_filter(df: DataFrame, mode: Column) -> DataFrame:
     """Adds ``mode`` in lower case; a mode other than audio or both goes to ``mode_error``."""
     lowered = F.lower(mode)
-    known = F.coalesce(lowered.isin("audio", "both"), F.lit(False))
+    known = F.coalesce(lowered.isin(*SPLIT_MODES), F.lit(False))
     return df.withColumn("mode", F.when(known, lowered)).withColumn(
-        "mode_error",
-        F.when(~known, F.lit("Invalid choice. Please enter 'audio' or 'both'.")),
+        "mode_error", F.when(~known, F.lit(BAD_MODE))
     )
 
 
@@ -71,9 +74,7 @@ def split_plan(df: DataFrame, n: Column, mode: Column, directory: str | None = N
 
 def video_only_plan(df: DataFrame, n: Column, directory: str | None = None) -> DataFrame:
     """One row per video track to write without sound."""
-    file = F.concat(
-        F.lit("output_video_only_track_"), F.col("track").cast("string"), F.lit(".mp4")
-    )
+    file = _numbered(VIDEO_ONLY_NAME, F.col("track"))
     if directory:
         file = F.concat(F.lit(directory.rstrip("/") + "/"), file)
     return df.withColumn("track", _tracks(n)).withColumn("video_file", file)

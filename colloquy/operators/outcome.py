@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json import extract_json_block, parse_summary_strict, title_date_defaults
 from ..functions.text import summary_filename
-from ..schemas import DOCUMENT_MIME, LEDGER
+from ..schemas import ARCHIVE_ROOT, DOCUMENT_MIME, LEDGER
 from ..skew import computed_once
 
 
@@ -78,7 +78,7 @@ def found_count(files: DataFrame) -> DataFrame:
     return files.groupBy("user_folder_id").agg(F.count("*").alias("found"))
 
 
-def archive_processed(ledger: DataFrame, root: str = "transcript_archive") -> DataFrame:
+def archive_processed(ledger: DataFrame, root: str = ARCHIVE_ROOT) -> DataFrame:
     """Archive marks: where each transcript went. A failed one stays where it is."""
     return ledger.where(F.col("status") == "success").select(
         "original_file_id",

@@ -54,3 +54,12 @@ NO_LOG = "Job complete—no log file found!"
 REPORT_HEAD = "The transcript notes were completed with: %s error(s).\n\n"
 REPORT_RULE = "---- Log Tail (last %s characters) ----\n"
 RUN_START = "==== Gathering"
+
+# Names of archive folders, media files and split modes.
+ARCHIVE_ROOT = "transcript_archive"
+BATCH_PREFIX = "processed-transcripts_"
+AUDIO_NAME = "_output_audio_track_%s.mp3"
+VIDEO_NAME = "_output_video_track_%s.mp4"
+VIDEO_ONLY_NAME = "output_video_only_track_%s.mp4"
+SPLIT_MODES = ("audio", "both")
+BAD_MODE = "Invalid choice. Please enter 'audio' or 'both'."

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.outcome import ledger_row
 from ..plans.summarise import outcomes
+from ..schemas import BATCH_PREFIX
 
 
 def _put(df: DataFrame, path: str, number: int) -> None:
@@ -41,7 +42,7 @@ def ledger_stream(
         # The schema is given, as an empty batch writes no file to take it from.
         layout = T.StructType([*enriched.schema.fields, T.StructField("batch_id", T.LongType())])
         stored = batch.sparkSession.read.schema(layout).parquet(f"{out}/replies")
-        name = f"processed-transcripts_{number:08d}"
+        name = f"{BATCH_PREFIX}{number:08d}"
         done = (
             stored.where(F.col("batch_id") == number)
             .drop("batch_id")

@@ -1,11 +1,11 @@
 import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy import functions as fn
 from colloquy.operators import accept_replies
+from rules import file_name
 
 REPLIES = [
     '{"title":"x","date":"2024-01-01"}',
@@ -40,13 +40,18 @@ REPLIES = [
 ]
 
 
+def block(reply):
+    """From the first brace that opens to the last that closes."""
+    first, last = reply.find("{"), reply.rfind("}")
+    return reply[first : last + 1] if 0 <= first < last else None
+
+
 def expected(reply):
     """What a strict reader of the reply gives: (title, date), or None where it is refused."""
-    found = re.search(r"\{.*\}", reply, re.DOTALL)
-    if not found:
+    if block(reply) is None:
         return None
     try:
-        value = json.loads(found[0])
+        value = json.loads(block(reply))
     except ValueError:
         return None
     title, date = value.get("title", "untitled"), value.get("date", "undated")
@@ -61,9 +66,9 @@ def test_accepts_what_a_strict_reader_accepts(spark, reply):
     if want is None:
         assert row.json_content is None and row.output_filename is None
     else:
-        assert row.json_content == re.search(r"\{.*\}", reply, re.DOTALL)[0]
-        clean = [re.sub(r"[\s-]+", "_", re.sub(r"[^\w\s-]", "", t))[:80] for t in want[::-1]]
-        assert row.output_filename == "_".join(clean) + ".json"
+        assert row.json_content == block(reply)
+        title, date = want
+        assert row.output_filename == f"{file_name(date)}_{file_name(title)}.json"
 
 
 def test_missing_and_null_differ(spark):

@@ -1,16 +1,10 @@
 import os.path
-import re
 
 from pyspark.sql import functions as F
 
 from colloquy import functions as fn
 from colloquy.operators import media_output_names
-
-
-def rule(text: str) -> str:
-    """The rule for file names in Python's own regular expressions."""
-    words = re.sub(r"[^\w\s-]", "", text)
-    return re.sub(r"[\s-]+", "_", words)[:80]
+from rules import file_name as rule
 
 
 def names(spark, texts):

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions, paragraphs, sentences, spaced_words, tokens
-from ..skew import SALTS, top_per_key
+from ..session import PARTITIONS, task_bytes
+from ..skew import SALTS, input_bytes, top_per_key
 
 # A term counts as frequent from this share of all pairs of file and term on.
 FREQUENT = 1 / 10_000
@@ -71,9 +72,12 @@ def _by_file(df: DataFrame) -> DataFrame:
     """Each transcript moved once, so that nothing about its words has to be.
 
     The words of a text, each with its file, are more than the text. A row is one file, so
-    no file can overload a task by having many rows.
+    no file can overload a task by having many rows. The number of partitions grows with
+    the input.
     """
-    return df.select("file_id", "text").repartition("file_id")
+    size = input_bytes(df)
+    parts = max(int(df.sparkSession.conf.get(PARTITIONS)), size // task_bytes(size))
+    return df.select("file_id", "text").repartition(parts, "file_id")
 
 
 def with_idf(terms: DataFrame, texts: DataFrame, files: Column) -> DataFrame:

@@ -18,10 +18,34 @@ RUNTIME = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session made elsewhere."""
+PARTITIONS = "spark.sql.shuffle.partitions"
+SPLITS = "spark.sql.files.maxPartitionBytes"
+MB = 1024 * 1024
+
+
+def task_bytes(input_bytes: int) -> int:
+    """Input per task: 128 MB, and beyond 20,000 tasks up to 1 GB.
+
+    A shuffle of m by r tasks makes m * r blocks, so at a hundred terabytes splits of 128 MB
+    would make blocks of a few hundred bytes. A task with 1 GB spills but finishes.
+    """
+    return min(1024 * MB, max(128 * MB, input_bytes // 20_000))
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the run-time settings to a session made elsewhere.
+
+    With ``input_bytes`` both the splits and the shuffle partitions are sized for a shuffle
+    of the whole input. Spark joins small partitions at run time but does not split those
+    of an aggregate.
+    """
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    if input_bytes:
+        size = task_bytes(input_bytes)
+        least = int(spark.conf.get(PARTITIONS))
+        spark.conf.set(PARTITIONS, str(max(least, -(-input_bytes // size))))
+        spark.conf.set(SPLITS, str(size))
     return spark
 
 

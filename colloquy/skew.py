@@ -4,9 +4,15 @@ rows, and values that are computed once."""
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import task_bytes
+
 SALTS = 16
 BLOCK = 100_000
-SPLIT = 128 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of what ``df`` reads, from the file listing; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def use_all_cores(df: DataFrame, key: str) -> DataFrame:
@@ -17,8 +23,8 @@ def use_all_cores(df: DataFrame, key: str) -> DataFrame:
     nothing large is ever moved for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * SPLIT else df
+    size = input_bytes(df)
+    return df.repartition(cores, key) if size < cores * task_bytes(size) else df
 
 
 def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
@@ -73,7 +79,7 @@ def running(
 ) -> DataFrame:
     """Running sums and last non-null values per key, in the order of the integer ``pos``.
 
-    ``pos`` is unique within its keys, so cutting it into ranges of ``block_size`` bounds
+    ``pos`` is unique within its keys, and keys are not null, so cutting it into ranges of ``block_size`` bounds
     what a task sorts, however many rows a key has. Totals of the blocks are carried over
     by a window over one row per block.
     """

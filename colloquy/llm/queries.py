@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, quality_rules
+from . import decontaminate, mixing, near_dedup, packing, quality_rules
 from .registry import query
 from .shared import table
 
@@ -35,3 +35,60 @@ def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+
+
+WORDS5 = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(f"""
+    with d as (select doc_id, coalesce({WORDS5}, []::varchar[]) as w from documents),
+    b as (select item_id, {WORDS5} as w from benchmark where item_id is not null and text is not null),
+    i as (select item_id, w, least(len(w), 10) as k from b where len(w) > 0),
+    windows as (
+        select distinct item_id, k, array_to_string(w[p:p + k - 1], ' ') as gram
+        from (select item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as p from i)
+    ),
+    grams as (
+        select doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') as gram
+        from (
+            select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as p
+            from d, (select distinct k from i) where len(w) >= k
+        )
+    ),
+    hits as (select doc_id, p, k, item_id from grams join windows using (k, gram)),
+    words as (select doc_id, count(distinct q) as n from (select doc_id, unnest(generate_series(p, p + k - 1)) as q from hits) group by doc_id),
+    items as (
+        select doc_id, count(*) as n, string_agg(item, ',' order by item) as joined
+        from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id
+    )
+    select d.doc_id, len(d.w)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit, coalesce(items.n, 0)::bigint as n_items,
+        sha256(coalesce(items.joined, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+    from d left join words using (doc_id) left join items using (doc_id)
+""")
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each document that lie in a window of a benchmark item, and the items."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(spark, docs, table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        decontaminate.covered(F.col("found.spans")).alias("n_hit"),
+        F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"),
+        (F.size("found.spans") > 0).alias("contaminated"),
+    )
+
+
+@query()
+def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    mixed = mixing.mix_table(spark, table(spark, sf, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"), "source"
+    )
+
+
+@query()
+def op9_packed_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as packed rows of token ids."""
+    return packing.pack(spark, table(spark, sf, "documents"))

@@ -8,7 +8,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import colloquy
+from colloquy.llm.decontaminate import decontaminate
+from colloquy.llm.mixing import mix
 from colloquy.llm.near_dedup import deduplicate
+from colloquy.llm.packing import pack
 from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.shared import Scratch, table
 
@@ -27,7 +30,28 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicate(spark, docs)
 
 
-STAGES = [("quality_rules", clean), ("near_dedup", dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: passages of test items are cut, documents of little else go."""
+    return decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: rows are repeated or left out until each source has its target, and shuffled."""
+    return mix(spark, docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix in rows of equal length."""
+    return pack(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", clean),
+    ("near_dedup", dedup),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 # Cutoffs from exact tests and packed token ids are not for SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None

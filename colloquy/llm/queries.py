@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, packing, quality_rules
+from . import decontaminate, mixing, near_dedup, packing, quality_rules, toolcalls, warc
 from .registry import query
 from .shared import table
 
@@ -92,3 +92,92 @@ def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op9_packed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as packed rows of token ids."""
     return packing.pack(spark, table(spark, sf, "documents"))
+
+
+@query("""
+    with p as (select page_id, coalesce(html, '') as html from pages),
+    d as (select page_id, strlen(html) as n, sha1(html) as digest from p),
+    g as (select *, max(page_id) over (partition by digest, n) as best from d)
+    select page_id, n::bigint as payload_bytes, digest as payload_digest,
+        case when n >= 1000 and page_id <> best then 'revisit' else 'response' end as record_type,
+        case when n >= 1000 and page_id <> best then best end as refers_to
+    from g
+""")
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of the archives of all pages, as they are read back."""
+    archives = warc.write_warc(spark, table(spark, sf, "pages"))
+    return warc.verified(warc.read_warc(archives)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+# Tools that the turns of the conversations are read as calls of: see op3_tool_calls.
+TOOLS = {
+    "open": {"question": ("string", True, 30, None), "turn": ("integer", True, 0, 1), "words": ("integer", True, 5, 60)},
+    "reply": {"question": ("string", True, 20, 350), "turn": ("integer", True, 2, None), "words": ("integer", True, 5, 50)},
+}
+
+
+@query(r"""
+    with recursive
+    c0 as (
+        select conv_id, 'c' || turn as call_id, turn, case when turn < 2 then 'open' else 'reply' end as tool, text,
+            len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words,
+            case when turn >= 2 then 'c' || (turn - 2) end as parent
+        from conversations where role = 'user'
+    ),
+    c as (
+        select conv_id, call_id, min(turn) as turn, min(tool) as tool, min(text) as text, min(parent) as parent,
+            arg_min(words, text) as words, count(*) as n_calls
+        from c0 group by all
+    ),
+    r as (
+        select conv_id, 'c' || (turn - 1) as call_id, min(text) as content, count(*) as n_results
+        from conversations where role = 'assistant' group by all
+    ),
+    up as (
+        select conv_id, call_id, 0::bigint as level, parent is not null as lost from c
+        where parent is null or not exists (select 1 from c p where p.conv_id = c.conv_id and p.call_id = c.parent)
+        union all
+        select c.conv_id, c.call_id, up.level + 1, false from c join up on up.conv_id = c.conv_id and up.call_id = c.parent
+    ),
+    linked as (
+        select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, turn, tool, level, text, words,
+            coalesce(n_calls, 0)::bigint as n_calls, coalesce(n_results, 0)::bigint as n_results, content,
+            case when n_calls is null then 'no_call' when n_results is null then 'no_result' when lost then 'no_parent' else 'linked' end as status
+        from c full join r on c.conv_id = r.conv_id and c.call_id = r.call_id
+        left join up on up.conv_id = c.conv_id and up.call_id = c.call_id
+    ),
+    judged as (
+        select *, case when n_calls = 0 then [] else list_concat(
+            case when length(text) < (case tool when 'open' then 30 else 20 end) then ['question:least'] else [] end,
+            case when tool = 'reply' and length(text) > 350 then ['question:most'] else [] end,
+            case when words < 5 then ['words:least'] else [] end,
+            case when words > (case tool when 'open' then 60 else 50 end) then ['words:most'] else [] end
+        ) end as violations
+        from linked
+    )
+    select conv_id, call_id, turn, tool, level, status, n_calls, n_results, array_to_string(violations, ',') as violations,
+        '{"arguments":' || case when n_calls = 0 then 'null' else '{"question":' || to_json(text) || ',"turn":' || turn || ',"words":' || words || '}' end
+        || ',"conversation":' || conv_id || ',"id":"' || call_id || '","level":' || coalesce(level::varchar, 'null')
+        || ',"result":' || case when n_results = 0 then 'null' else to_json(content) end || ',"status":"' || status || '","tool":'
+        || coalesce('"' || tool || '"', 'null') || ',"violations":' || to_json(violations) || '}' as json
+    from judged
+""")
+def op3_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns as tool calls, each built on the user turn before; assistant turns as their results."""
+    turns = table(spark, sf, "conversations")
+    words = F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')")
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"),
+        "turn",
+        F.when(F.col("turn") < 2, "open").otherwise("reply").alias("tool"),
+        F.to_json(F.struct(F.col("text").alias("question"), "turn", words.alias("words"))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))).alias("parent_id"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content")
+    )
+    linked = toolcalls.link_calls(spark, calls, results, TOOLS)
+    return linked.withColumn("violations", F.concat_ws(",", "violations"))

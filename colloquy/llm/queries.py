@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, packing, quality_rules, toolcalls, warc
+from . import decontaminate, mixing, near_dedup, packing, quality_rules, suffix_tree, toolcalls, warc
 from .registry import query
-from .shared import table
+from .shared import fold, table
 
 
 @query()
@@ -181,3 +181,11 @@ def op3_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     )
     linked = toolcalls.link_calls(spark, calls, results, TOOLS)
     return linked.withColumn("violations", F.concat_ws(",", "violations"))
+
+
+@query()
+def op2_suffix_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Unigram and suffix-tree scores of every document; those of fold 2 are not learned from."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = suffix_tree.score(spark, docs, fold("doc_id", 7) != 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

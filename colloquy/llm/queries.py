@@ -3,7 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, packing, quality_rules, suffix_tree, toolcalls, warc
+from . import (
+    additive_model,
+    decontaminate,
+    language_id,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    suffix_tree,
+    toolcalls,
+    warc,
+)
 from .registry import query
 from .shared import fold, table
 
@@ -189,3 +200,18 @@ def op2_suffix_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = suffix_tree.score(spark, docs, fold("doc_id", 7) != 2)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document; those of fold 1 are not learned from."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(spark, docs, fold("doc_id", 3) != 1)
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document; labels of fold 0 are not learned from."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = additive_model.classify(spark, docs, table(spark, sf, "labels"), fold("doc_id", 5) != 0)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int"))

@@ -62,10 +62,12 @@ def build_session(app: str = "colloquy", master: str | None = None, **conf: str)
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the cluster names no such folder (tests on one machine) is a
-    local one used.
+    A cluster must name one: its machines do not share local folders. Where the master is
+    ``local``, all tasks are on one machine and a temporary folder of it will do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = os.path.join(tempfile.gettempdir(), "colloquy-work")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

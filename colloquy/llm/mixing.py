@@ -155,7 +155,7 @@ def drawings(spark: SparkSession, slim: DataFrame, seed: int, scratch: Scratch,
 
 def _full(ranked: DataFrame) -> DataFrame:
     """A row for each time that all of a block is drawn."""
-    times = F.col("epochs").cast("int") + F.when(F.col("words") <= F.col("room"), 1).otherwise(0)
+    times = F.col("epochs").cast("int") + F.when((F.col("words") <= F.col("room")) & (F.col("room") > 0), 1).otherwise(0)
     copies = F.filter(F.sequence(F.lit(0), F.lit(CAP)), lambda copy: copy < times)
     return ranked.select("key", "block", F.explode(copies).alias("copy"), F.lit(None).cast("array<bigint>").alias("some"))
 

@@ -102,7 +102,7 @@ def dictionary(records: list[bytes]) -> bytes:
         return b""
 
 
-def written(records: list[bytes], name: str) -> Iterator[pa.RecordBatch]:
+def written(records: list[bytes], name: str, part_bytes: int) -> Iterator[pa.RecordBatch]:
     """The parts of an archive."""
     found = dictionary(records)
     known = zstandard.ZstdCompressionDict(found) if found else None
@@ -111,7 +111,7 @@ def written(records: list[bytes], name: str) -> Iterator[pa.RecordBatch]:
     size = sum(map(len, held))
     for raw in records:
         frame = packer.compress(raw)
-        if size and size + len(frame) > PART_BYTES:
+        if size and size + len(frame) > part_bytes:
             yield _part(name, part, held)
             part, held, size = part + 1, [], 0
         held.append(frame)
@@ -147,7 +147,9 @@ def judged(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> DataFrame
     return joined.select("page_id", "url", "payload", "n", "digest", refers.alias("refers"))
 
 
-def write_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def write_warc(
+    spark: SparkSession, pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, part_bytes: int = PART_BYTES
+) -> DataFrame:
     """The archives of ``pages``, a record per row, as a table in the shared folder."""
     scratch = Scratch(spark, "warc")
 
@@ -159,11 +161,11 @@ def write_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
                 raw = record(page, url, kind, digest, refers, payload if refers is None else b"", n)
                 held.append(raw)
                 size += len(raw)
-                if size >= ARCHIVE_BYTES:
-                    yield from written(held, f"pages-{task:06d}-{number:05d}.warc.zst")
+                if size >= archive_bytes:
+                    yield from written(held, f"pages-{task:06d}-{number:05d}.warc.zst", part_bytes)
                     number, held, size = number + 1, [], 0
         if held:
-            yield from written(held, f"pages-{task:06d}-{number:05d}.warc.zst")
+            yield from written(held, f"pages-{task:06d}-{number:05d}.warc.zst", part_bytes)
 
     return scratch.keep(judged(spark, pages, scratch).mapInArrow(run, ARCHIVES), "archives")
 

@@ -1,0 +1,205 @@
+"""Language identification, quality classifier and suffix tree: held-out results and brute force."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy.llm import additive_model as am
+from colloquy.llm import language_id as li
+from colloquy.llm import suffix_tree as st
+from colloquy.llm.shared import fold
+
+ALPHABETS = {"xx": "aeioulmn", "yy": "zkvtrsuo", "zz": "абвгдежз"}
+
+
+def speech(lang, n, seed):
+    rng = random.Random(f"{lang}{seed}")
+    return " ".join("".join(rng.choices(ALPHABETS[lang], k=rng.randint(2, 7))) for _ in range(n)).capitalize() + "."
+
+
+@pytest.fixture(scope="module")
+def polyglot(docs):
+    rows = [(i, speech(lang, 3 + i % 40, i), lang, "s") for i in range(300) for lang in [sorted(ALPHABETS)[i % 10 % 3]]]
+    rows += [(1000, None, "xx", "s"), (1001, "", "xx", "s"), (1002, "12 !? 3", None, "s"), (None, speech("yy", 30, 0), None, None)]
+    return docs(rows + [(5, speech("xx", 9, 5), "xx", "s"), (1003, speech("zz", 60_000, 1), None, "s")])
+
+
+def test_language_of_texts_not_learned_from(spark, polyglot):
+    out = li.identify(spark, polyglot, fold("doc_id", 3) != 1)
+    rows = out.join(polyglot.select("doc_id", "lang", "text"), "doc_id", "left").collect()
+    assert out.count() == polyglot.count()
+    for r in rows:
+        assert 0 <= r.score <= 1
+        if r.doc_id in (1000, 1001, 1002):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    held = [r for r in rows if r.held_out and r.doc_id is not None and r.doc_id < 1000]
+    assert len(held) > 60 and sum(r.lang_pred == r.lang for r in held) > 0.97 * len(held)
+    by_id = {r.doc_id: r.lang_pred for r in out.collect()}
+    assert by_id[None] == "yy" and by_id[1003] == "zz"
+
+
+def test_prediction_reads_the_text_only(spark, polyglot):
+    other = polyglot.withColumn("lang", F.when(fold("doc_id", 3) != 1, F.col("lang")))
+    want = {str(r) for r in li.identify(spark, polyglot, fold("doc_id", 3) != 1).collect()}
+    assert {str(r) for r in li.identify(spark, other, fold("doc_id", 3) != 1).collect()} == want
+
+
+def test_document_frequencies_are_counts_of_documents(spark, polyglot):
+    texts = polyglot.where("text is not null and doc_id < 40")
+    df, n = li.document_frequencies(texts)
+    grams = li.Grams(pa.array([r.text for r in texts.collect()]))
+    want = np.zeros(li.BUCKETS, int)
+    for i in range(grams.n):
+        want[np.unique(grams.of(i))] += 1
+    assert n == grams.n and (df == want).all()
+
+
+def test_weights_are_sparse_and_temperature_is_bounded():
+    rng = np.random.default_rng(1)
+    samples = []
+    for k in range(400):
+        y = k % 2
+        j = np.append(np.sort(rng.choice(5000, 30, replace=False)), li.BUCKETS)
+        j[0] = y
+        samples.append((j, np.ones(31), y))
+    w = li.train(samples, 2)
+    assert (w[:, :5000] == 0).mean() > 0.2 and w[0, 0] > 0 > w[1, 0]
+    z = np.tile([2.0, 0.0], (100, 1))
+    assert 0.3 < li.temperature(z, np.array([0] * 88 + [1] * 12)) < 2.5
+    assert li.temperature(z * 10, np.array([0] * 70 + [1] * 30)) > 10
+
+
+def test_no_labels_and_empty_table(spark, docs):
+    out = li.identify(spark, docs([(1, "abc", None, "s"), (2, None)]), F.lit(True)).collect()
+    assert {(r.lang_pred, r.score) for r in out} == {("und", 0.0)}
+    assert li.identify(spark, docs([]), F.lit(True)).count() == 0
+
+
+# Quality
+
+
+@pytest.fixture(scope="module")
+def graded(spark, docs, prose):
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 5 == 0
+        text = prose(30 + i % 60, i)
+        rows.append((i, text.replace(" ", "$$ ") if bad and i % 2 else text.upper().replace(" ", "!! ") if bad else text))
+        labels.append((i, int(not bad), 0))
+    rows += [(2000, None), (2001, ""), (None, prose(40, 1)), (3, prose(33, 3)), (2002, prose(100_000, 5, 10**6))]
+    labels += [(None, 1, 0), (2000, None, 0), (4, 0, 0)]
+    return docs(rows, extra=("v",)).withColumnRenamed("_0", "score"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_of_texts_not_learned_from(spark, graded):
+    docs, labels = graded
+    out = am.classify(spark, docs, labels, fold("doc_id", 5) != 0).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 900]
+    assert len(held) > 100
+    assert all((r.score >= 0.3) == (r.doc_id % 5 != 0) for r in held if r.doc_id != 4)
+
+
+def test_tables_add_up(graded, prose):
+    rng = np.random.default_rng(2)
+    x = rng.random((4000, 4))
+    y = (((x[:, 0] > 0.5) != (x[:, 1] > 0.5)) ^ (rng.random(4000) < 0.05)).astype(float)  # only the pair tells
+    model = am.Additive(x[:3000], y[:3000])
+    assert {(a, b) for a, b, _ in model.pairs[:1]} == {(0, 1)}
+    p = model.scores(x[3000:])
+    assert ((p > 0.5) == (y[3000:] > 0.5)).mean() > 0.88
+    one, bins = model.bins(x[3000:3001])[0], am.COARSE
+    z = model.base + sum(t[b] for t, b in zip(model.tables, one))
+    z += sum(t[one[a] * bins // am.BINS, one[b] * bins // am.BINS] for a, b, t in model.pairs)
+    assert am.sigmoid(z) == pytest.approx(p[0])
+
+
+def test_quality_without_labels(spark, docs, graded):
+    _, labels = graded
+    rows = docs([(1, "a b"), (2, None)])
+    assert {r.score for r in am.classify(spark, rows, labels.limit(0), F.lit(True)).collect()} == {0.5}
+    assert am.classify(spark, docs([]), labels, F.lit(True)).count() == 0
+    one = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert all(r.score > 0.5 for r in am.classify(spark, rows, one, F.lit(True)).collect())
+
+
+# Suffix tree
+
+
+@pytest.fixture(scope="module")
+def corpus(docs, prose):
+    rows = [(i, prose(20 + i, i, 60).title()) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "unseen ünï \t words"), (None, "w1 w2"), (3, prose(23, 3, 60)), (103, prose(30_000, 9, 5000))]
+    return docs(rows)
+
+
+def test_base_scores(spark, corpus):
+    train = fold("doc_id", 7) != 2
+    marked = [(r.doc_id, r.text, r.t) for r in corpus.select("doc_id", "text", train.alias("t")).collect()]
+    c = Counter()
+    for _, text, t in marked:
+        if t:
+            c.update([*(text or "").encode().lower().split(), None])
+    n, v = sum(c.values()), len(c)
+    want = []
+    for doc_id, text, t in marked:
+        w = [*(text or "").encode().lower().split(), None]
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
+        want.append((str(doc_id), not t, len(w), sum(c[x] > 0 for x in w), n, round(base, 6)))
+    got = st.score(spark, corpus, train).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
+    assert all(r.score < 0 for r in got)
+
+
+def test_tree_scores_are_those_of_a_plain_tree(spark, corpus, tmp_path):
+    from colloquy.llm.shared import Scratch
+
+    texts = [r.text for r in corpus.collect()]
+    streams = [st.stream((t or "").encode().lower().split()) for t in texts]
+    _, model = st.learn(corpus.select("text"), Scratch(spark, "plain"), contexts=300)
+    counts = defaultdict(Counter)
+    for s in streams:
+        for i in range(st.DEPTH, len(s)):
+            for d in range(st.DEPTH + 1):
+                counts[s[i - d : i]][s[i]] += 1
+    held, tree = st.retained(
+        spark.createDataFrame(
+            [(int.from_bytes(k + bytes([a]), "big"), n) for k, c in counts.items() if len(k) == st.DEPTH for a, n in c.items()], "gram long, n long"
+        ),
+        Scratch(spark, "again"),
+        300,
+    )
+    nodes = {context.to_bytes(d, "big") for d, context in tree}
+    for node in nodes - {b""}:
+        assert node[1:] in nodes  # every suffix of a context is one
+
+    def p(context, symbol):
+        own, kinds = counts[context], len(counts[context])
+        above = p(context[1:], symbol) if context else 1 / st.SYMBOLS
+        return (own[symbol] + kinds * above) / (sum(own.values()) + kinds)
+
+    got = model.scores(streams)
+    for s, value in list(zip(streams, got))[:40]:
+        want = 0.0
+        for i in range(st.DEPTH, len(s)):
+            context = next(s[i - d : i] for d in range(st.DEPTH, -1, -1) if s[i - d : i] in nodes)
+            want += math.log10(p(context, s[i]))
+        assert value == pytest.approx(want, rel=1e-4)
+
+
+def test_tree_beats_its_root(spark, docs):
+    rows = docs([(i, "the cat sat on the mat " * 5) for i in range(50)])
+    got = st.score(spark, rows, fold("doc_id", 7) != 2).collect()
+    assert all(r.score > r.base_score for r in got)
+
+
+def test_no_training_text(spark, docs):
+    got = st.score(spark, docs([(1, "ab"), (2, None)]), F.lit(False)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(2, 0, 0), (1, 0, 0)]
+    assert got[0].score == pytest.approx(4 * math.log10(1 / 257), rel=1e-5) and got[1].base_score == 0
+    assert st.score(spark, docs([]), F.lit(True)).count() == 0

@@ -106,7 +106,7 @@ from ({LINES_SQL})"""
     from ({RUNS_SQL}) group by log_file, run"""
 )
 def log_run_table(spark, sf):
-    runs = log_runs(classify_lines(log_lines(spark, sf)))
+    runs = log_runs(number_runs(classify_lines(log_lines(spark, sf))))
     return runs.withColumns(
         {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS") for c in ("started_at", "ended_at")}
     )

@@ -85,10 +85,10 @@ def streamed_ledger(spark, sf):
 
 
 @query(
-    """with e as (select ts from events where event_type = 'error'),
-    w as (select time_bucket(interval '6 hours', ts) as s, count(*) as n from e group by all)
+    """with w as (select time_bucket(interval '6 hours', ts) as s, count(*) as n from events
+      where event_type = 'error' group by all)
     select strftime(s, '%Y-%m-%d %H:%M') as window_start, n as errors from w
-    where s + interval '6 hours' <= (select max(ts) from e) - interval '2 hours'"""
+    where s + interval '6 hours' <= (select max(ts) from events) - interval '2 hours'"""
 )
 def streamed_error_windows(spark, sf):
     """Windows of a stream that are closed: those that end before the watermark."""

@@ -135,7 +135,7 @@ def action_item_rank(items: DataFrame, k: int) -> DataFrame:
         F.asc("section"),
         F.asc("pos"),
     ]
-    return top_per_key(items, ["owner"], order, k, "rank", spread=["file_id", "section", "pos"])
+    return top_per_key(items, ["owner"], order, k, "rank")
 
 
 def action_item_report(items: DataFrame) -> DataFrame:

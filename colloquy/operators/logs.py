@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import error_count, log_tail
 from ..schemas import REPORT_HEAD, REPORT_RULE, RUN_START
-from ..skew import computed_once, running, top_per_key
+from ..skew import computed_once, running
 
 # The line formats of the log.
 STRUCTURED = r"^[0-9-]{10} [0-9:]{8},[0-9]{3} - [A-Z]+ - \S+ - "
@@ -66,22 +66,31 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
-    """Typed lines, each with ``line_ts``: its own time, else that of the line before it.
+def _starts(start: Column | None) -> Column:
+    begins = F.startswith(F.col("message"), F.lit(RUN_START)) if start is None else start
+    return F.when(begins, 1).otherwise(0)
+
 
-    Needs ``log_file, line_no, line``.
+def parse_log(lines: DataFrame, start: Column | None = None) -> DataFrame:
+    """Typed lines, each with its ``run`` and ``line_ts``: its own time, else that of the line
+    before it.
+
+    Needs ``log_file, line_no, line``. The lines are moved once for both.
     """
     return running(
-        classify_lines(lines), ["log_file"], "line_no", lasts={"line_ts": F.col("ts")}
+        classify_lines(lines),
+        ["log_file"],
+        "line_no",
+        sums={"run": _starts(start)},
+        lasts={"line_ts": F.col("ts")},
     )
 
 
-def log_runs(logs: DataFrame, start: Column | None = None, error: Column | None = None) -> DataFrame:
+def log_runs(numbered: DataFrame, error: Column | None = None) -> DataFrame:
     """One row per run: number, first and last line, time span, lines and errors.
 
-    A line where ``start`` holds begins a run; lines before the first start are run 0.
+    ``numbered`` has the run of each line, as ``parse_log`` and ``number_runs`` give it.
     """
-    numbered = number_runs(logs, start)
     is_error = F.col("level") == "ERROR" if error is None else error
     return numbered.groupBy("log_file", "run").agg(
         F.min("line_no").alias("first_line"),
@@ -94,10 +103,11 @@ def log_runs(logs: DataFrame, start: Column | None = None, error: Column | None
 
 
 def number_runs(logs: DataFrame, start: Column | None = None) -> DataFrame:
-    """Adds ``run``, the number of run starts up to and including the line."""
-    begins = F.startswith(F.col("message"), F.lit(RUN_START)) if start is None else start
-    flag = F.when(begins, 1).otherwise(0)
-    return running(logs, ["log_file"], "line_no", sums={"run": flag})
+    """Adds ``run``, the number of run starts up to and including the line.
+
+    A line where ``start`` holds begins a run; lines before the first start are run 0.
+    """
+    return running(logs, ["log_file"], "line_no", sums={"run": _starts(start)})
 
 
 def step_pairs(logs: DataFrame) -> DataFrame:
@@ -178,14 +188,16 @@ def run_report(df: DataFrame, needle: str = "ERROR", n: int = 6000) -> DataFrame
 def run_report_lines(lines: DataFrame, needle: str = "ERROR", n: int = 6000) -> DataFrame:
     """The same report from numbered lines, for logs too long for one cell.
 
-    Every line ends with a line break, so the last n characters lie in the last n lines,
-    and only their last n characters matter. An occurrence never spans lines.
+    Lines are numbered without gaps and each ends with a line break, so the last n characters
+    lie in the last n lines, and only their last n characters matter. An occurrence never spans
+    lines. Nothing of a log is sorted but those lines.
     """
     counts = lines.groupBy("log_file").agg(
         F.sum(error_count(F.col("line"), needle)).alias("errors"),
+        F.max("line_no").alias("_end"),
     )
     ends = lines.select("log_file", "line_no", log_tail(F.col("line"), n).alias("line"))
-    last = top_per_key(ends, ["log_file"], [F.desc("line_no")], n, "_rank", spread=["line_no"])
+    last = ends.join(counts.select("log_file", "_end"), "log_file").where(F.col("line_no") > F.col("_end") - n)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     tails = last.groupBy("log_file").agg(
         F.concat(
@@ -204,14 +216,17 @@ def log_error_windows(
 ) -> DataFrame:
     """ERROR lines per tumbling window, for a table or a stream: ``window_start, errors``.
 
-    A stream gives each window once, when no line of it is expected any more.
+    A stream gives each window once, when no line of it is expected any more: time goes on with
+    every line that has one, whether it is an error or not.
     """
     is_error = F.col("level") == "ERROR" if error is None else error
-    stamped = logs.where(is_error).select(F.col("ts").cast("timestamp").alias("ts"))
+    stamped = logs.select(F.col("ts").cast("timestamp").alias("ts"), is_error.alias("is_error"))
     return (
-        stamped.withWatermark("ts", delay)
+        stamped.where(F.col("ts").isNotNull())
+        .withWatermark("ts", delay)
         .groupBy(F.window("ts", width).alias("w"))
-        .agg(F.count("*").alias("errors"))
+        .agg(F.count_if("is_error").alias("errors"))
+        .where(F.col("errors") > 0)
         .select(
             F.col("w.start").cast("timestamp_ntz").alias("window_start"),
             F.col("w.end").cast("timestamp_ntz").alias("window_end"),

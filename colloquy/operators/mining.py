@@ -4,8 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions, paragraphs, sentences, spaced_words, tokens
-from ..session import PARTITIONS, task_bytes
-from ..skew import SALTS, input_bytes, top_per_key
+from ..skew import top_per_key
 
 # A term counts as frequent from this share of all pairs of file and term on.
 FREQUENT = 1 / 10_000
@@ -72,35 +71,27 @@ def _by_file(df: DataFrame) -> DataFrame:
     """Each transcript moved once, so that nothing about its words has to be.
 
     The words of a text, each with its file, are more than the text. A row is one file, so
-    no file can overload a task by having many rows. The number of partitions grows with
-    the input.
+    no file can overload a task by having many rows.
     """
-    size = input_bytes(df)
-    parts = max(int(df.sparkSession.conf.get(PARTITIONS)), size // task_bytes(size))
-    return df.select("file_id", "text").repartition(parts, "file_id")
+    return df.select("file_id", "text").repartition("file_id")
 
 
 def with_idf(terms: DataFrame, texts: DataFrame, files: Column) -> DataFrame:
     """Adds ``idf`` to rows of ``file_id, term``; ``files`` is the number of files.
 
     A frequent term has a row in a large share of the files. Terms with more than a
-    ten-thousandth of all rows are spread over ``SALTS`` groups by file, and only they are:
-    the many rare terms are not copied. There cannot be more than ten thousand such terms,
-    however much text there is, so their list is broadcast.
+    ten-thousandth of all rows are at most ten thousand, however much text there is: their
+    weights are broadcast, and their rows stay where they are. Only rows of the rare terms,
+    none of which can be hot, are moved to meet their weights.
     """
     frequency = document_frequency(texts)
     pairs = frequency.agg(F.sum("df")).scalar()
     frequent = F.col("df") > pairs * F.lit(FREQUENT)
-    listed = frequency.where(frequent).select("term", F.lit(True).alias("_frequent"))
-    copies = F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    weights = frequency.select(
-        "term", F.log(files / F.col("df")).alias("idf"), F.explode(copies).alias("_salt")
-    )
-    spread = F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int")
-    salted = terms.join(F.broadcast(listed), "term", "left").withColumn(
-        "_salt", F.when(F.col("_frequent"), spread).otherwise(0)
-    )
-    return salted.join(weights, ["term", "_salt"]).drop("_salt", "_frequent")
+    weights = frequency.select("term", F.log(files / F.col("df")).alias("idf"), frequent.alias("frequent"))
+    common = F.broadcast(weights.where("frequent").select("term", "idf"))
+    rare = weights.where("not frequent").select("term", "idf")
+    moved = terms.join(common, "term", "left_anti").join(rare, "term")
+    return terms.join(common, "term").unionByName(moved)
 
 
 def key_terms(df: DataFrame, k: int) -> DataFrame:
@@ -111,7 +102,7 @@ def key_terms(df: DataFrame, k: int) -> DataFrame:
         "file_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
     )
     order = [F.desc("score"), F.asc("term")]
-    return top_per_key(scored, ["file_id"], order, k, "rank", spread=["term"])
+    return top_per_key(scored, ["file_id"], order, k, "rank")
 
 
 def extractive_summary(df: DataFrame, k: int) -> DataFrame:
@@ -137,7 +128,7 @@ def extractive_summary(df: DataFrame, k: int) -> DataFrame:
     )
     order = [F.desc("score"), F.asc("pos")]
     chosen = (
-        top_per_key(scores, ["file_id"], order, k, "rank", spread=["pos"])
+        top_per_key(scores, ["file_id"], order, k, "rank")
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("chosen"))
     )

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.logs import (
     log_runs,
-    number_runs,
     parse_log,
     run_report_lines,
     scheduler_outcomes,
@@ -23,11 +22,9 @@ def analyse_logs(spark: SparkSession, path: str, out: str) -> dict[str, DataFram
     lines = read_log_lines(spark, path)
     parse_log(lines).write.mode("overwrite").parquet(f"{out}/lines")
     logs = spark.read.parquet(f"{out}/lines")
-    number_runs(logs).write.mode("overwrite").parquet(f"{out}/numbered")
-    numbered = spark.read.parquet(f"{out}/numbered")
     return {
         "runs": log_runs(logs),
-        "pairs": step_pairs(numbered),
+        "pairs": step_pairs(logs),
         "durations": step_duration_stats(logs),
         "scheduler": scheduler_outcomes(logs),
         "reports": run_report_lines(logs.select("log_file", "line_no", "line")),

@@ -4,29 +4,10 @@ rows, and values that are computed once."""
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import task_bytes
-
 SALTS = 16
 BLOCK = 100_000
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of what ``df`` reads, from the file listing; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small input out over the cores before costly work on each of its rows.
-
-    A task reads whole row groups, so a small table is often read by one task while the
-    other cores wait. Input that gives every core a split of its own is left as it is:
-    nothing large is ever moved for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = input_bytes(df)
-    return df.repartition(cores, key) if size < cores * task_bytes(size) else df
-
-
 def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
     """``keep`` and the new columns, whose values later steps read and do not work out again.
 
@@ -79,57 +60,49 @@ def running(
 ) -> DataFrame:
     """Running sums and last non-null values per key, in the order of the integer ``pos``.
 
-    ``pos`` is unique within its keys, and keys are not null, so cutting it into ranges of ``block_size`` bounds
-    what a task sorts, however many rows a key has. Totals of the blocks are carried over
-    by a window over one row per block.
+    ``pos`` is unique within its keys, so cutting it into ranges of ``block_size`` bounds what a
+    task sorts, however many rows a key has. Totals of the ranges are added up before they are
+    moved, from a second read of the few columns they need, and carried over by a window over one
+    row per range. Ask for all running columns in one call: the rows are moved once for it. Keys
+    may be null.
     """
     sums, lasts = sums or {}, lasts or {}
-    ranged = df.withColumn("_block", F.expr(f"{pos} div {block_size}"))
+    # A struct of the keys equals another with nulls in the same places, so no row is lost.
+    by = ["_keys", "_block"]
+    ranged = df.withColumns({"_keys": F.struct(*keys), "_block": F.expr(f"{pos} div {block_size}")})
     totals = [F.sum(c).alias(f"_sum_{out}") for out, c in sums.items()]
     totals += [
         F.max_by(c, F.when(c.isNotNull(), F.col(pos))).alias(f"_last_{out}")
         for out, c in lasts.items()
     ]
-    blocks = ranged.groupBy(*keys, "_block").agg(*totals)
+    blocks = ranged.groupBy(*by).agg(*totals)
     for out in sums:
-        blocks = carried(blocks, keys, "_block", F.sum(f"_sum_{out}"), f"_before_{out}", 0)
+        blocks = carried(blocks, ["_keys"], "_block", F.sum(f"_sum_{out}"), f"_before_{out}", 0)
     for out in lasts:
         last = F.last(f"_last_{out}", ignorenulls=True)
-        blocks = carried(blocks, keys, "_block", last, f"_before_{out}")
+        blocks = carried(blocks, ["_keys"], "_block", last, f"_before_{out}")
     outs = [*sums, *lasts]
-    blocks = blocks.select(*keys, "_block", *[f"_before_{out}" for out in outs])
+    blocks = blocks.select(*by, *[f"_before_{out}" for out in outs])
 
     inside = (
-        Window.partitionBy(*keys, "_block")
+        Window.partitionBy(*by)
         .orderBy(pos)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = ranged.join(blocks, [*keys, "_block"])
+    joined = ranged.join(blocks, by)
     for out, c in sums.items():
         joined = joined.withColumn(out, F.sum(c).over(inside) + F.col(f"_before_{out}"))
     for out, c in lasts.items():
         here = F.last(c, ignorenulls=True).over(inside)
         joined = joined.withColumn(out, F.coalesce(here, F.col(f"_before_{out}")))
-    return joined.drop("_block", *[f"_before_{out}" for out in outs])
+    return joined.select(*df.columns, *outs)
 
 
-def top_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str, spread: list[str]
-) -> DataFrame:
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str) -> DataFrame:
     """The first ``k`` rows per key in a total order, with their rank.
 
-    Spark cuts every input partition to ``k`` rows per key before the shuffle as long as
-    ``k`` is within its group limit of 1000. Beyond it, a first round does so over keys
-    that are salted by a hash of ``spread``.
+    Spark cuts every input partition to ``k`` rows per key before the shuffle, as long as ``k`` is
+    within its own ``spark.sql.optimizer.windowGroupLimitThreshold``.
     """
-    if k > 1000:
-        salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS * 4))
-        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_first", F.row_number().over(first))
-            .where(F.col("_first") <= k)
-            .drop("_salt", "_first")
-        )
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(ranked)).where(F.col(rank) <= k)

@@ -15,13 +15,13 @@ NAME = "Ada Quill"
 
 def item(**changes):
     made = {
-        "description": "write it up",
-        "owner": "Bo",
-        "due_date": "2024-06-22",
-        "urgency_score": "9",
-        "priority_score": "10",
-        "citation": "Para 21",
-        "high_level_topic": "Partners",
+        "description": "draft the outline",
+        "owner": "Mo",
+        "due_date": "2031-11-02",
+        "urgency_score": "3",
+        "priority_score": "7",
+        "citation": "Para 4",
+        "high_level_topic": "Budget",
     }
     made.update(changes)
     return {k: v for k, v in made.items() if v is not ...}
@@ -93,15 +93,15 @@ def test_flatten(spark):
     by_key = {(r.file_id, r.section, r.pos): r for r in got}
     first = by_key["all", "next_steps", 0]
     assert (first.owner, first.due_date, first.urgency, first.priority) == (
-        "Bo",
-        date(2024, 6, 22),
-        9,
-        10,
+        "Mo",
+        date(2031, 11, 2),
+        3,
+        7,
     )
     second = by_key["all", "next_steps", 1]
     assert second.due_date is None and second.due_date_raw == "soon"
     assert by_key["all", "ada_quill_actions", 0].assistant_reference is False
-    assert by_key["strings", "next_steps", 1].owner == "Bo"
+    assert by_key["strings", "next_steps", 1].owner == "Mo"
 
 
 def test_rank_and_report(spark):

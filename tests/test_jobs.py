@@ -322,27 +322,24 @@ def test_text_per_file(spark, tmp_path):
     assert sorted((str(r.file_id), r.value) for r in stored.collect()) == [("1", "x y"), ("2", "z")]
 
 
-def test_partitions_grow_with_the_input(spark):
-    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
-    before = [spark.conf.get(name) for name in names]
-
-    def sized(input_bytes):
-        configure(spark, input_bytes)
-        return [int(spark.conf.get(name)) for name in names]
-
-    try:
-        assert sized(2**40) == [2**13, 2**27]
-        assert sized(100 * 2**40) == [102_400, 2**30]
-    finally:
-        for name, value in zip(names, before):
-            spark.conf.set(name, value)
-    assert sized(1)[0] == int(before[0])
-    spark.conf.set(names[1], before[1])
-
-
 def test_work_folder_follows_the_cluster(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     first, second = work_dir(spark, "a"), work_dir(spark, "a")
     assert first != second
     if before:
         assert first.startswith(before)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(Session, "a")

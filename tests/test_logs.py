@@ -19,26 +19,27 @@ from colloquy.plans import analyse_logs
 from colloquy.sources import read_job_log, read_log_lines
 
 LOG = """\
-python: can't open file 'job.py'
-2024-05-18T11:40:18.343092: Not on allowed IP (10.1.2.3); aborting job.
-2024-05-18 11:44:26,118 - INFO - run_all - ==== Gathering all transcripts
-2024-05-18 11:44:26,119 - DEBUG - wrapper - Starting 'fetch'
-2024-05-18 11:44:26,120 - DEBUG - wrapper - Starting 'fetch'
-2024-05-18 11:44:27,120 - DEBUG - wrapper - Completed 'fetch' in 0.76s
-2024-05-18 11:44:28,000 - WARNING - <module> - raw reply: {
-"title": "x - y - z"
-}
-2024-05-18 11:44:29,000 - ERROR - process - ERROR after ERROR
-All batches complete.
-2024-05-18T11:44:24: On allowed public IP (10.1.2.4); running batch job.
-2024-05-18T11:44:24: Main script exited with error code 1
-2024-05-18 12:00:00,000 - INFO - run_all - ==== Gathering all transcripts
-2024-05-18 12:00:01,000 - DEBUG - wrapper - Completed 'fetch' in 2.00s
-2024-05-18 12:00:02,000 - DEBUG - wrapper - Starting 'it's late'
-2024-05-18T12:00:00.000001: Log notification email sent successfully.
-2024-05-19T12:00:00.5: notify failed with code 3
-2024-05-19T12:00:00.5: Failed to run notify: no file
-2024-05-19T12:00:00.5: Failed to run main script: no file
+Traceback (most recent call last):
+2031-02-03 08:15:00,250 - INFO - run_all - ==== Gathering all transcripts
+2031-02-03 08:15:02,000 - DEBUG - wrapper - Starting 'list'
+2031-02-03 08:15:05,500 - DEBUG - wrapper - Completed 'list' in 3.25s
+2031-02-03 08:15:05,750 - DEBUG - wrapper - Starting 'list'
+2031-02-03 08:15:06,000 - DEBUG - wrapper - Starting 'ask'
+2031-02-03 08:15:07,125 - WARNING - <module> - odd reply: [
+"a - b - c"
+]
+2031-02-03T08:14:59.000007: On allowed public IP (198.51.100.7); running batch job.
+2031-02-03 08:15:09,000 - ERROR - process - ERROR after ERROR
+Nothing left to do.
+2031-02-04T23:59:59.75: Not on allowed IP (198.51.100.8); aborting job.
+2031-02-05T00:00:00: Main script exited with error code 4
+2031-02-05 07:30:00,000 - INFO - run_all - ==== Gathering all transcripts
+2031-02-05 07:30:01,000 - DEBUG - wrapper - Completed 'list' in 11.50s
+2031-02-05 07:30:02,000 - DEBUG - wrapper - Starting 'don't stop'
+2031-02-05T07:31:00.000001: Log notification email sent successfully.
+2031-02-05T07:31:00.5: notify failed with code 9
+2031-02-05T07:31:00.5: Failed to run notify: gone
+2031-02-05T07:31:00.5: Failed to run main script: gone
 """.splitlines()
 
 
@@ -50,17 +51,17 @@ def lines(spark):
 
 def test_kinds_and_fields(lines):
     rows = {r.line_no: r for r in classify_lines(lines).collect()}
-    assert [rows[i].kind[:2] for i in range(1, 21)] == (
-        "pl sc st st st st st pl pl st pl sc sc st st st sc sc sc sc".split()
+    assert [rows[i].kind[:2] for i in range(1, 22)] == (
+        "pl st st st st st st pl pl sc st pl sc sc st st st sc sc sc sc".split()
     )
-    assert rows[2].ts == datetime(2024, 5, 18, 11, 40, 18, 343092)
-    assert rows[6].ts == datetime(2024, 5, 18, 11, 44, 27, 120000)
-    assert (rows[6].level, rows[6].func, rows[6].phase) == ("DEBUG", "wrapper", "complete")
-    assert (rows[6].step, rows[6].seconds) == ("fetch", 0.76)
-    assert rows[7].func == "<module>" and rows[7].message == "raw reply: {"
+    assert rows[10].ts == datetime(2031, 2, 3, 8, 14, 59, 7)
+    assert rows[4].ts == datetime(2031, 2, 3, 8, 15, 5, 500000)
+    assert (rows[4].level, rows[4].func, rows[4].phase) == ("DEBUG", "wrapper", "complete")
+    assert (rows[4].step, rows[4].seconds) == ("list", 3.25)
+    assert rows[7].func == "<module>" and rows[7].message == "odd reply: ["
     assert rows[8].ts is None and rows[8].message == LOG[7]
-    assert rows[16].step == "it's late"
-    assert rows[12].message == "On allowed public IP (10.1.2.4); running batch job."
+    assert rows[17].step == "don't stop"
+    assert rows[10].message == "On allowed public IP (198.51.100.7); running batch job."
 
 
 def test_times_are_carried_forward(lines):
@@ -68,15 +69,16 @@ def test_times_are_carried_forward(lines):
     assert rows[1].line_ts is None
     assert rows[8].line_ts == rows[9].line_ts == rows[7].ts
     # A scheduler line may be older than the line before it.
-    assert rows[12].line_ts == datetime(2024, 5, 18, 11, 44, 24) < rows[11].line_ts
+    assert rows[10].line_ts == datetime(2031, 2, 3, 8, 14, 59, 7) < rows[9].line_ts
+    assert [rows[i].run for i in (1, 2, 14, 15, 21)] == [0, 1, 1, 2, 2]
 
 
 def test_runs(lines):
-    runs = {r.run: r for r in log_runs(classify_lines(lines)).collect()}
+    runs = {r.run: r for r in log_runs(number_runs(classify_lines(lines))).collect()}
     assert {n: (r.first_line, r.last_line, r.lines, r.errors) for n, r in runs.items()} == {
-        0: (1, 2, 2, 0),
-        1: (3, 13, 11, 1),
-        2: (14, 20, 7, 0),
+        0: (1, 1, 1, 0),
+        1: (2, 14, 13, 1),
+        2: (15, 21, 7, 0),
     }
 
 
@@ -84,28 +86,28 @@ def test_pairs(lines):
     pairs = step_pairs(number_runs(classify_lines(lines))).collect()
     got = {(p.run, p.step, p.n): (p.start_line, p.end_line, p.outcome) for p in pairs}
     assert got == {
-        (1, "fetch", 1): (4, 6, "completed"),
-        (1, "fetch", 2): (5, None, "unfinished"),
-        (2, "fetch", 1): (None, 15, "unstarted"),
-        (2, "it's late", 1): (16, None, "unfinished"),
+        (1, "list", 1): (3, 4, "completed"),
+        (1, "list", 2): (5, None, "unfinished"),
+        (1, "ask", 1): (6, None, "unfinished"),
+        (2, "list", 1): (None, 16, "unstarted"),
+        (2, "don't stop", 1): (17, None, "unfinished"),
     }
 
 
 def test_durations(lines):
     (row,) = step_duration_stats(classify_lines(lines)).collect()
-    assert (row.step, row.calls, row.mean_seconds, row.max_seconds) == ("fetch", 2, 1.38, 2.0)
-    assert (row.p50_seconds, row.p95_seconds) == (1.38, 1.938)
+    assert (row.step, row.calls, row.mean_seconds, row.max_seconds) == ("list", 2, 7.375, 11.5)
+    assert (row.p50_seconds, row.p95_seconds) == (7.375, 11.0875)
 
 
 def test_scheduler(lines):
     rows = scheduler_outcomes(classify_lines(lines)).collect()
     assert {(str(r.day), r.outcome): r.n for r in rows} == {
-        ("2024-05-18", "refused"): 1,
-        ("2024-05-18", "started"): 1,
-        ("2024-05-18", "failed"): 1,
-        ("2024-05-18", "mailed"): 1,
-        ("2024-05-19", "mail_failed"): 2,
-        ("2024-05-19", "failed"): 1,
+        ("2031-02-03", "started"): 1,
+        ("2031-02-04", "refused"): 1,
+        ("2031-02-05", "failed"): 2,
+        ("2031-02-05", "mailed"): 1,
+        ("2031-02-05", "mail_failed"): 2,
     }
 
 
@@ -150,13 +152,13 @@ def test_analysis(spark, tmp_path):
     found = analyse_logs(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert {k: v.count() for k, v in found.items()} == {
         "runs": 3,
-        "pairs": 4,
+        "pairs": 5,
         "durations": 1,
-        "scheduler": 6,
+        "scheduler": 5,
         "reports": 1,
     }
 
 
 def test_windows(lines):
     rows = log_error_windows(classify_lines(lines), "1 hour", "10 minutes").collect()
-    assert [(r.window_start, r.errors) for r in rows] == [(datetime(2024, 5, 18, 11), 1)]
+    assert [(r.window_start, r.errors) for r in rows] == [(datetime(2031, 2, 3, 8), 1)]

@@ -51,7 +51,7 @@ def test_salted_join(spark, skewed, how):
 @pytest.mark.parametrize("k", [1, 3, 1500])
 def test_top_per_key(skewed, k):
     rows, df = skewed
-    got = top_per_key(df, ["k"], [F.desc("pos")], k, "r", spread=["pos"])
+    got = top_per_key(df, ["k"], [F.desc("pos")], k, "r")
     by_key = {}
     for key, pos, *_ in rows:
         by_key.setdefault(key, []).append(pos)
@@ -65,7 +65,7 @@ def test_top_per_key(skewed, k):
 
 def test_top_per_key_is_cut_before_the_shuffle(skewed):
     _, df = skewed
-    plan = top_per_key(df, ["k"], [F.desc("pos")], 3, "r", spread=["pos"])
+    plan = top_per_key(df, ["k"], [F.desc("pos")], 3, "r")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.index("3, Final") < text.index("Exchange") < text.index("3, Partial")
 

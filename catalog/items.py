@@ -13,7 +13,7 @@ from .registry import query, table
 
 ASSISTANT = "Ada Quill"
 
-# Faults planted in the first item of an order, by the order's remainder of 11.
+# Faults planted in the first item of an order, by the order's remainder of 12.
 # Each line: the text of the item's tail after the description, and the broken rules.
 GOOD_TAIL = (
     '"owner":"C{c}","due_date":"{d}","urgency_score":"{u}","priority_score":"{p}",'
@@ -41,6 +41,7 @@ FAULTS = (
         GOOD_TAIL.replace('"citation":"Para {k}",', "").replace("{u}", "high") + ',"note":"x"',
         "missing:citation,extra:note,urgency_score",
     ),
+    ("twice", '"owner":"nobody",' + GOOD_TAIL + ',"citation":"Para {k}"', ""),
 )
 
 
@@ -55,7 +56,7 @@ def _tail_column(tail: str):
 def _orders(spark, sf):
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("file_id"),
-        (F.col("o_orderkey") % 11).alias("fault"),
+        (F.col("o_orderkey") % len(FAULTS)).alias("fault"),
         (F.col("o_orderkey") % 4).alias("shape"),
         F.col("o_custkey").cast("string").alias("c"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"),
@@ -95,7 +96,9 @@ def summaries(spark, sf):
         F.lit('}],"ada_quill_actions":[{"description":"fourth",'),
         good,
         flag,
-        F.lit("}]}"),
+        F.lit('}],"ada_quill_items":[{"description":"fifth",'),
+        good,
+        F.lit(',"ada_quill_reference":false}]}'),
     )
     return orders.select("file_id", text.alias("json_content"))
 
@@ -103,7 +106,7 @@ def summaries(spark, sf):
 # One row per expected item; the first item's fault decides which of its fields are broken.
 ITEMS_SQL = """
 select o_orderkey::varchar as file_id, s.section, s.pos,
-  s.description, s.planted, o_orderkey % 11 as fault, o_orderkey % 4 as shape,
+  s.description, s.planted, o_orderkey % 12 as fault, o_orderkey % 4 as shape,
   case when s.planted and fault = 1 then null else 'C' || o_custkey end as owner,
   case when s.planted and fault in (8, 9) then null else strftime(o_orderdate, '%Y-%m-%d') end as due_date,
   case when s.planted and fault in (4, 6, 10) then null when s.planted and fault = 7 then 9
@@ -112,14 +115,16 @@ select o_orderkey::varchar as file_id, s.section, s.pos,
   case when s.planted and fault = 10 then null else 'Para ' || o_orderkey end as citation,
   o_orderstatus as high_level_topic
 from orders, (values ('next_steps', 0, 'first', true), ('next_steps', 1, 'second', false),
-  ('executive_followup', 0, 'third', false), ('ada_quill_actions', 0, 'fourth', false))
+  ('executive_followup', 0, 'third', false), ('ada_quill_actions', 0, 'fourth', false),
+  ('ada_quill_items', 0, 'fifth', false))
   s(section, pos, description, planted)"""
 
 
 @query(
     f"""select file_id, section, pos, description, owner, due_date, urgency::varchar as urgency,
     priority::varchar as priority, citation, high_level_topic,
-    case when section = 'ada_quill_actions' and shape <> 2 then true end as assistant_reference
+    case when section = 'ada_quill_items' then false
+      when section = 'ada_quill_actions' and shape <> 2 then true end as assistant_reference
     from ({ITEMS_SQL})"""
 )
 def flattened_items(spark, sf):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import (
     batch_status_counts,
+    citation_check,
     files_of_folders,
     first_match,
     found_count,
@@ -107,6 +108,30 @@ def batch_counts(spark, sf):
     return batch_status_counts(ledger(spark, sf))
 
 
+@query(
+    r"""with i as (
+      select doc_id::varchar as file_id, text, case doc_id % 4 when 0 then 'Para ' || (doc_id % 9)
+        when 1 then 'see "' || replace(left(text, 20), '"', ' ') || '"' when 2 then 'para. 2, "no such words"'
+        else 'context' end as citation, doc_id % 4 as k, doc_id % 9 as x,
+        len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) as n from documents)
+    select file_id, citation, case k when 0 then x when 2 then 2 end::varchar as paragraph, k < 3 as cited,
+      case k when 0 then x between 1 and n when 1 then contains(lower(text), lower(replace(left(text, 20), '"', ' ')))
+        else false end as grounded
+    from i"""
+)
+def cited_passages(spark, sf):
+    """Items that cite a paragraph by number, the first words, words that are not there, or nothing."""
+    docs, kind = transcripts(spark, sf), F.col("doc_id") % 4
+    citation = (
+        F.when(kind == 0, F.concat(F.lit("Para "), F.col("doc_id") % 9))
+        .when(kind == 1, F.concat(F.lit('see "'), F.replace(F.left("text", F.lit(20)), F.lit('"'), F.lit(" ")), F.lit('"')))
+        .when(kind == 2, 'para. 2, "no such words"')
+        .otherwise("context")
+    )
+    checked = citation_check(docs.select("file_id", citation.alias("citation")), docs.select("file_id", "text"))
+    return checked.withColumn("paragraph", F.col("paragraph").cast("string"))
+
+
 @query("select source as user_folder_id, count(*) as found from documents group by source")
 def found_counts(spark, sf):
     return found_count(transcripts(spark, sf))

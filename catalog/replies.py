@@ -1,5 +1,7 @@
 """Model replies of every awkward kind, made from the transcripts."""
 
+import threading
+
 from pyspark.sql import functions as F
 
 from colloquy import functions as fn
@@ -142,15 +144,16 @@ class Model:
     """Stands in for a chat model. A transcript fails as many calls as its length modulo 4."""
 
     def __init__(self):
-        self.text, self.failed = None, 0
+        self.tries = {}  # by thread: the text it is at, and how often that has failed
 
     def __call__(self, text):
-        if text != self.text:
-            self.text, self.failed = text, 0
-        if self.failed < len(text) % 4:
-            self.failed += 1
-            raise RuntimeError(f"call {self.failed} failed")
-        self.text = None
+        at, failed = self.tries.get(threading.get_ident(), (None, 0))
+        failed = failed if at == text else 0
+        if failed < len(text) % 4:
+            # After its last try a text is done with, even if the next one is the same.
+            self.tries[threading.get_ident()] = (text, failed + 1) if failed < 2 else (None, 0)
+            raise RuntimeError(f"call {failed + 1} failed")
+        self.tries[threading.get_ident()] = (None, 0)
         return f'Done. {{"title": "Notes of {len(text)} characters", "date": "2024-03-01"}}'
 
 

@@ -53,7 +53,8 @@ def archived_transcripts(spark, sf):
 
 @query(
     f"""select doc_id::varchar as original_file_id, 'talk ' || doc_id as file_name,
-      '{MOVED_AT}' as date_moved, source as user_folder_id,
+      '{MOVED_AT}' as date_moved, 'processed-transcripts_20310509-040506' as archive_batch_id,
+      source as user_folder_id,
       case when length(text) % 4 < 3 then 'success' else 'failed' end as status,
       case when length(text) % 4 < 3 then '' else 'Summary generation failed (see logs for detail)'
         end as error,
@@ -76,8 +77,9 @@ def streamed_ledger(spark, sf):
             batch, Model(), sleep=no_wait, keep=("file_name", "user_folder_id")
         )
 
-    ledger_stream(stream, enrich, out, checkpoint, F.lit(MOVED_AT))
-    ledger = spark.read.parquet(f"{out}/ledger").drop("archive_batch_id", "batch_id")
+    started = F.lit("2031-05-09 04:05:06").cast("timestamp")
+    ledger_stream(stream, enrich, out, checkpoint, F.lit(MOVED_AT), started)
+    ledger = spark.read.parquet(f"{out}/ledger").drop("run_id", "batch_id")
     names = spark.read.parquet(f"{out}/summaries").select(
         F.col("file_id").alias("original_file_id"), "output_filename"
     )

@@ -11,7 +11,7 @@ from colloquy.operators import (
 
 from .registry import escaped, query, table, transcripts
 
-# One line per layout, in the order of the document number modulo 4: what stands between the
+# One line per layout, in the order of the document number modulo 5: what stands between the
 # braces. {t} is the escaped text, {raw} the text with its line breaks, {n} the number.
 LAYOUTS = (
     # A string body with raw line breaks that hides its lists.
@@ -32,6 +32,10 @@ LAYOUTS = (
     '[{{"heading":"One","paragraphs":["{t}","more"]}},{{"section_title":"Two",'
     '"section_content":"{lang}"}}],"presenters":[{{"name":"Flo {n}","role":"chair",'
     '"email":"Not provided"}}],"next_steps":{{"key_points":["k {n}"],"tangible_next_steps":["t1","t2"]}}',
+    # The current prompt's layout.
+    '"title":"Outline {n}","date":"2024-04-{day}","attendees":["Gil {n}",{{"name":"Hal {n}","role":"host"}}],'
+    '"summary":"All of {n}.","outline":[{{"topic":"One","bullets":["{t}","more"]}},"loose {n}"],'
+    '"key_takeaways":["{src}",{{"point":"p {n}"}}],"next_steps":[{{"description":"do {n}","owner":"Gil"}}]',
 )
 
 
@@ -53,7 +57,7 @@ def stored(spark, sf):
         for i, part in enumerate(plain.replace("}", "{").split("{")):
             text = part.replace("\x01", "{").replace("\x02", "}")
             pieces.append(values[part] if i % 2 else F.lit(text))
-        body = F.when(F.col("doc_id") % 4 == number, F.concat(*pieces)).otherwise(body)
+        body = F.when(F.col("doc_id") % len(LAYOUTS) == number, F.concat(*pieces)).otherwise(body)
     raw = F.concat(F.lit('{\n"response": ```json\n{'), body, F.lit("}\n```\n}"))
     return docs.select("doc_id", "file_id", raw.alias("raw")).withColumn(
         "v", fn.summary_unwrap(F.col("raw"))
@@ -62,9 +66,9 @@ def stored(spark, sf):
 
 @query(
     r"""select doc_id::varchar as file_id, true as is_object,
-    case doc_id % 4 when 0 then 'Body ' when 1 then 'Named ' when 2 then 'Texts ' else 'Nested ' end
-      || doc_id as title,
-    case when doc_id % 4 = 0 then md5(chr(10) || text || chr(10) || chr(10) || 'Presenters:' || chr(10)
+    case doc_id % 5 when 0 then 'Body ' when 1 then 'Named ' when 2 then 'Texts ' when 3 then 'Nested '
+      else 'Outline ' end || doc_id as title,
+    case when doc_id % 5 = 0 then md5(chr(10) || text || chr(10) || chr(10) || 'Presenters:' || chr(10)
       || '- Ann ' || doc_id || chr(10) || '- Bo ' || doc_id || chr(10) || chr(10) || 'Key Points:'
       || chr(10) || '- ' || source || ' first' || chr(10) || '- second' || chr(10) || chr(10)
       || 'Next Steps:' || chr(10) || '- go on' || chr(10)) end as content_md5 from documents"""
@@ -81,30 +85,33 @@ def unwrapped_summaries(spark, sf):
 
 
 @query(
-    r"""with d as (select *, doc_id % 4 as k, doc_id::varchar as n,
+    r"""with d as (select *, doc_id % 5 as k, doc_id::varchar as n,
         lpad((doc_id % 28 + 1)::varchar, 2, '0') as day from documents)
     select n as file_id,
-      case k when 0 then 'Body ' when 1 then 'Named ' when 2 then 'Texts ' else 'Nested ' end || n as title,
+      case k when 0 then 'Body ' when 1 then 'Named ' when 2 then 'Texts ' when 3 then 'Nested '
+        else 'Outline ' end || n as title,
       case k when 0 then '2023' when 1 then '2023-02' when 2 then '2023-02-30'
-        else '2024-03-' || day end as date_raw,
-      case when k = 3 then '2024-03-' || day end as date,
+        when 3 then '2024-03-' || day else '2024-04-' || day end as date_raw,
+      case k when 3 then '2024-03-' || day when 4 then '2024-04-' || day end as date,
       case k when 0 then 'year' when 1 then 'month' when 2 then 'none' else 'day' end as date_precision,
-      case when k = 0 then 'In short ' || n || '.' end as abstract,
+      case k when 0 then 'In short ' || n || '.' when 4 then 'All of ' || n || '.' end as abstract,
       case k when 0 then 'Ann ' || n || '/-/-/-;Bo ' || n || '/-/-/-'
         when 1 then 'Cy ' || n || '/tax/-/cy' || n || '@mail.example'
         when 2 then 'Di ' || n || '/-/' || source || '/-;Ed ' || n || '/-/-/-'
-        else 'Flo ' || n || '/chair/-/-' end as people,
+        when 3 then 'Flo ' || n || '/chair/-/-'
+        else 'Gil ' || n || '/-/-/-;Hal ' || n || '/host/-/-' end as people,
       md5(case k when 0 then '=' || chr(10) || text || chr(10) || chr(10) || 'Presenters:' || chr(10)
           || '- Ann ' || n || chr(10) || '- Bo ' || n || chr(10) || chr(10) || 'Key Points:'
           || chr(10) || '- ' || source || ' first' || chr(10) || '- second' || chr(10) || chr(10)
           || 'Next Steps:' || chr(10) || '- go on' || chr(10)
         when 1 then 'intro=' || text || ';outro=end'
         when 2 then 'Intro=' || text
-        else 'One=' || text || chr(10) || 'more;Two=' || lang end) as sections_md5,
+        when 3 then 'One=' || text || chr(10) || 'more;Two=' || lang
+        else 'One=' || text || chr(10) || 'more;=loose ' || n end) as sections_md5,
       case k when 0 then source || ' first;second' when 1 then source || ';' || lang
-        when 2 then '' else 'k ' || n end as key_points,
+        when 2 then '' when 3 then 'k ' || n else source || ';p ' || n end as key_points,
       case k when 0 then 'go on' when 1 then 'look ' || n when 2 then 'ask ' || n || ';tell'
-        else 't1;t2' end as next_steps
+        when 3 then 't1;t2' else 'do ' || n end as next_steps
     from d"""
 )
 def normalized_summaries(spark, sf):
@@ -143,7 +150,8 @@ _KEYS = {
         "panelists": "ARRAY<OBJECT<alias: STRING, background: STRING, name: STRING>>",
         "key_topics": "ARRAY<STRING>",
         "next_steps": "ARRAY<STRING>",
-        "editorial_summary": "OBJECT<intro: STRING, outro: STRING>",
+        "editorial_summary": "MAP<STRING>",
+        "contact_information": "MAP<STRING>",
     },
     2: {
         "title": "STRING",
@@ -161,6 +169,15 @@ _KEYS = {
         "presenters": "ARRAY<OBJECT<email: STRING, name: STRING, role: STRING>>",
         "next_steps": "OBJECT<key_points: ARRAY<STRING>, tangible_next_steps: ARRAY<STRING>>",
     },
+    4: {
+        "title": "STRING",
+        "date": "STRING",
+        "attendees": "ARRAY<VARIANT>",
+        "summary": "STRING",
+        "outline": "ARRAY<VARIANT>",
+        "key_takeaways": "ARRAY<VARIANT>",
+        "next_steps": "ARRAY<OBJECT<description: STRING, owner: STRING>>",
+    },
 }
 _KEY_ROWS = ", ".join(
     f"({k}, '{key}', '{kind}')" for k, keys in _KEYS.items() for key, kind in keys.items()
@@ -169,16 +186,10 @@ _KEY_ROWS = ", ".join(
 
 @query(
     f"""select key, type, count(*) as summaries from documents
-      join (values {_KEY_ROWS}) l(k, key, type) on k = doc_id % 4 group by all
-    union all
-    select 'contact_information', 'OBJECT<Cy ' || doc_id || ': STRING>', 1
-      from documents where doc_id % 4 = 1"""
+      join (values {_KEY_ROWS}) l(k, key, type) on k = doc_id % 5 group by all"""
 )
 def schema_drift(spark, sf):
-    # The keys of contact_information are names, so its type differs from file to file. A name
-    # with a space is quoted.
-    drift = schema_drift_report(stored(spark, sf))
-    return drift.withColumn("type", F.replace("type", F.lit("`"), F.lit("")))
+    return schema_drift_report(stored(spark, sf))
 
 
 @query(

@@ -1,6 +1,12 @@
 """Operators over DataFrames."""
 
-from .crosscheck import files_of_folders, grounding_check, stage_reconcile, unprocessed
+from .crosscheck import (
+    citation_check,
+    files_of_folders,
+    grounding_check,
+    stage_reconcile,
+    unprocessed,
+)
 from .enrich import check_reply, enrich_with_retry
 from .items import (
     action_item_rank,
@@ -73,6 +79,7 @@ __all__ = [
     "files_of_folders",
     "first_match",
     "found_count",
+    "citation_check",
     "grounding_check",
     "key_terms",
     "latest_summary",

@@ -5,11 +5,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..skew import salted_join
+from ..functions.text import paragraphs
 
 
 def unprocessed(transcripts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Transcripts without a successful ledger row; failed ones are taken up again."""
+    """Transcripts without a successful ledger row; failed ones are taken up again.
+
+    Give it a listing rather than texts: every file that was ever listed goes through this join.
+    """
     done = (
         ledger.where(F.col("status") == "success")
         .select(F.col("original_file_id").alias("file_id"))
@@ -20,8 +23,7 @@ def unprocessed(transcripts: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def files_of_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
     """Files of the given folders; a folder without files gives nothing."""
-    wanted = folders.select("user_folder_id").distinct()
-    return salted_join(files, wanted, ["user_folder_id"], "inner", spread=["file_id"])
+    return files.join(folders.select("user_folder_id").distinct(), "user_folder_id")
 
 
 def stage_reconcile(
@@ -53,7 +55,8 @@ def grounding_check(summary_norm: DataFrame, transcripts: DataFrame) -> DataFram
     """For each person of a summary: does the name occur in the summary's own transcript?
 
     The names of a file stay in one array until they are tested, so a transcript is not
-    repeated for each name. A summary without a transcript has no grounded name.
+    repeated for each name. The transcripts are the side that need not be moved: a few summaries
+    are sent to them. A summary without a transcript has no grounded name.
     """
     names = summary_norm.select(
         "file_id",
@@ -62,7 +65,9 @@ def grounding_check(summary_norm: DataFrame, transcripts: DataFrame) -> DataFram
         ).alias("names"),
     )
     texts = transcripts.select("file_id", F.lower("text").alias("text"))
-    tested = names.join(texts, "file_id", "left").select(
+    lost = names.join(texts.select("file_id"), "file_id", "left_anti").withColumn("text", F.lit(""))
+    met = texts.join(names, "file_id").select("file_id", "names", "text").unionByName(lost)
+    tested = met.select(
         "file_id",
         F.transform(
             "names",
@@ -73,3 +78,28 @@ def grounding_check(summary_norm: DataFrame, transcripts: DataFrame) -> DataFram
         ).alias("tested"),
     )
     return tested.select("file_id", F.inline("tested"))
+
+
+def citation_check(items: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Does what an item cites stand in its transcript? ``items`` with ``paragraph, cited, grounded``.
+
+    ``Para X`` must be one of the transcript's paragraphs, a text between double quotes must occur in
+    it; ``cited`` is false where a citation has neither. An item without a transcript is not grounded.
+    Of the transcripts only the number of paragraphs and the quotes found go on.
+    """
+    quote = F.regexp_extract("citation", r'"([^"]+)"', 1)
+    number = F.regexp_extract("citation", r"(?i)\bpara(?:graph)?\.? *([0-9]{1,9})\b", 1)
+    cites = items.withColumns({"paragraph": F.nullif(number, F.lit("")).cast("int"), "_quote": F.lower(quote)})
+    asked = cites.groupBy("file_id").agg(F.collect_set("_quote").alias("_asked"))
+    text = F.lower("text")
+    read = transcripts.join(asked, "file_id").select(
+        "file_id",
+        F.size(paragraphs(F.col("text"))).alias("_paragraphs"),
+        F.filter("_asked", lambda q: (q != "") & text.contains(q)).alias("_found"),
+    )
+    met = cites.join(read, "file_id", "left")
+    there = F.coalesce(F.col("paragraph").between(1, F.col("_paragraphs")), F.lit(False))
+    said = F.coalesce(F.array_contains("_found", F.col("_quote")), F.lit(False))
+    has_number, has_quote = F.col("paragraph").isNotNull(), F.coalesce(F.col("_quote") != "", F.lit(False))
+    grounded = (has_number | has_quote) & (~has_number | there) & (~has_quote | said)
+    return met.withColumns({"cited": has_number | has_quote, "grounded": grounded}).drop("_quote", "_paragraphs", "_found")

@@ -3,6 +3,7 @@
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,32 +56,39 @@ def enrich_with_retry(
     retries: int = 3,
     backoff: float = 10,
     sleep: Callable[[float], None] = time.sleep,
-    parallelism: int | None = None,
+    concurrency: int = 5,
+    partitions: int | None = None,
+    rows_out: int = 50,
     keep: tuple[str, ...] = (),
     text: str = "text",
 ) -> DataFrame:
     """Call ``fn`` with every transcript: ``file_id, *keep, attempts, reply, call_error``.
 
     An empty transcript is not worth a call: it has no reply after 0 attempts. Both callables
-    are shipped to the workers. ``parallelism`` bounds how many calls run at once, by a
-    shuffle on the file id; without it the input's partitions are used. Only the columns
-    that are needed travel to Python.
+    are shipped to the workers, where ``concurrency`` threads of a task call ``fn`` at once; the
+    calls of a job are that times the tasks that run. Rows leave a task ``rows_out`` at a time.
+    ``partitions`` deals the rows out by file id, so that a task and what its failure repeats stay
+    small; without it the input's partitions are used. Only the columns that are needed travel to
+    Python.
     """
     rows = df.select("file_id", *keep, F.col(text).alias("text"))
-    if parallelism:
-        rows = rows.repartition(parallelism, "file_id")
+    if partitions:
+        rows = rows.repartition(partitions, "file_id")
     schema = T.StructType([f for f in rows.schema if f.name != "text"] + RESULT)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            results = [
-                call_with_retry(fn, body, validate, retries, backoff, sleep)
-                for body in batch["text"]
-            ]
-            out = batch.drop(columns="text")
-            out[[f.name for f in RESULT]] = pd.DataFrame(
-                results, columns=[f.name for f in RESULT], index=batch.index
-            )
-            yield out
+        def one(body):
+            return call_with_retry(fn, body, validate, retries, backoff, sleep)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                for start in range(0, len(batch), rows_out):
+                    part = batch.iloc[start : start + rows_out]
+                    results = list(pool.map(one, part["text"]))
+                    out = part.drop(columns="text")
+                    out[[f.name for f in RESULT]] = pd.DataFrame(
+                        results, columns=[f.name for f in RESULT], index=part.index
+                    )
+                    yield out
 
     return rows.mapInPandas(call, schema)

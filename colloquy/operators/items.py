@@ -17,9 +17,15 @@ def assistant_slug(name: str) -> str:
     return "_".join(name.lower().split())
 
 
+def assistant_sections(assistant_name: str) -> tuple[str, ...]:
+    """The assistant's own sections: its actions, and the items that name it."""
+    slug = assistant_slug(assistant_name)
+    return (f"{slug}_actions", f"{slug}_items")
+
+
 def item_sections(assistant_name: str) -> tuple[str, ...]:
     """All sections that hold action items, the assistant's own last."""
-    return (*ITEM_SECTIONS, f"{assistant_slug(assistant_name)}_actions")
+    return (*ITEM_SECTIONS, *assistant_sections(assistant_name))
 
 
 def _score(c: Column) -> Column:
@@ -35,9 +41,10 @@ def action_items_flatten(
 ) -> DataFrame:
     """One row per action item: ``file_id, section, pos, item_json, field_names`` and its fields.
 
-    The sections are cut out of the text in one read, and each item is read once for itself,
+    The sections are cut out of the text in one read, and each item is read once more for itself,
     so that one odd item does not cost the others. The names keep their order, which is part
-    of the contract. Empty and missing sections give no rows.
+    of the contract; of a repeated name the first place and the last value count. Empty and missing
+    sections give no rows.
     """
     sections = item_sections(assistant_name)
     layout = ", ".join(f"`{s}` array<string>" for s in sections)
@@ -59,13 +66,24 @@ def action_items_flatten(
     listed = df.select("file_id", F.from_json(F.col(col), layout, STRICT).alias("_s"))
     items = F.concat(*[tagged_items(s) for s in sections])
     rows = listed.select("file_id", F.inline(items))
-    field = F.col("_i")
+    entries = F.map_entries("_i")
+    names = F.coalesce(F.map_keys("_i"), F.array().cast("array<string>"))
+
+    class Fields:
+        """The last value of each name; looking one up in the map itself gives the first."""
+
+        def __getitem__(self, name: str) -> Column:
+            last = F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
+            return F.when(F.size("field_names") < F.size("_i"), last).otherwise(F.col("_i")[name])
+
+    field = Fields()
+    rows = rows.withColumn("field_names", F.array_distinct(names))
     return rows.select(
         "file_id",
         "section",
         "pos",
         "item_json",
-        F.coalesce(F.map_keys(field), F.array().cast("array<string>")).alias("field_names"),
+        "field_names",
         field["description"].alias("description"),
         field["owner"].alias("owner"),
         field["due_date"].alias("due_date_raw"),
@@ -80,12 +98,10 @@ def action_items_flatten(
 
 def action_item_validate(items: DataFrame, assistant_name: str) -> DataFrame:
     """Adds ``violations``: the names of the contract rules an item breaks, in rule order."""
-    sections = item_sections(assistant_name)
+    own = F.col("section").isin(*assistant_sections(assistant_name))
     flag = f"{assistant_slug(assistant_name)}_reference"
     common = F.array(*[F.lit(f) for f in ITEM_FIELDS])
-    expected = F.when(
-        F.col("section") == sections[-1], F.concat(common, F.array(F.lit(flag)))
-    ).otherwise(common)
+    expected = F.when(own, F.concat(common, F.array(F.lit(flag)))).otherwise(common)
     checked = items.withColumn("_expected", expected)
 
     known = F.array_except("_expected", F.array_except("_expected", "field_names"))
@@ -116,7 +132,7 @@ def action_item_validate(items: DataFrame, assistant_name: str) -> DataFrame:
         rule(has("priority_score") & F.col("priority").isNull(), "priority_score"),
         rule(has("due_date") & F.col("due_date").isNull(), "due_date"),
         rule(
-            (F.col("section") == sections[-1])
+            own
             & has(flag)
             & (F.coalesce(kind, F.lit("")) != "BOOLEAN"),
             flag,

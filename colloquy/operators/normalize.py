@@ -11,6 +11,10 @@ SECTION = (
     "text:string,section_content:string,paragraphs:array<string>>>"
 )
 POINT = "array<struct<point:string,description:string>>"
+OUTLINE = (
+    "array<struct<heading:string,section:string,topic:string,title:string,text:string,"
+    "bullets:array<string>,points:array<string>,details:array<string>>>"
+)
 NO_TEXT = "cast(array() as array<string>)"
 NO_PEOPLE = "cast(array() as array<struct<name:string,role:string,affiliation:string,email:string>>)"
 
@@ -29,14 +33,36 @@ def _list_under(heading: str) -> Column:
 
 def _points(path: str) -> Column:
     """Array of texts, whether the array holds texts or objects with one."""
-    texts = _get(path, "array<string>")
-    objects = _get(path, POINT)
-    return F.when(
-        texts.isNotNull(),
-        F.transform(
-            texts, lambda t, i: F.coalesce(objects[i]["point"], objects[i]["description"], t)
-        ),
-    )
+    return _paired(path, POINT, lambda t, o: F.coalesce(o["point"], o["description"], t))
+
+
+def _paired(path: str, kind: str, merge) -> Column:
+    """Each element of an array as text and as an object of ``kind``, merged; both are read once."""
+    objects = F.coalesce(_get(path, kind), F.expr(f"cast(array() as {kind})"))
+    return F.zip_with(_get(path, "array<string>"), objects, merge)
+
+
+def _attendees() -> Column:
+    """The current layout's list of people: names, or objects with a name."""
+    fields = ("role", "background", "affiliation", "email")
+
+    def person(text: Column, o: Column) -> Column:
+        name = F.coalesce(o["name"], text)
+        return F.struct(name.alias("name"), *[o[f].alias(f) for f in fields])
+
+    return _paired("$.attendees", PERSON, person)
+
+
+def _outline() -> Column:
+    """The current layout's sections: texts, or objects with a heading and bullet points."""
+
+    def section(text: Column, o: Column) -> Column:
+        heading = F.coalesce(o["heading"], o["section"], o["topic"], o["title"])
+        bullets = F.array_join(F.coalesce(o["bullets"], o["points"], o["details"]), "\n")
+        body = F.coalesce(o["text"], bullets, F.when(heading.isNull(), text))
+        return F.struct(F.coalesce(heading, F.lit("")).alias("heading"), body.alias("text"))
+
+    return _paired("$.outline", OUTLINE, section)
 
 
 def _date_precision() -> Column:
@@ -64,7 +90,10 @@ def summary_normalize(df: DataFrame, col: str = "v") -> DataFrame:
         _get("$.author", "string").alias("_author"),
         _get("$.email", "string").alias("_email"),
         F.coalesce(
-            _get("$.presenters", PERSON), _get("$.authors", PERSON), _get("$.panelists", PERSON)
+            _get("$.presenters", PERSON),
+            _get("$.authors", PERSON),
+            _get("$.panelists", PERSON),
+            _attendees(),
         ).alias("_people"),
         _get("$.contact_information", "map<string,string>").alias("_contacts"),
         F.when(
@@ -73,8 +102,12 @@ def summary_normalize(df: DataFrame, col: str = "v") -> DataFrame:
         ).alias("_content"),
         _get("$.content", SECTION).alias("_sections"),
         _get("$.editorial_summary", "map<string,string>").alias("_named"),
+        _outline().alias("_outline"),
         F.coalesce(
-            _points("$.key_points"), _points("$.key_topics"), _points("$.next_steps.key_points")
+            _points("$.key_points"),
+            _points("$.key_topics"),
+            _points("$.key_takeaways"),
+            _points("$.next_steps.key_points"),
         ).alias("_key_points"),
         F.coalesce(_points("$.next_steps"), _points("$.next_steps.tangible_next_steps")).alias(
             "_next_steps"
@@ -119,6 +152,7 @@ def summary_normalize(df: DataFrame, col: str = "v") -> DataFrame:
             ),
         ),
         F.transform(F.map_entries("_named"), lambda e: section(e["key"], e["value"])),
+        F.col("_outline"),
         F.when(F.col("_content").isNotNull(), F.array(section(F.lit(""), F.col("_content")))),
         F.expr("cast(array() as array<struct<heading:string,text:string>>)"),
     )
@@ -148,15 +182,26 @@ def summary_normalize(df: DataFrame, col: str = "v") -> DataFrame:
     )
 
 
-def schema_drift_report(df: DataFrame, col: str = "v") -> DataFrame:
-    """For each top-level key: in how many summaries it has which type."""
+# Objects whose keys are data, such as names: what they are called is not part of the layout.
+MAP_KEYS = ("contact_information", "editorial_summary")
+
+
+def schema_drift_report(
+    df: DataFrame, col: str = "v", map_keys: tuple[str, ...] = MAP_KEYS
+) -> DataFrame:
+    """For each top-level key: in how many summaries it has which type.
+
+    An object below one of ``map_keys`` counts as ``MAP<STRING>`` whatever its own keys are, so the
+    report does not grow with the data and names nobody.
+    """
     entries = F.map_entries(F.col(col).try_cast("map<string,variant>"))
-    kinds = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["key"].alias("key"), F.schema_of_variant(e["value"]).alias("type")
-        ),
-    )
+
+    def kind(e: Column) -> Column:
+        found = F.schema_of_variant(e["value"])
+        free = e["key"].isin(*map_keys) & F.startswith(found, F.lit("OBJECT<"))
+        return F.struct(e["key"].alias("key"), F.when(free, "MAP<STRING>").otherwise(found).alias("type"))
+
+    kinds = F.transform(entries, kind)
     return df.select(F.inline(kinds)).groupBy("key", "type").agg(F.count("*").alias("summaries"))
 
 

@@ -99,7 +99,7 @@ def latest_summary(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
     An aggregate, so each input partition keeps one row per key before the shuffle.
     """
     rest = [c for c in df.columns if c not in key and c not in order]
-    newest = F.max(F.struct(*order, *rest)).alias("newest")
+    newest = F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("newest")
     return df.groupBy(*key).agg(newest).select(*key, "newest.*").select(df.columns)
 
 

@@ -10,9 +10,11 @@ from ..functions.text import empty_transcript_guard
 from ..operators.crosscheck import unprocessed
 from ..operators.enrich import enrich_with_retry
 from ..operators.outcome import accept_replies, batch_status_counts, classify_outcome, ledger_row
-from ..schemas import DOWNLOAD_FAILED, LEDGER, SUMMARY_FAILED
+from ..schemas import ARCHIVE_FAILED, DOWNLOAD_FAILED, LEDGER, SUMMARY_FAILED, UPLOAD_FAILED
+from ..sources.inventory import list_transcripts
 from ..sources.ledger import append_ledger
 from ..sources.summaries import write_summaries
+from ..sources.transcripts import attach_texts
 
 KEEP = ("file_name", "user_folder_id")
 
@@ -26,17 +28,41 @@ def requests(transcripts: DataFrame, system: str) -> DataFrame:
 
 
 def outcomes(replies: DataFrame) -> DataFrame:
-    """Accepted summary, status and error of each reply."""
+    """Accepted summary, status and error of each reply.
+
+    Columns ``upload_error`` and ``archive_error``, where there are any, say what became of an
+    accepted summary later; null is no error.
+    """
+
+    def later(name: str, message: Column) -> list[tuple[Column, Column]]:
+        return [(F.col(name).isNotNull(), message)] if name in replies.columns else []
+
+    place = F.concat(F.lit(f"{ARCHIVE_FAILED} "), F.col("file_name"), F.lit(" ("), F.col("file_id"), F.lit("): "))
     return classify_outcome(
         accept_replies(replies),
         [
             # An empty transcript is reported twice over, as the ledger has always had it.
             (F.col("attempts") == 0, F.lit(f"{DOWNLOAD_FAILED}: {DOWNLOAD_FAILED}")),
             (F.col("output_filename").isNull(), F.lit(SUMMARY_FAILED)),
+            *later("upload_error", F.concat(F.lit(f"{UPLOAD_FAILED}: "), "upload_error")),
+            *later("archive_error", F.concat(place, F.col("archive_error"))),
         ],
     )
 
 
+def to_summarise(
+    inventory: DataFrame, folders: DataFrame, ledger: DataFrame | None, bodies: DataFrame
+) -> DataFrame:
+    """List, skip, read: documents of the folders that the ledger does not show as done, with texts.
+
+    Folders and ledger are met with ids and names only; the bodies are read for what is left.
+    """
+    listed = list_transcripts(inventory, folders).select(
+        F.col("id").alias("file_id"), F.col("name").alias("file_name"), F.col("parent_id").alias("user_folder_id")
+    )
+    return attach_texts(listed if ledger is None else unprocessed(listed, ledger), bodies)
+
+
 def summarise_batch(
     spark: SparkSession,
     transcripts: DataFrame,
@@ -46,24 +72,40 @@ def summarise_batch(
     batch: str,
     moved_at: Column,
     system: str = "",
+    slices: int = 1,
     **calls,
 ) -> DataFrame:
     """Summarise what the ledger does not show as done; returns the counts per folder.
 
     The replies are stored, with what was accepted of them, before summaries and ledger are
-    written from there: each transcript costs one model call and each reply is read once.
-    Run it without speculative tasks.
+    written from there: each transcript costs one model call and each reply is read once. They
+    are stored in ``slices``, by a hash of the file id: started again after a failure, the batch
+    goes on with the slice that was not finished. A batch whose ledger is written cannot be
+    written again. Run it without speculative tasks.
     """
     todo = transcripts if ledger is None else unprocessed(transcripts, ledger)
-    called = enrich_with_retry(requests(todo, system), fn, keep=KEEP, text="request", **calls)
     replies = f"{out}/replies/archive_batch_id={batch}"
-    outcomes(called).drop("v").write.mode("errorifexists").parquet(replies)
+    if _exists(spark, f"{replies}/done"):
+        raise FileExistsError(f"batch {batch} is done")
+    for i in range(slices):
+        if not _exists(spark, f"{replies}/slice={i}/_SUCCESS"):
+            part = todo.where(F.pmod(F.xxhash64("file_id"), F.lit(slices)) == i)
+            called = enrich_with_retry(requests(part, system), fn, keep=KEEP, text="request", **calls)
+            outcomes(called).drop("v").write.mode("overwrite").parquet(f"{replies}/slice={i}")
 
-    done = spark.read.parquet(replies).withColumn("archive_batch_id", F.lit(batch))
+    parts = [f"{replies}/slice={i}" for i in range(slices)]
+    done = spark.read.parquet(*parts).withColumn("archive_batch_id", F.lit(batch))
     summaries = done.where(F.col("status") == "success").select(
         "file_id", "user_folder_id", "json_content", "output_filename", "archive_batch_id"
     )
     write_summaries(summaries, f"{out}/summaries")
     rows = ledger_row(done, moved_at).select(LEDGER.fieldNames())
     append_ledger(rows, f"{out}/ledger")
-    return batch_status_counts(rows)
+    counts = batch_status_counts(rows)
+    counts.write.parquet(f"{replies}/done")
+    return spark.read.parquet(f"{replies}/done")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)

@@ -4,7 +4,6 @@ rows, and values that are computed once."""
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 BLOCK = 100_000
 
 
@@ -19,28 +18,6 @@ def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) ->
     return df.select(*keep, F.inline(F.array(row)))
 
 
-def salted_join(
-    big: DataFrame,
-    keyed: DataFrame,
-    on: list[str],
-    how: str,
-    spread: list[str],
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``big`` with ``keyed``, which has at most one row per key.
-
-    A key may own any share of ``big``: its rows are spread over ``salts`` groups by a hash
-    of ``spread``, and the single row of ``keyed`` is repeated once per group. Every row
-    of ``big`` still meets one row, so this is right for inner, left, semi and anti joins.
-    Whether the keyed side is broadcast is left to Spark, which measures it.
-    """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left = big.withColumn("_salt", salt)
-    right = keyed.withColumn("_salt", copies)
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def carried(
     blocks: DataFrame, keys: list[str], block: str, total: Column, out: str, start=None
 ) -> DataFrame:

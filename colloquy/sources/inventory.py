@@ -3,13 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..skew import salted_join
 from ..schemas import DOCUMENT_MIME
 
 
 def _in_folders(inventory: DataFrame, folders: DataFrame, how: str) -> DataFrame:
     wanted = folders.select(F.col("user_folder_id").alias("parent_id")).distinct()
-    return salted_join(inventory, wanted, ["parent_id"], how, spread=["id"])
+    return inventory.join(wanted, "parent_id", how)
 
 
 def list_transcripts(

@@ -7,10 +7,14 @@ from ..functions.json import summary_unwrap
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Stored replies, one per file: ``file_id, raw, v``."""
+    """Stored replies, one per file: ``file_id, raw, v``.
+
+    The id is the file's plain path, written as ``scan_transcripts`` writes it.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("raw")
+        F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file_id"),
+        F.col("value").alias("raw"),
     ).withColumn("v", summary_unwrap(F.col("raw")))
 
 

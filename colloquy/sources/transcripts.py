@@ -33,8 +33,16 @@ def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_texts(listed: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Every listed file with its text; null where there is no body for it."""
-    return listed.join(bodies.select("file_id", "text"), "file_id", "left")
+    """Every listed file with its text; null where there is no body for it.
+
+    The bodies are the side that Spark need not move if the list is short; the files without
+    one are found by their ids alone.
+    """
+    texts = bodies.select("file_id", "text")
+    met = texts.join(listed, "file_id")
+    lost = listed.join(texts.select("file_id"), "file_id", "left_anti")
+    columns = [*listed.columns, "text"]
+    return met.select(columns).unionByName(lost.withColumn("text", F.lit(None).cast("string")).select(columns))
 
 
 def write_transcript_text(df: DataFrame, path: str, per_file: bool = False) -> None:

@@ -1,23 +1,30 @@
 """Summaries and ledger rows, batch by batch."""
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import batch_id
 from ..operators.outcome import ledger_row
 from ..plans.summarise import outcomes
-from ..schemas import BATCH_PREFIX
 
 
-def _put(df: DataFrame, path: str, number: int) -> None:
-    """Write one batch's partition; a repeated batch takes the place of its first try."""
+KEYS = ["run_id", "batch_id"]
+
+
+def _put(df: DataFrame, path: str, run: str, number: int) -> None:
+    """Write one batch's partition; a repeated batch takes the place of its first try.
+
+    Batch numbers start again with a new checkpoint, so they count within the run.
+    """
     (
-        df.withColumn("batch_id", F.lit(number).cast("long"))
+        df.withColumns({"run_id": F.lit(run), "batch_id": F.lit(number).cast("long")})
         .write.mode("overwrite")
-        .partitionBy("batch_id")
+        .partitionBy(*KEYS)
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
@@ -29,30 +36,32 @@ def ledger_stream(
     out: str,
     checkpoint: str,
     moved_at: Column,
+    batch_time: Column | None = None,
 ) -> StreamingQuery:
     """Run ``enrich`` on what is new, then write replies, summaries and ledger of the batch.
 
-    The tables lie below ``out``, partitioned by batch. Start it on a stream of transcripts;
-    it stops when everything available is done.
+    The tables lie below ``out``, partitioned by run and batch. The run is the query's id, which
+    lives in the checkpoint: whoever starts again without it begins a new run and leaves the rows
+    of earlier ones as they are. The archive batch is named by ``batch_time``, by default the time
+    at which the batch was tried. Start it on a stream of transcripts; it stops when everything
+    available is done.
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        enriched = outcomes(enrich(batch)).drop("v")
-        _put(enriched, f"{out}/replies", number)
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        started = F.lit(datetime.now(timezone.utc)) if batch_time is None else batch_time
+        enriched = outcomes(enrich(batch)).drop("v").withColumn("archive_batch_id", batch_id(started))
+        _put(enriched, f"{out}/replies", run, number)
         # The schema is given, as an empty batch writes no file to take it from.
-        layout = T.StructType([*enriched.schema.fields, T.StructField("batch_id", T.LongType())])
-        stored = batch.sparkSession.read.schema(layout).parquet(f"{out}/replies")
-        name = f"{BATCH_PREFIX}{number:08d}"
-        done = (
-            stored.where(F.col("batch_id") == number)
-            .drop("batch_id")
-            .withColumn("archive_batch_id", F.lit(name))
-        )
+        keys = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())]
+        stored = spark.read.schema(T.StructType([*enriched.schema.fields, *keys])).parquet(f"{out}/replies")
+        done = stored.where((F.col("run_id") == run) & (F.col("batch_id") == number)).drop(*KEYS)
         accepted = done.where(F.col("status") == "success").select(
             "file_id", "user_folder_id", "json_content", "output_filename", "archive_batch_id"
         )
-        _put(accepted, f"{out}/summaries", number)
-        _put(ledger_row(done, moved_at), f"{out}/ledger", number)
+        _put(accepted, f"{out}/summaries", run, number)
+        _put(ledger_row(done, moved_at), f"{out}/ledger", run, number)
 
     query = (
         stream.writeStream.foreachBatch(process)

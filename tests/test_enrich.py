@@ -50,7 +50,7 @@ def test_replies_and_outcomes(spark):
     rows = [("1", "a", "u"), ("2", "", "u"), ("3", None, "u"), ("4", "down", "u"), ("5", "chatty", "u")]
     df = spark.createDataFrame(rows, "file_id string, text string, user_folder_id string")
     called = enrich_with_retry(
-        df, reply_by_text, backoff=0, parallelism=3, keep=("user_folder_id",)
+        df, reply_by_text, backoff=0, partitions=3, keep=("user_folder_id",)
     )
     assert called.rdd.getNumPartitions() == 3
     seen, observation = observe_batch(outcomes(called), "test")

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy import configure, work_dir
+from colloquy import work_dir
 from colloquy.operators import (
     assemble_parts,
     assemble_transcript,
@@ -20,7 +20,7 @@ from colloquy.operators import (
     transcript_segments,
     unprocessed,
 )
-from colloquy.plans import summarise_batch
+from colloquy.plans import outcomes, summarise_batch, to_summarise
 from colloquy.sources import (
     append_ledger,
     attach_texts,
@@ -243,12 +243,74 @@ def test_batch_runs_again_only_where_it_failed(spark, tmp_path):
     assert sorted((r.file_id, r.user_folder_id) for r in summaries) == [("1", "u1"), ("4", "u2")]
     assert read_ledger(spark, f"{out}/ledger").count() == 6
     # The same batch cannot be written over itself.
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    with pytest.raises(FileExistsError):
         summarise_batch(
             spark, transcripts(spark, rows), ledger, model(), out, "b2", F.lit("t2"), backoff=0
         )
 
 
+def test_a_failed_batch_goes_on_with_its_slice(spark, tmp_path):
+    rows = [(str(i), f"n{i}", "u", f"text {i}") for i in range(40)]
+    log, out = tmp_path / "calls", str(tmp_path / "out")
+    log.mkdir()
+
+    def counting(broken):
+        def reply(text):
+            if broken and "text 7" in text:
+                raise SystemExit("the worker is gone")
+            (log / f"{broken}-{hash(text)}-{len(list(log.iterdir()))}").touch()
+            return '{"title":"t","date":"2024-03-01"}'
+
+        return reply
+
+    def run(broken):
+        return summarise_batch(
+            spark, transcripts(spark, rows), None, counting(broken), out, "b1", F.lit("t"), slices=8, partitions=2
+        )
+
+    with pytest.raises(Exception):
+        run(True)
+    stored = [p.name for p in (tmp_path / "out" / "replies" / "archive_batch_id=b1").glob("slice=*/_SUCCESS")]
+    before = spark.read.parquet(*[str(p.parent) for p in (tmp_path / "out").glob("replies/*/slice=*/_SUCCESS")]).count() if stored else 0
+    (counts,) = run(False).collect()
+    assert (counts.succeeded, counts.failed) == (40, 0)
+    again = sum(p.name.startswith("False") for p in log.iterdir())
+    assert again == 40 - before  # nothing that was stored is asked for again
+
+
+def test_list_skip_read(spark, tmp_path):
+    inventory = spark.createDataFrame(
+        [(str(i), f"n{i}", DOCUMENT_MIME if i else "image/png", i == 1, "u1", None, None) for i in range(6)], INVENTORY
+    )
+    folders = spark.createDataFrame([("u1",)], "user_folder_id string")
+    ledger = spark.createDataFrame([("2", "success"), ("3", "failed")], "original_file_id string, status string")
+    bodies = spark.createDataFrame([(str(i), f"text {i}") for i in range(5)], "file_id string, text string")
+    bodies.write.parquet(str(tmp_path / "bodies"))
+    todo = to_summarise(inventory, folders, ledger, spark.read.parquet(str(tmp_path / "bodies")))
+    assert {r.file_id: r.text for r in todo.collect()} == {"3": "text 3", "4": "text 4", "5": None}
+    plan = todo._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():  # listing and ledger meet without any text
+        if "LeftAnti" in line or "LeftSemi" in line:
+            assert "text" not in line
+
+
+def test_stages_of_an_outcome(spark):
+    rows = [(str(i), f"n{i}", a, '{"title":"t"}' if a else None, u, r) for i, (a, u, r) in enumerate([(0, None, None), (1, "full", "x"), (1, None, "gone"), (1, None, None)])]
+    df = spark.createDataFrame(rows, "file_id string, file_name string, attempts int, reply string, upload_error string, archive_error string")
+    assert {r.file_id: r.error for r in outcomes(df).collect()} == {
+        "0": "Transcript download failed: Transcript download failed",
+        "1": "Summary upload failed: full",
+        "2": "Could not archive n2 (2): gone",
+        "3": "",
+    }
+
+
+def test_newest_row_of_summaries_with_variants(spark):
+    df = spark.sql("select * from values ('a', 1, parse_json('1')), ('a', 2, parse_json('{\"x\":2}')) t(k, n, v)")
+    (row,) = latest_summary(df, ["k"], ["n"]).collect()
+    assert row.n == 2
+
+
 def test_stream_of_files_equals_batch(spark, tmp_path):
     inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     for i in range(4):
@@ -303,15 +365,27 @@ def test_ledger_stream_replays_without_change(spark, tmp_path):
         ledger = sorted(tuple(r) for r in spark.read.parquet(f"{out}/ledger").collect())
         return ledger, spark.read.parquet(f"{out}/summaries").count()
 
+    def table(found):
+        return [(r[0], r[5]) for r in found[0]]
+
     first = run(str(tmp_path / "cp"))
     assert [(r[0], r[5]) for r in first[0]] == [("1", "success"), ("2", "failed"), ("3", "failed")]
     assert first[1] == 1
-    # A lost checkpoint makes the batch run again: it replaces itself.
-    assert run(str(tmp_path / "cp2")) == first
     # With the checkpoint, only what is new becomes a batch.
     transcripts(spark, [("4", "d", "u2", "new")]).write.mode("append").parquet(inbox)
-    later, summaries = run(str(tmp_path / "cp"))
-    assert len(later) == 4 and summaries == 2
+    later = run(str(tmp_path / "cp"))
+    assert table(later) == [*table(first), ("4", "success")] and later[1] == 2
+    # A batch that is tried again takes its own place.
+    log = tmp_path / "cp" / "commits"
+    for name in ("1", ".1.crc"):
+        (log / name).unlink(missing_ok=True)
+    assert table(run(str(tmp_path / "cp"))) == table(later)
+    # A new checkpoint counts from 0 again, in a run of its own: with the earlier files archived,
+    # their rows stay.
+    shutil.rmtree(inbox)
+    transcripts(spark, [("5", "e", "u1", "more")]).write.parquet(inbox)
+    after = run(str(tmp_path / "cp2"))
+    assert table(after) == [*table(later), ("5", "success")] and after[1] == 3
 
 
 def test_text_per_file(spark, tmp_path):

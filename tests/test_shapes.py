@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.skew import computed_once, running, salted_join, top_per_key
+from colloquy.skew import computed_once, running, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -38,16 +38,6 @@ def test_running(skewed, block):
     assert {r.pos: (r.n, r.last) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join(spark, skewed, how):
-    _, df = skewed
-    keyed = spark.createDataFrame([("hot", 1), ("k3", 2), ("absent", 3)], "k string, w int")
-    plain = df.join(keyed, "k", how)
-    salted = salted_join(df, keyed, ["k"], how, spread=["pos"], salts=5)
-    assert salted.columns == plain.columns
-    assert sorted(salted.collect(), key=str) == sorted(plain.collect(), key=str)
-
-
 @pytest.mark.parametrize("k", [1, 3, 1500])
 def test_top_per_key(skewed, k):
     rows, df = skewed

@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     columns,
     files,
     items,
+    jobs,
     joins,
     logs,
     media,

@@ -41,8 +41,9 @@ from .shared import Scratch
 DEPTH = 5
 CONTEXTS = 16_000
 FREQUENT = 500_000
-HELD_WORDS = 300_000  # distinct words a task adds up before it hands them on
-HELD_GRAMS = 4_000_000
+HELD_WORDS = 150_000  # distinct words a task adds up before it hands them on
+HELD_GRAMS = 1_500_000  # and windows
+COUNTED = 1 << 20  # bytes of text whose windows are counted at a time
 LANE = 1024
 END = 0
 SYMBOLS = 257
@@ -73,8 +74,11 @@ def grams(texts: list[bytes]) -> np.ndarray:
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def counted(training: DataFrame) -> DataFrame:
@@ -94,23 +98,26 @@ def counted(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        held = None
+        parts, size = [], 0
         for batch in batches:
-            for chunk in chunks(batch, "text"):
+            for chunk in chunks(batch, "text", COUNTED):
                 texts = []
                 for text in chunk.column(0):
                     own = tokens(text)
                     words.update(own)
                     texts.append(stream(own))
-                keys, n = np.unique(grams(texts), return_counts=True)
-                held = merged([held, (keys, n)]) if held else (keys, n.astype(np.int64))
+                parts.append(np.unique(grams(texts), return_counts=True))
+                size += len(parts[-1][0])
                 if len(words) > HELD_WORDS:
                     yield from rows(words, None)
                     words = Counter()
-                if len(held[0]) > HELD_GRAMS:
-                    yield from rows(Counter(), held)
-                    held = None
-        yield from rows(words, held)
+                if size > HELD_GRAMS:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if 2 * size > HELD_GRAMS:
+                        yield from rows(Counter(), parts[0])
+                        parts, size = [], 0
+        yield from rows(words, merged(parts) if parts else None)
 
     each = training.select("text").mapInArrow(run, "word binary, gram bigint, n bigint")
     return each.groupBy("word", "gram").agg(F.sum("n").alias("n"))
@@ -270,7 +277,7 @@ def score(spark: SparkSession, docs: DataFrame, train: Column) -> DataFrame:
         tree, frequent = LOADED[key]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for chunk in chunks(batch, "text"):
+            for chunk in chunks(batch, "text", 2 * COUNTED):
                 texts, n, n_known, base, rare, times, ends = [], [], [], [], [], [], [0]
                 for text in chunk.column(1):
                     own = tokens(text)

@@ -7,6 +7,7 @@ from colloquy.operators import enrich_with_retry, log_error_windows
 from colloquy.streaming import (
     archive_on_commit,
     incremental_ingest,
+    land_transcripts,
     ledger_stream,
     run_available,
 )
@@ -33,6 +34,21 @@ def streamed_transcripts(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("select 'item ' || item_id as user_folder_id, true as is_valid_utf8, md5(text || chr(10)) as text_md5 from benchmark")
+def landed_transcripts(spark, sf):
+    """A file per benchmark item, in a folder with a blank in its name, read into one table in two runs."""
+    inbox, out, checkpoint = work_dir(spark, "files"), work_dir(spark, "landed"), work_dir(spark, "landed-checkpoint")
+    items = table(spark, sf, "benchmark").select(
+        "item_id", F.concat(F.lit("item "), "item_id").alias("folder"), F.col("text").alias("value")
+    )
+    for turn in range(2):
+        some = items.where(F.col("item_id") % 2 == turn).drop("item_id")
+        some.write.mode("append").partitionBy("folder").text(inbox)
+        landed = land_transcripts(spark, inbox, out, checkpoint, pathGlobFilter="*.txt")
+    folder = F.url_decode(F.regexp_extract("user_folder_id", "folder=(.*)", 1))
+    return landed.select(folder.alias("user_folder_id"), "is_valid_utf8", F.md5("text").alias("text_md5"))
+
+
 @query("select source, count(*) as rows, sum(length(text))::bigint as chars from documents group by source")
 def archived_transcripts(spark, sf):
     """A copy of the documents, one folder per source, streamed and archived file by file."""

@@ -8,6 +8,7 @@ from .summaries import read_summaries, write_summaries
 from .transcripts import (
     attach_texts,
     decode_transcripts,
+    laid_out,
     scan_transcripts,
     write_transcript_text,
 )
@@ -17,6 +18,7 @@ __all__ = [
     "attach_texts",
     "decode_transcripts",
     "inventory_report",
+    "laid_out",
     "list_transcripts",
     "read_job_log",
     "read_ledger",

@@ -20,6 +20,11 @@ def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
     Spark's readers pass over files of zero bytes; ``attach_texts`` keeps those that are listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return laid_out(files)
+
+
+def laid_out(files: DataFrame) -> DataFrame:
+    """Files of the ``binaryFile`` source, from a table or a stream, as transcripts."""
     parts = F.split("path", "/")
     return decode_transcripts(
         files.select(

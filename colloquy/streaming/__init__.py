@@ -1,6 +1,12 @@
 """Incremental runs with Structured Streaming."""
 
-from .ingest import archive_on_commit, incremental_ingest, run_available
+from .ingest import archive_on_commit, incremental_ingest, land_transcripts, run_available
 from .ledger import ledger_stream
 
-__all__ = ["archive_on_commit", "incremental_ingest", "ledger_stream", "run_available"]
+__all__ = [
+    "archive_on_commit",
+    "incremental_ingest",
+    "land_transcripts",
+    "ledger_stream",
+    "run_available",
+]

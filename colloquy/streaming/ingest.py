@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.transcripts import laid_out
+
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -54,3 +56,14 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     )
     query.awaitTermination()
     return query
+
+
+def land_transcripts(spark: SparkSession, path: str, out: str, checkpoint: str, **options: str) -> DataFrame:
+    """Many small transcript files become rows of one table; returns the table.
+
+    Each run takes in the files that are new. Listing and opening files is done once for each;
+    later jobs read the table, whose files hold many transcripts, by the same ``file_id``.
+    """
+    options = {"recursiveFileLookup": "true", **options}
+    run_available(laid_out(incremental_ingest(spark, path, **options)), out, checkpoint)
+    return spark.read.parquet(out)

@@ -49,22 +49,34 @@ def landed_transcripts(spark, sf):
     return landed.select(folder.alias("user_folder_id"), "is_valid_utf8", F.md5("text").alias("text_md5"))
 
 
-@query("select source, count(*) as rows, sum(length(text))::bigint as chars from documents group by source")
+@query(
+    """select source, count(*) as rows, count(*) as seen, sum(length(text))::bigint as chars, true as archived
+    from documents group by source"""
+)
 def archived_transcripts(spark, sf):
-    """A copy of the documents, one folder per source, streamed and archived file by file."""
+    """A copy of the documents, one folder per source, streamed a few files at a time and archived.
+
+    Every file is then in the archive or still in the inbox, and what lies there is what was seen.
+    """
     inbox, archive = work_dir(spark, "inbox"), work_dir(spark, "archive")
     out, checkpoint = work_dir(spark, "archived"), work_dir(spark, "archived-checkpoint")
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     docs.hint("rebalance", "source").write.partitionBy("source").parquet(inbox)
-    stream = archive_on_commit(
-        spark, inbox, archive, "parquet", docs.schema, maxFilesPerTrigger="50"
-    )
-    run_available(stream.select("source", F.length("text").alias("n")), out, checkpoint)
-    return (
-        spark.read.parquet(out)
-        .groupBy("source")
-        .agg(F.count("*").alias("rows"), F.sum("n").alias("chars"))
+    stream = archive_on_commit(spark, inbox, archive, "parquet", docs.schema, maxFilesPerTrigger="7")
+    for _ in range(2):
+        run_available(stream.select("source", F.length("text").alias("n")), out, checkpoint)
+    seen = spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("seen"))
+    source = F.url_decode(F.regexp_extract("_metadata.file_path", "source=([^/]*)/", 1)).alias("source")
+
+    def rows(folder):
+        files = spark.read.schema("doc_id long, text string").option("recursiveFileLookup", "true").parquet(folder)
+        return files.select(source, "text")
+
+    moved = rows(archive)
+    kept = moved.union(rows(inbox)).groupBy("source").agg(
+        F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")
     )
+    return kept.join(seen, "source").withColumn("archived", F.lit(not moved.isEmpty()))
 
 
 @query(

@@ -219,6 +219,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 8, block_words: int =
         F.col(names["some"]).isNull() | F.array_contains(names["some"], F.col(names["place"]))
     )
     order = F.xxhash64(F.lit(seed + 4), names["copy"], names["place"])
-    out = rows.repartition(shards, names["shard"]).sortWithinPartitions(names["shard"], order)
+    # a shard is a partition: a hash of it would put several into one
+    out = rows.repartitionById(shards, F.col(names["shard"]).cast("int")).sortWithinPartitions(names["shard"], order)
     keep = [F.col(c) for c in docs.columns]
     return out.select(*keep, *([F.col(names["shard"]).alias(shard)] if shard else []))

@@ -22,9 +22,8 @@ Defined results
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,15 +38,6 @@ TO_WORDS = bytes(
     for b in range(256)
 )
 
-FOUND = T.StructType(
-    [
-        T.StructField("n_words", T.LongType(), False),
-        T.StructField("n_hit", T.LongType(), False),
-        T.StructField("items", T.ArrayType(T.StringType(), False), False),
-    ]
-)
-
-
 class Automaton:
     """Generalised suffix automaton over the words of items."""
 
@@ -202,7 +192,7 @@ def parts(spark: SparkSession, bench: DataFrame, window: int, most: int = PART_B
 
 
 def _matched(docs: DataFrame, part: Part, out: str) -> DataFrame:
-    """``docs`` with a struct of ``FOUND`` for this part of the items."""
+    """``docs`` with a struct for this part of the items: number of words, hit spans, items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = built(part)
@@ -262,7 +252,7 @@ def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window
     return docs.withColumn("found", found).drop(*got)
 
 
-def covered(spans: str) -> "F.Column":
+def covered(spans: Column) -> Column:
     """Number of words in the spans of a column; spans of several parts may overlap."""
     ordered = F.array_sort(spans)
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end"))

@@ -39,7 +39,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import components
 from .flat import LOWER, Texts, Words, chunks, mix, randoms

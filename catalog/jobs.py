@@ -11,7 +11,7 @@ from colloquy.schemas import DOCUMENT_MIME
 from .columns import MOVED_AT
 from .joins import label_ledger
 from .logs import RUNS_SQL, log_lines
-from .registry import query, table, transcripts
+from .registry import query, transcripts
 from .replies import no_wait
 
 BATCH = "processed-transcripts_20310509-040506"

@@ -12,7 +12,7 @@ from colloquy.operators import (
     transcript_segments,
 )
 
-from .registry import SENTENCES, query, transcripts, turns, table
+from .registry import SENTENCES, query, transcripts, turns
 
 NUMBERED = f"""
 select doc_id::varchar as file_id, unnest(s) as segment, unnest(range(1, len(s) + 1)) as pos

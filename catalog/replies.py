@@ -16,7 +16,7 @@ from colloquy.schemas import DOCUMENT_MIME, SUMMARY_FAILED
 from colloquy.sources import list_transcripts
 
 from .columns import sanitized
-from .registry import ESCAPED, escaped, query, table, transcripts
+from .registry import ESCAPED, escaped, query, transcripts
 
 # What each tenth of the documents gets as a reply; {o} stands for a good JSON object.
 KINDS = (

@@ -323,5 +323,6 @@ def decontaminate(
         docs = again
     if "n_chars" in docs.columns:
         kind = schema["n_chars"].dataType
-        docs = docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(kind))
+        length = F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars"))
+        docs = docs.withColumn("n_chars", length.cast(kind))
     return docs

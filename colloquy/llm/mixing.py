@@ -94,17 +94,20 @@ def quotas(shard: int, shards: int, drawings: np.ndarray, seed: int) -> np.ndarr
     return np.stack([before, have])
 
 
-def drawings(spark: SparkSession, slim: DataFrame, seed: int, scratch: Scratch, block_words: int, shard_words: int) -> tuple[DataFrame, DataFrame, int]:
+def drawings(
+    spark: SparkSession, slim: DataFrame, seed: int, scratch: Scratch, block_words: int, shard_words: int
+) -> tuple[DataFrame, DataFrame, int]:
     """What is drawn: ``key, block, copy, some, shard``; the sources; the number of shards.
 
     ``some`` is null where all of a block is drawn, else the places in it that are. ``slim`` has
-    ``key, size, place``.
+    ``key, size, place``. The windows below sort one row per block of a source, not its documents.
     """
     sources = scratch.keep(targets(slim.groupBy("key").agg(F.sum("size").alias("source_size"))), "sources")
+    ratio, whole = F.col("target") / F.nullif("source_size", F.lit(0)), F.col("epochs") * F.col("source_size")
     plan = scratch.keep(
         sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)))
-        .withColumn("epochs", F.least(F.lit(CAP), F.floor(F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0)))))
-        .withColumn("more", F.when(F.col("epochs") < CAP, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0)),
+        .withColumn("epochs", F.least(F.lit(CAP), F.floor(F.coalesce(ratio, F.lit(0)))))
+        .withColumn("more", F.when(F.col("epochs") < CAP, F.col("target") - whole).otherwise(0.0)),
         "plan",
     )
     placed = slim.join(plan.select("key", "blocks"), "key").withColumn("block", F.pmod("place", "blocks"))
@@ -181,7 +184,13 @@ def _filled(seed: int):
     return fill
 
 
-def mix_table(spark: SparkSession, docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix_table(
+    spark: SparkSession,
+    docs: DataFrame,
+    seed: int = 8,
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies``: how often the mix takes each row."""
     scratch = Scratch(spark, "mix-table")
     slim = sized(docs.select("doc_id", "source", "text"), seed).select(
@@ -200,7 +209,14 @@ def mix_table(spark: SparkSession, docs: DataFrame, seed: int = 8, block_words:
     )
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard: str | None = None) -> DataFrame:
+def mix(
+    spark: SparkSession,
+    docs: DataFrame,
+    seed: int = 8,
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+    shard: str | None = None,
+) -> DataFrame:
     """The rows of the mix, repeats included, dealt to shards and shuffled within each.
 
     With ``shard``, a column of this name tells the shard.

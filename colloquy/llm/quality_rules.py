@@ -238,7 +238,9 @@ def judge(counted: DataFrame, cutoffs: DataFrame, counts: str, stratum: str, out
     )
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits) -> DataFrame:
+def quality_rules(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits
+) -> DataFrame:
     """``docs`` as they are, with ``rejected_by``: the rules that reject a text, null if it stays.
 
     Two passes over the texts: one counts what the labelled documents show, one judges every text
@@ -250,10 +252,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, strat
     return judge(with_counts(docs, counts), cutoffs, counts, stratum, "rejected_by").drop(counts)
 
 
-def quality_table(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits) -> DataFrame:
+def quality_table(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits
+) -> DataFrame:
     """Counts and verdict of each document, without its text; the texts are read once."""
     scratch = Scratch(spark, "quality-table")
     slim = with_counts(docs.select("doc_id", stratum, "text"), "counts").drop("text")
     slim = scratch.keep(slim, "counts")
     cutoffs = scratch.keep(choose_cutoffs(slim, labels, "counts", stratum, **limits), "cutoffs")
-    return judge(slim, cutoffs, "counts", stratum, "rejected_by").select("doc_id", stratum, "counts.*", "rejected_by", base_failed(F.col("counts")).alias("base_failed"))
+    failed = base_failed(F.col("counts")).alias("base_failed")
+    judged = judge(slim, cutoffs, "counts", stratum, "rejected_by")
+    return judged.select("doc_id", stratum, "counts.*", "rejected_by", failed)

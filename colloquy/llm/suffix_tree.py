@@ -139,7 +139,8 @@ def retained(windows: DataFrame, scratch: Scratch, contexts: int) -> tuple[pa.Ta
     shares = every.join(totals, ["level", "context"]).select("level", "context", "gram", "n", (F.col("n") / F.col("total")).alias("p"))
     above = shares.select((F.col("level") + 1).alias("level"), F.col("gram").alias("suffix"), F.col("p").alias("q"))
     both = shares.where("level > 0").withColumn("suffix", low("gram", F.col("level"))).join(above, ["level", "suffix"])
-    gains = both.groupBy("level", "context").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"), F.count("*").alias("k"))
+    gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("q")))
+    gains = both.groupBy("level", "context").agg(gain.alias("gain"), F.count("*").alias("k"))
     # twice the gain is about chi-squared with k - 1 degrees of freedom: mean plus four deviations
     bound = F.col("k") + 4 * F.sqrt(2.0 * F.col("k"))
     chosen = gains.where(2 * F.col("gain") > bound).orderBy(F.desc("gain"), "level", "context").limit(contexts)
@@ -315,10 +316,12 @@ def score(spark: SparkSession, docs: DataFrame, train: Column) -> DataFrame:
         "rare array<binary>, times array<int>"
     )
     scored = scratch.keep(slim.select("doc_id", "text", "train").mapInArrow(run, schema), "scored")
-    left = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("tf"))
+    left = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+    left = left.select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("tf"))
     joined = left.join(words, "word", "left")
     log = F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(float(floor)))
-    rest = joined.groupBy("row").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more_known"))
+    seen = F.when(F.col("n") > 0, F.col("tf")).otherwise(0)
+    rest = joined.groupBy("row").agg(F.sum(log).alias("more"), F.sum(seen).alias("more_known"))
     return scored.drop("rare", "times").join(rest, "row", "left").select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

@@ -221,7 +221,8 @@ def _frame(reader: zstandard.ZstdDecompressor, content: bytes, at: int) -> tuple
 
 
 def _rows(rows: list[dict], names: list[str]) -> pa.RecordBatch:
-    kinds = {"at": pa.int64(), "length": pa.int64(), "page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+    kinds = dict.fromkeys(("at", "length", "page_id", "refers_to", "payload_bytes"), pa.int64())
+    kinds["payload"] = pa.binary()
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names)
 
 

@@ -18,6 +18,7 @@ Defined results
 """
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ class Encoder:
     """Ids of a text as bytes of little-endian numbers; pieces between spaces are remembered.
 
     The pattern never joins what stands on both sides of a single space between two characters that
-    are not white space, so such pieces are encoded one by one and alike everywhere.
+    are not white space, so such pieces, each with the space before it, are encoded one by one and
+    alike everywhere.
     """
 
     def __init__(self, ranks: bytes):
@@ -50,31 +52,38 @@ class Encoder:
         self.end = max(table.values()) + 1
         self.dtype = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known: dict[str, bytes] = {}  # without the space before it; none has white space at an end
 
-    def _piece(self, piece: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = self.known[piece] = np.array(self.encoding.encode_ordinary(piece), self.dtype).tobytes()
-        return ids
+    def _ids(self, piece: str) -> bytes:
+        return array(self.code, self.encoding.encode_ordinary(piece)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        known, out, held = self.known, [], None
-        for i, part in enumerate(text.split(" ")):
-            piece = " " + part if i else part
-            if not part or part[0].isspace() or part[-1].isspace():
-                # white space at an end: what touches it is encoded with it, in one go
-                held = piece if held is None else held + piece
-                continue
-            if held is not None:
-                out.append(np.array(self.encoding.encode_ordinary(held + piece), self.dtype).tobytes())
+        known, out = self.known, []
+        first, *rest = text.split(" ")
+        held = first  # not yet encoded: the start of the text, or what white space ties together
+        for part in rest:
+            if held is None:
+                ids = known.get(part)
+                if ids is None:
+                    if not part or part[0].isspace() or part[-1].isspace():
+                        held = " " + part
+                        continue
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    ids = known[part] = self._ids(" " + part)
+                out.append(ids)
+            elif not part or part[0].isspace() or part[-1].isspace():
+                held = f"{held} {part}"
+            elif not held or held[-1].isspace():
+                out.append(self._ids(f"{held} {part}"))
+                held = None
+            else:
+                out += [self._ids(held), self._ids(" " + part)]
                 held = None
-                continue
-            ids = known.get(piece)
-            out.append(self._piece(piece) if ids is None else ids)
         if held is not None:
-            out.append(np.array(self.encoding.encode_ordinary(held), self.dtype).tobytes())
-        out.append(np.array([self.end], self.dtype).tobytes())
+            out.append(self._ids(held))
+        out.append(array(self.code, [self.end]).tobytes())
         return np.frombuffer(b"".join(out), self.dtype)
 
 

@@ -11,11 +11,13 @@ from colloquy.operators import (
     assemble_parts,
     assemble_transcript,
     assistant_mentions,
+    citation_check,
     cue_extract,
     enrich_with_retry,
     files_of_folders,
     latest_summary,
     ledger_row,
+    log_error_windows,
     owner_from_speaker,
     transcript_segments,
     unprocessed,
@@ -27,6 +29,7 @@ from colloquy.sources import (
     inventory_report,
     list_transcripts,
     read_ledger,
+    read_summaries,
     scan_transcripts,
     write_transcript_text,
 )
@@ -34,6 +37,7 @@ from colloquy.schemas import DOCUMENT_MIME, INVENTORY, LEDGER
 from colloquy.streaming import (
     archive_on_commit,
     incremental_ingest,
+    land_transcripts,
     ledger_stream,
     run_available,
 )
@@ -417,3 +421,46 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Session, "a")
+
+
+def test_error_windows_close_with_the_time_of_all_lines(spark, tmp_path):
+    inbox, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    layout = "ts timestamp_ntz, level string"
+
+    def add(*rows):
+        spark.createDataFrame([(datetime(2031, *at), level) for at, level in rows], layout).write.mode("append").parquet(inbox)
+
+    def run():
+        stream = incremental_ingest(spark, inbox, "parquet", spark.read.parquet(inbox).schema)
+        run_available(log_error_windows(stream, "1 hour", "10 minutes"), out, checkpoint)
+        return [(r.window_start, r.errors) for r in spark.read.parquet(out).orderBy("window_start").collect()]
+
+    add(((3, 1, 9, 5), "ERROR"), ((3, 1, 9, 20), "ERROR"), ((3, 1, 9, 30), "INFO"))
+    assert run() == []
+    add(((3, 20, 12, 0), "INFO"))  # no error for days, but the log goes on
+    assert run() == [(datetime(2031, 3, 1, 9), 2)]
+
+
+def test_citations(spark):
+    items = [("f", 1, "Para 2"), ("f", 2, "Para 3"), ("f", 3, 'he said "Blue Sky"'), ("f", 4, 'Para 1, "red"'), ("f", 5, "context"), ("f", 6, None), ("g", 7, "Para 1")]
+    df = spark.createDataFrame(items, "file_id string, pos int, citation string")
+    texts = spark.createDataFrame([("f", "One blue sky.\n\nTwo.")], "file_id string, text string")
+    got = {r.pos: (r.paragraph, r.cited, r.grounded) for r in citation_check(df, texts).collect()}
+    assert got == {
+        1: (2, True, True), 2: (3, True, False), 3: (None, True, True), 4: (1, True, False),
+        5: (None, False, False), 6: (None, False, False), 7: (1, True, False),
+    }
+
+
+def test_landing(spark, tmp_path):
+    put(tmp_path / "in" / "u 1", "a b.txt", "one\ntwo")
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "cp")
+    assert land_transcripts(spark, str(tmp_path / "in"), table, checkpoint).count() == 1
+    put(tmp_path / "in" / "u2", "c.txt", "three")
+    landed = land_transcripts(spark, str(tmp_path / "in"), table, checkpoint)
+    assert {(r.user_folder_id, r.file_name, r.text) for r in landed.collect()} == {
+        ("u 1", "a b.txt", "one\ntwo"), ("u2", "c.txt", "three"),
+    }
+    # Stored summaries carry the path in the same form.
+    ids = {r.file_id.split("/in/")[1] for r in read_summaries(spark, str(tmp_path / "in")).collect()}
+    assert ids == {r.file_id.split("/in/")[1] for r in landed.collect()}

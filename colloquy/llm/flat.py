@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20  # bytes of text that are worked on at a time; a longer text is a chunk by itself
-BLOCK = 1 << 20  # bytes that are hashed at a time
+CHUNK = 1 << 20  # bytes of text that are worked on at a time; a longer text is a chunk by itself
+BLOCK = 1 << 19  # bytes that are hashed at a time
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

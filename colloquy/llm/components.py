@@ -25,7 +25,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
         out = out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where(F.col("a") > F.col("b")).distinct()
+    return out.where(F.col("a") > F.col("b"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         i += 1
         step = scratch.keep(_stars(now, large=True), f"{name}-{i}-large")
-        after = scratch.keep(_stars(step, large=False), f"{name}-{i}")
+        after = scratch.keep(_stars(step, large=False).distinct(), f"{name}-{i}")
         scratch.drop(f"{name}-{i}-large", f"{name}-{i - 1}")
         now, before, seen = after, seen, digest(after)
         if seen == before:

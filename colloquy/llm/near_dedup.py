@@ -12,10 +12,11 @@ sets' Jaccard similarity is ``SIMILAR`` or more. The steps:
    ``COORDINATES - MATCHES + 1`` rarest of either one. Only these are kept as postings: a value
    that a passage common to many documents brings about is skipped unless a document has little
    else.
-4. Merging, in rounds: every posting whose classes are not yet one component proposes its
-   smallest member (later: one by a hash) as the partner of the others. Proposals with enough
-   matching coordinates are confirmed on the full sets; links become components. So a large
-   group of copies costs a link for each, not one for each two.
+4. Merging: every posting proposes its most central member, the one that shares most of its
+   coordinates with others, as the partner of the rest (in further rounds, if asked for, one by a
+   hash, where a posting is not yet one component). Proposals with enough matching coordinates are
+   confirmed on the full sets; links become components. So a large group of copies costs a link
+   for each, not one for each two.
 5. The rest: what is still in a posting with another component is held against all of it, after
    an exact bound. A shingle that only one of these documents has is in no intersection, so the
    shared ones must be enough for the overlap that the sizes ask for. Each pair is made once, at
@@ -48,7 +49,7 @@ SHINGLE = 5
 COORDINATES, MATCHES = 48, 23
 PREFIX = COORDINATES - MATCHES + 1
 NUM, DEN = 85, 100  # similarity of a link
-ROUNDS = 2
+ROUNDS = 1
 
 FACTORS = randoms(COORDINATES, 11)
 SHIFTS = randoms(COORDINATES, 12)
@@ -137,13 +138,15 @@ def with_sets(docs: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """``(key, rep)``: the prefix of each class that another class shares."""
+    """``(key, rep, common)``: the prefix of each class that another class shares, and how many of
+    its coordinates are shared."""
     posted = classes.select("rep", F.explode("signature").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     own = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cnt", "key"))).alias("keys"))
     # the pairs that nobody shares come first: they are the rarest
     room = F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("keys"))
-    return own.where(room > 0).select("rep", F.explode(F.slice("keys", 1, room)).alias("x")).select("x.key", "rep")
+    prefix = F.explode(F.slice("keys", 1, room)).alias("x")
+    return own.where(room > 0).select("rep", F.size("keys").alias("common"), prefix).select("x.key", "rep", "common")
 
 
 def enough(inter: Column, a: Column, b: Column) -> Column:
@@ -173,7 +176,7 @@ def labelled(posts: DataFrame, merged: DataFrame | None) -> DataFrame:
 
 def proposals(active: DataFrame, turn: int) -> DataFrame:
     """Each member of a posting with the posting's leader of this round; distinct pairs a > b."""
-    rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    rank = -F.col("common").cast("bigint") if turn == 0 else F.xxhash64("rep", F.lit(turn))
     lead = active.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "rep", "comp")).alias("lead"))
     met = active.join(lead, "key").where(F.col("comp") != F.col("lead.comp"))
     return met.select(

@@ -4,15 +4,20 @@ The tree is over the bytes of a text's tokens: each word followed by a space, th
 all windows of ``DEPTH + 1`` symbols are taken over the whole training text (each task adds up its
 own before the shuffle), and give the counts of shorter ones. A context is retained if the next-symbol
 distribution after it differs from that after its longest proper suffix by more than chance: its
-log-likelihood gain must exceed a chi-squared bound for its number of successors. Of these the
-``CONTEXTS`` with the largest gains make the tree, which bounds what is sent to the tasks; it is the
-size of the model, as the number of parameters of any other is.
+log-likelihood gain must exceed a chi-squared bound for its number of successors. All of these and
+their suffixes make the tree, so it grows with the training text; no context is longer than ``DEPTH``.
 
 Next-symbol distributions are smoothed towards the suffix's (Witten-Bell), the root's towards the
-uniform one over 257 symbols, so every text has a probability. For scoring the tree becomes an
-automaton whose state is the longest retained suffix of what was read. As no context is longer than
-``DEPTH``, a chunk of texts is cut into lanes that warm up over ``DEPTH`` symbols and advance
-together, a symbol a step.
+uniform one over 257 symbols, so every text has a probability. The tree stays on Spark: the probability
+of each window that occurs in any text is worked out level by level, from the shortest context to the
+longest retained one. Windows that make up at least one in ``FREQUENT_WINDOWS`` of the training text,
+which are at most ``FREQUENT_WINDOWS``, travel to the tasks with their logarithms; the rest of a
+document's windows are joined with theirs, a row per distinct rare window of a document.
+
+``learn`` makes a tree as an automaton on one machine, for a small text or a given number of contexts.
+Its state is the longest retained suffix of what was read. As no context is longer than ``DEPTH``, a
+chunk of texts is cut into lanes that warm up over ``DEPTH`` symbols and advance together, a symbol a
+step.
 
 The unigram base is over words. Counts of words that make up at least one in ``FREQUENT`` tokens, which
 are at most ``FREQUENT`` words, travel to the tasks; the rest of a document's words are joined with the
@@ -25,7 +30,6 @@ Defined results
 * an empty table: no rows.
 """
 
-import io
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,14 +43,15 @@ from .flat import chunks
 from .shared import Scratch
 
 DEPTH = 5
-CONTEXTS = 16_000
 FREQUENT = 500_000
+FREQUENT_WINDOWS = 8_000_000
 HELD_WORDS = 150_000  # distinct words a task adds up before it hands them on
 HELD_GRAMS = 1_500_000  # and windows
 COUNTED = 1 << 20  # bytes of text whose windows are counted at a time
 LANE = 1024
 SYMBOLS = 257
 U = np.uint64
+SPREAD = U(0x9E3779B97F4A7C15)
 
 
 def tokens(text: pa.Scalar) -> list[bytes]:
@@ -80,8 +85,11 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(n, first)
 
 
-def counted(training: DataFrame) -> DataFrame:
-    """``word, gram, n``: counts of words (gram null) and of windows (word null)."""
+def counted(docs: DataFrame) -> DataFrame:
+    """``word, gram, n``: counts of words (gram null) and of windows (word null) in rows of ``train``.
+
+    Windows that only other rows have are there with a count of 0.
+    """
     names = ["word", "gram", "n"]
 
     def rows(words: Counter, found: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
@@ -100,13 +108,19 @@ def counted(training: DataFrame) -> DataFrame:
         parts, size = [], 0
         for batch in batches:
             for chunk in chunks(batch, "text", COUNTED):
-                texts = []
-                for text in chunk.column(0):
+                learned, held = [], []
+                for text, train in zip(chunk.column(0), chunk.column(1).to_pylist()):
                     own = tokens(text)
-                    words.update(own)
-                    texts.append(stream(own))
-                parts.append(np.unique(grams(texts), return_counts=True))
-                size += len(parts[-1][0])
+                    if train:
+                        words.update(own)
+                    (learned if train else held).append(stream(own))
+                if learned:
+                    parts.append(np.unique(grams(learned), return_counts=True))
+                    size += len(parts[-1][0])
+                if held:
+                    other = np.unique(grams(held))
+                    parts.append((other, np.zeros(len(other), np.int64)))
+                    size += len(other)
                 if len(words) > HELD_WORDS:
                     yield from rows(words, None)
                     words = Counter()
@@ -118,7 +132,7 @@ def counted(training: DataFrame) -> DataFrame:
                         parts, size = [], 0
         yield from rows(words, merged(parts) if parts else None)
 
-    each = training.select("text").mapInArrow(run, "word binary, gram bigint, n bigint")
+    each = docs.select("text", "train").mapInArrow(run, "word binary, gram bigint, n bigint")
     return each.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -128,13 +142,18 @@ def low(gram: str | Column, symbols: Column) -> Column:
     return F.col(gram).bitwiseAND(mask) if isinstance(gram, str) else gram.bitwiseAND(mask)
 
 
-def retained(windows: DataFrame, scratch: Scratch, contexts: int) -> tuple[pa.Table, list[tuple[int, int]]]:
-    """Counts of the tree's nodes as ``level, context, symbol, n``, and its contexts (level, packed)."""
+def levels(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``level, gram, n, context``: windows of one symbol after a context of ``level`` symbols."""
     level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
     every = windows.select("gram", "n", level.alias("level"))
     every = every.select("level", low("gram", F.col("level") + 1).alias("gram"), "n")
     every = every.groupBy("level", "gram").agg(F.sum("n").alias("n"))
-    every = scratch.keep(every.withColumn("context", F.shiftright("gram", 8)), "windows")
+    return scratch.keep(every.withColumn("context", F.shiftright("gram", 8)), "windows")
+
+
+def divergent(every: DataFrame) -> DataFrame:
+    """``level, context, gain`` of the contexts that pass the test."""
+    every = every.where("n > 0")
     totals = every.groupBy("level", "context").agg(F.sum("n").alias("total"))
     shares = every.join(totals, ["level", "context"]).select("level", "context", "gram", "n", (F.col("n") / F.col("total")).alias("p"))
     above = shares.select((F.col("level") + 1).alias("level"), F.col("gram").alias("suffix"), F.col("p").alias("q"))
@@ -143,7 +162,88 @@ def retained(windows: DataFrame, scratch: Scratch, contexts: int) -> tuple[pa.Ta
     gains = both.groupBy("level", "context").agg(gain.alias("gain"), F.count("*").alias("k"))
     # twice the gain is about chi-squared with k - 1 degrees of freedom: mean plus four deviations
     bound = F.col("k") + 4 * F.sqrt(2.0 * F.col("k"))
-    chosen = gains.where(2 * F.col("gain") > bound).orderBy(F.desc("gain"), "level", "context").limit(contexts)
+    return gains.where(2 * F.col("gain") > bound).select("level", "context", "gain")
+
+
+def probabilities(every: DataFrame, scratch: Scratch) -> DataFrame:
+    """``gram, n, p`` of the longest windows: p of the last symbol after the longest retained suffix."""
+    passed = divergent(every)
+    suffixes = passed.select("context", F.explode(F.sequence(F.lit(1), "level")).alias("level"))
+    tree = suffixes.select("level", low("context", F.col("level")).alias("context")).distinct()
+    seen = every.where("n > 0").groupBy("level", "context").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
+    inner = seen.where("level > 0").join(tree, ["level", "context"], "left_semi")
+    nodes = scratch.keep(inner.unionByName(seen.where("level = 0")), "nodes")
+    p = None
+    for d in range(DEPTH + 1):
+        own = every.where(F.col("level") == d).select("context", "gram", "n")
+        own = own.join(nodes.where(F.col("level") == d).select("context", "total", "k"), "context", "left")
+        if d:
+            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1)))
+            own = own.join(p.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
+        else:  # the root is a node even if nothing was learned
+            own = own.withColumns(
+                {"total": F.coalesce("total", F.lit(0)), "k": F.coalesce("k", F.lit(1)), "q": F.lit(1 / SYMBOLS)}
+            )
+        mixed = (F.col("n") + F.col("k") * F.col("q")) / (F.col("total") + F.col("k"))
+        p = own.select("gram", "n", F.when(F.col("k").isNull(), F.col("q")).otherwise(mixed).alias("p"))
+    return p
+
+
+class Logs:
+    """Logarithms of packed windows, in buckets by the top bits of a product."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.shift = U(64 - bits)
+        bucket = (keys * SPREAD) >> self.shift
+        order = np.argsort(bucket, kind="stable")
+        self.keys, self.logs = keys[order], logs[order]
+        self.starts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=U)).astype(np.int32)
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Where each window is; -1 for those that are not here."""
+        bucket = ((found * SPREAD) >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        out = np.full(len(found), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == found[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+    def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of each stream's logarithms; the windows that are not here, how often a text has them
+        and where each text's begin."""
+        found = grams(texts)
+        ends = np.cumsum([len(t) - DEPTH for t in texts])
+        at = self.places(found)
+        logs = np.append(self.logs, 0.0)[at]
+        total = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+        missing = np.flatnonzero(at < 0)
+        text, rare = np.searchsorted(ends, missing, "right"), found[missing]
+        order = np.lexsort((rare, text))
+        text, rare = text[order], rare[order]
+        new = np.ones(len(rare), bool)
+        new[1:] = (rare[1:] != rare[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(rare)))
+        begins = np.searchsorted(text[first], np.arange(len(texts) + 1))
+        return total[ends] - total[np.concatenate([[0], ends[:-1]])], rare[first], times, begins
+
+
+def retained(windows: DataFrame, scratch: Scratch, contexts: int | None = None) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """Counts of the tree's nodes as ``level, context, symbol, n``, and its contexts (level, packed).
+
+    ``contexts``: only so many, those with the largest gains.
+    """
+    every = levels(windows, scratch)
+    chosen = divergent(every).orderBy(F.desc("gain"), "level", "context")
+    if contexts is not None:
+        chosen = chosen.limit(contexts)
     nodes = {(0, 0)}
     for d, context in chosen.select("level", "context").collect():
         while d and (d, context) not in nodes:
@@ -205,17 +305,6 @@ class Model:
                 self.next[i, code] = longest(k, c, index)
         self.logs = np.log10(p[own]).astype(np.float32)
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, codes=self.codes, next=self.next, logs=self.logs)
-        return out.getvalue()
-
-    @classmethod
-    def load(cls, raw: bytes) -> "Model":
-        model, held = cls.__new__(cls), np.load(io.BytesIO(raw))
-        model.codes, model.next, model.logs = held["codes"], held["next"], held["logs"]
-        return model
-
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each stream."""
         data = self.codes[np.frombuffer(b"".join(texts), np.uint8)]
@@ -243,9 +332,9 @@ class Model:
 LOADED: dict[int, tuple] = {}
 
 
-def learn(training: DataFrame, scratch: Scratch, contexts: int = CONTEXTS) -> tuple[DataFrame, Model]:
-    """Counts of words, and the model, from the texts of ``training``."""
-    counts = scratch.keep(counted(training), "counts")
+def learn(training: DataFrame, scratch: Scratch, contexts: int | None = None) -> tuple[DataFrame, Model]:
+    """Counts of words, and the model on one machine, from the texts of ``training``."""
+    counts = scratch.keep(counted(training.select("text", F.lit(True).alias("train"))), "counts")
     words = counts.where("word is not null").select("word", "n")
     found, tree = retained(counts.where("gram is not null").select("gram", "n"), scratch, contexts)
     return words, Model(found, tree)
@@ -258,26 +347,33 @@ def score(spark: SparkSession, docs: DataFrame, train: Column) -> DataFrame:
     """
     scratch = Scratch(spark, "suffix-tree")
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    words, model = learn(slim.where("train"), scratch)
+    counts = scratch.keep(counted(slim), "counts")
+    words = counts.where("word is not null").select("word", "n")
+    every = levels(counts.where("gram is not null").select("gram", "n"), scratch)
+    logs = scratch.keep(probabilities(every, scratch).select("gram", "n", F.log10("p").alias("log")), "logs")
+    scratch.drop("windows", "nodes")
     n_docs = slim.where("train").count()
     sums = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (sums[0] or 0) + n_docs, sums[1] + (n_docs > 0)
     often = words.where(F.col("n") * FREQUENT >= total).toArrow()  # at most FREQUENT rows
     known = dict(zip(often["word"].to_pylist(), often["n"].to_pylist()))
+    n_windows = logs.agg(F.sum("n")).first()[0] or 0
+    common = logs.where((F.col("n") > 0) & (F.col("n") * FREQUENT_WINDOWS >= n_windows)).select("gram", "log").toArrow()
+    table = tuple(np.asarray(c.combine_chunks()) for c in common.columns)
     floor = np.log10(total + distinct + 1)
     end = np.log10(n_docs + 1) - floor
-    sent = spark.sparkContext.broadcast((model.dump(), known))
+    sent = spark.sparkContext.broadcast((table[0].astype(U), table[1].astype(np.float32), known))
     key = sent._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in LOADED:
             LOADED.clear()
-            raw, counts = sent.value
-            LOADED[key] = Model.load(raw), {w: (n, np.log10(n + 1) - floor) for w, n in counts.items()}
-        tree, frequent = LOADED[key]
+            keys, values, counts = sent.value
+            LOADED[key] = Logs(keys, values), {w: (n, np.log10(n + 1) - floor) for w, n in counts.items()}
+        held, frequent = LOADED[key]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for chunk in chunks(batch, "text", 2 * COUNTED):
+            for chunk in chunks(batch, "text", COUNTED):
                 texts, n, n_known, base, rare, times, ends = [], [], [], [], [], [], [0]
                 for text in chunk.column(1):
                     own = tokens(text)
@@ -295,6 +391,8 @@ def score(spark: SparkSession, docs: DataFrame, train: Column) -> DataFrame:
                     n_known.append(hits)
                     base.append(log)
                     ends.append(len(rare))
+                sums, windows, often, begins = held.sums(texts)
+                begins = pa.array(begins, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + chunk.num_rows)),
@@ -303,31 +401,39 @@ def score(spark: SparkSession, docs: DataFrame, train: Column) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array(n_known, pa.int64()),
                         pa.array(base, pa.float64()),
-                        pa.array(tree.scores(texts)),
+                        pa.array(sums),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary())),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32())),
+                        pa.ListArray.from_arrays(begins, pa.array(windows.view(np.int64))),
+                        pa.ListArray.from_arrays(begins, pa.array(often, pa.int32())),
                     ],
-                    ["row", "doc_id", "train", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                    ["row", "doc_id", "train", "n_tokens", "n_known", "base", "score", "rare", "times", "windows", "often"],
                 )
                 row += chunk.num_rows
 
-    schema = (
+    kinds = (
         "row bigint, doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base double, score double, "
-        "rare array<binary>, times array<int>"
+        "rare array<binary>, times array<int>, windows array<bigint>, often array<int>"
     )
-    scored = scratch.keep(slim.select("doc_id", "text", "train").mapInArrow(run, schema), "scored")
+    scored = scratch.keep(slim.select("doc_id", "text", "train").mapInArrow(run, kinds), "scored")
     left = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     left = left.select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("tf"))
     joined = left.join(words, "word", "left")
     log = F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(float(floor)))
     seen = F.when(F.col("n") > 0, F.col("tf")).otherwise(0)
-    rest = joined.groupBy("row").agg(F.sum(log).alias("more"), F.sum(seen).alias("more_known"))
-    return scored.drop("rare", "times").join(rest, "row", "left").select(
+    by_word = joined.select("row", log.alias("more"), seen.alias("more_known"), F.lit(0.0).alias("more_score"))
+    left = scored.select("row", F.explode(F.arrays_zip("windows", "often")).alias("x"))
+    left = left.select("row", F.col("x.windows").alias("gram"), F.col("x.often").alias("tf"))
+    joined = left.join(logs.select("gram", "log"), "gram")
+    by_window = joined.select("row", F.lit(0.0).alias("more"), F.lit(0).alias("more_known"), (F.col("tf") * F.col("log")).alias("more_score"))
+    names = ["more", "more_known", "more_score"]
+    rest = by_word.unionByName(by_window).groupBy("row").agg(*[F.sum(c).alias(c) for c in names])
+    return scored.drop("rare", "times", "windows", "often").join(rest, "row", "left").select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -192,6 +192,24 @@ def test_tree_scores_are_those_of_a_plain_tree(spark, corpus, tmp_path):
         assert value == pytest.approx(want, rel=1e-4)
 
 
+def test_every_context_that_passes_reaches_the_score(spark, docs, monkeypatch):
+    from colloquy.llm.shared import Scratch
+
+    # random words: more contexts pass than the 16,000 that were once kept
+    rng = random.Random(4)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(9000)]
+    texts = [" ".join(rng.choices(letters, k=300)) for _ in range(400)] + ["", "held ünï out"]
+    corpus, train = docs(list(enumerate(texts))), F.col("doc_id") < 350
+    counts = st.counted(corpus.select("text", train.alias("train"))).where("n > 0 and gram is not null")
+    found, tree = st.retained(counts.select("gram", "n"), Scratch(spark, "every"))
+    assert len(tree) > 16_000
+    want = st.Model(found, tree).scores([st.stream(t.encode().lower().split()) for t in texts])
+    for share in (st.FREQUENT_WINDOWS, 2000):  # what is sent and what is joined give one score
+        monkeypatch.setattr(st, "FREQUENT_WINDOWS", share)
+        got = {r.doc_id: r.score for r in st.score(spark, corpus, train).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(list(want), rel=1e-5)
+
+
 def test_tree_beats_its_root(spark, docs):
     rows = docs([(i, "the cat sat on the mat " * 5) for i in range(50)])
     got = st.score(spark, rows, fold("doc_id", 7) != 2).collect()

@@ -9,8 +9,8 @@ whose window it ends.
 
 The items travel to the tasks, the documents are never moved. Items are dealt into parts of
 ``PART_BYTES`` at most (an item that is longer is a part of its own), and the documents pass
-through one part after the other, so what is broadcast at a time is bounded however many items
-there are.
+through one part after the other. What is cut, and whether a document stays, is decided on the hits
+of all parts together, so the number of parts changes no result.
 
 Defined results
 * null or empty text: no words, no hits.
@@ -20,7 +20,8 @@ Defined results
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -232,10 +233,10 @@ def hit_words(spans: list) -> int:
     return total
 
 
-def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``found``: number of words, hit spans of words ``[a, b)``, items."""
-    scratch, out, got = Scratch(spark, "contamination"), free_name(docs, "_found"), []
-    for i, part in enumerate(parts(spark, bench, window)):
+def _hits(spark: SparkSession, docs: DataFrame, dealt: Iterable[Part], window: int, out: str) -> DataFrame:
+    """``docs`` with a struct ``out``: number of words, hit spans of all parts, items."""
+    scratch, got = Scratch(spark, "contamination"), []
+    for i, part in enumerate(dealt):
         name = f"{out}{i}"
         docs = _matched(scratch.keep(docs, f"part-{i}") if i else docs, part, name)
         got.append(name)
@@ -249,7 +250,14 @@ def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window
         F.flatten(F.array(*[F.col(g)["spans"] for g in got])).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(g)["items"] for g in got])))).alias("items"),
     )
-    return docs.withColumn("found", found).drop(*got)
+    return docs.withColumn(out, found).drop(*got)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``found``: number of words, hit spans of words ``[a, b)``, items."""
+    out = free_name(docs, "_found")
+    found = _hits(spark, docs, parts(spark, bench, window), window, out)
+    return found.withColumn("found", F.col(out)).drop(out)
 
 
 def covered(spans: Column) -> Column:
@@ -267,10 +275,28 @@ def covered(spans: Column) -> Column:
     )
 
 
+def without(text: bytes, at: list[tuple[int, int]], spans: list[tuple[int, int]]) -> bytes:
+    """The text without spans of its words, which begin and end ``at``; each leaves a line break.
+
+    Spans may overlap or touch if they come from several parts, and count as one then.
+    """
+    kept, end, last = [], 0, -1
+    for a, b in sorted(spans):
+        if a > last:
+            kept.append(text[end : at[a][0]])
+        last = max(last, b)
+        end = at[last - 1][1]
+    return b"\n".join([*kept, text[end:]])
+
+
+def places(plain: bytes) -> list[tuple[int, int]]:
+    return [m.span() for m in re.finditer(rb"[^ ]+", plain)]
+
+
 def clean(known: Automaton, text: bytes, coverage: float) -> bytes | None:
     """The text without its hit spans; None if they are more than ``coverage`` of its words.
 
-    A cut leaves a line break. Words that meet there may make a window again, so it is repeated.
+    Words that meet at a cut may make a window again, so it is repeated.
     """
     first = True
     while True:
@@ -278,14 +304,62 @@ def clean(known: Automaton, text: bytes, coverage: float) -> bytes | None:
         spans, _ = known.spans(plain.split())
         if not spans:
             return text
-        at = [m.span() for m in re.finditer(rb"[^ ]+", plain)]
+        at = places(plain)
         if first and hit_words(spans) > coverage * len(at):
             return None
-        first, kept, end = False, [], 0
-        for a, b in spans:
-            kept.append(text[end : at[a][0]])
-            end = at[b - 1][1]
-        text = b"\n".join([*kept, text[end:]])
+        first, text = False, without(text, at, spans)
+
+
+def _rewritten(batch: pa.RecordBatch, schema: pa.Schema, new: list[bytes | None]) -> pa.RecordBatch:
+    """The columns of ``schema`` with other texts."""
+    texts = pa.array([None if x is None else x.decode("utf-8") for x in new], schema.field("text").type)
+    return pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in schema.names], schema.names)
+
+
+def _cleaned(docs: DataFrame, part: Part, coverage: float) -> DataFrame:
+    """All rounds of a document in one task: the items are one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = built(part)
+        for batch in batches:
+            texts = batch.column("text")
+            new = [clean(known, x.as_buffer().to_pybytes(), coverage) if x.is_valid else None for x in texts]
+            keep = pa.array([x is not None or not y.is_valid for x, y in zip(new, texts)], pa.bool_())
+            yield _rewritten(batch, batch.schema, new).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cleaned_by_rounds(
+    spark: SparkSession, docs: DataFrame, dealt: Iterable[Part], bench: DataFrame, window: int, coverage: float
+) -> DataFrame:
+    """What one part with all items would give: a round takes the hits of all parts, then cuts."""
+    scratch, hit, done, turn = Scratch(spark, "decontaminate"), free_name(docs, "_hit"), [], 0
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, new = batch.drop_columns([hit]), []
+            for text, found in zip(batch.column("text"), batch.column(hit)):
+                raw = text.as_buffer().to_pybytes()
+                spans = [(x["a"], x["b"]) for x in found["spans"].as_py()]
+                new.append(without(raw, places(raw.translate(TO_WORDS)), spans))
+            yield _rewritten(own, own.schema, new)
+
+    while True:
+        found = scratch.keep(_hits(spark, docs, dealt, window, hit), f"found-{turn}")
+        spans = F.col(hit)["spans"]
+        done.append(found.where(F.size(spans) == 0).drop(hit))
+        some = found.where(F.size(spans) > 0)
+        if not turn:
+            some = some.where(covered(spans) <= F.lit(float(coverage)) * F.col(hit)["n_words"])
+        if some.isEmpty():
+            break
+        docs, dealt, turn = some.mapInArrow(run, schema), parts(spark, bench, window), turn + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def decontaminate(
@@ -295,32 +369,12 @@ def decontaminate(
 
     A null text stays null. ``n_chars``, if there, is the length of the text that is left.
     """
-    scratch, schema = Scratch(spark, "decontaminate"), docs.schema
-    all_parts = list(parts(spark, bench, window))
-
-    def cut(part: Part):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = built(part)
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                keep, new = [], []
-                for text in batch.column(at):
-                    left = clean(known, text.as_buffer().to_pybytes(), coverage) if text.is_valid else None
-                    keep.append(left is not None or not text.is_valid)
-                    new.append(None if left is None else left.decode("utf-8"))
-                columns = list(batch.columns)
-                columns[at] = pa.array(new, batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
-
-        return run
-
-    for i, part in enumerate(all_parts):
-        docs = (scratch.keep(docs, f"part-{i}") if i else docs).mapInArrow(cut(part), schema)
-    if len(all_parts) > 1:  # what one part cut may have made a window of another
-        again = docs = scratch.keep(docs, "all")
-        for i, part in enumerate(all_parts):
-            again = scratch.keep(again.mapInArrow(cut(part), schema), f"again-{i}")
-        docs = again
+    schema, dealt = docs.schema, parts(spark, bench, window)
+    begin = list(islice(dealt, 2))
+    if len(begin) < 2:
+        docs = _cleaned(docs, begin[0], coverage) if begin else docs
+    else:
+        docs = _cleaned_by_rounds(spark, docs, chain(begin, dealt), bench, window, coverage)
     if "n_chars" in docs.columns:
         kind = schema["n_chars"].dataType
         length = F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars"))

@@ -106,6 +106,28 @@ def test_spans_are_cut_and_mostly_copied_documents_go(spark, tables):
     assert d.contamination(spark, out.drop("found"), bench).where("size(found.spans) > 0").count() == 0
 
 
+def test_parts_cut_what_one_part_cuts(spark, docs, prose, monkeypatch):
+    names = [f"item{i}" for i in range(8)]
+    texts = [prose(12, 50 + i, 10**6) for i in range(8)]
+    chained = texts[0].split()
+    texts[1] = " ".join(chained[6:] + texts[1].split()[6:])  # overlaps with item 0
+    own = prose(40, 70, 10**6).split()
+    rows = [(0, " ".join([*own, *chained[:6], *texts[1].split()]))]  # a span of two items, the first short of a window
+    rows += [(1 + k, " ".join([texts[0], texts[k], *own[:16]])) for k in range(2, 8)]  # 24 of 40 words, 12 each
+    rows += [(10 + k, " ".join([*own, *chained[:5], texts[k], *chained[5:]])) for k in range(2, 8)]  # a cut makes a window
+    rows += [(30, None), (31, " ".join(own)), (32, " ".join([*own, *chained, *texts[1].split()[6:]]))]
+    given_docs = docs(rows, extra=("y",)).withColumnRenamed("_0", "found")
+    bench = spark.createDataFrame(list(zip(names, texts)), "item_id string, text string")
+    whole = d.decontaminate(spark, given_docs, bench).collect()
+    monkeypatch.setattr(d.parts, "__defaults__", (200,))
+    assert len(list(d.parts(spark, bench, 10))) > 1
+    split = d.decontaminate(spark, given_docs, bench)
+    assert split.columns == given_docs.columns
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole))
+    ids = {r.doc_id for r in whole}
+    assert ids & set(range(3, 9)) == set() and {30, 31, 32} < ids
+
+
 def test_empty_tables(spark, docs, tables):
     _, bench, _ = tables
     assert d.contamination(spark, docs([]), bench).count() == 0

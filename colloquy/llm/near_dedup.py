@@ -1,15 +1,15 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 A document's set holds its distinct shingles of five words; two documents are linked if their
-sets' Jaccard similarity is ``SIMILAR`` or more. The steps:
+sets' Jaccard similarity is ``similar`` hundredths or more, 85 unless given. The steps:
 
 1. Each text gives the size of its set, a digest of the set and a signature of ``COORDINATES``
    minima (one pass, no shuffle). Documents with one set are one class from here on; only its
    smallest id goes on.
 2. Every class is posted under each of its (coordinate, value) pairs, and postings are counted.
    A pair that no other class has cannot collide; it only uses up a place of the prefix.
-3. Prefix: two linked classes agree in ``MATCHES`` coordinates or more, so they meet in the
-   ``COORDINATES - MATCHES + 1`` rarest of either one. Only these are kept as postings: a value
+3. Prefix: two linked classes agree in ``matches`` coordinates or more, so they meet in the
+   ``COORDINATES - matches + 1`` rarest of either one. Only these are kept as postings: a value
    that a passage common to many documents brings about is skipped unless a document has little
    else.
 4. Merging: every posting proposes its most central member, the one that shares most of its
@@ -22,8 +22,8 @@ sets' Jaccard similarity is ``SIMILAR`` or more. The steps:
    shared ones must be enough for the overlap that the sizes ask for. Each pair is made once, at
    the least of its common postings, then matched and confirmed like the others.
 
-``MATCHES`` of ``COORDINATES`` is missed by two sets of similarity 0.85 with probability 4e-10
-(binomial tail), by more similar ones less. Nothing is capped or sampled.
+The matches are so few that two sets of just that similarity miss them with probability ``MISSED`` or
+less (binomial tail): 23 of 48 at 0.85. More similar ones miss them less. Nothing is capped or sampled.
 
 Defined results
 * null text, or a text without words: size 0, a component of its own, kept.
@@ -34,6 +34,7 @@ Defined results
 """
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ from .flat import LOWER, Texts, Words, chunks, mix, randoms
 from .shared import Scratch, free_name
 
 SHINGLE = 5
-COORDINATES, MATCHES = 48, 23
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES = 48
+MISSED = 4e-10
 NUM, DEN = 85, 100  # similarity of a link
 ROUNDS = 1
 
@@ -55,6 +56,16 @@ FACTORS = randoms(COORDINATES, 11)
 SHIFTS = randoms(COORDINATES, 12)
 
 
+def matches(similar: int) -> int:
+    """Coordinates that two sets of this similarity agree in but for a probability of ``MISSED``."""
+    p, tail = similar / DEN, 0.0
+    for m in range(COORDINATES + 1):
+        tail += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if tail > MISSED:
+            return m
+    return COORDINATES
+
+
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
     texts = Texts(column)
@@ -137,31 +148,31 @@ def with_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, similar: int = NUM) -> DataFrame:
     """``(key, rep, common)``: the prefix of each class that another class shares, and how many of
     its coordinates are shared."""
     posted = classes.select("rep", F.explode("signature").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     own = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cnt", "key"))).alias("keys"))
     # the pairs that nobody shares come first: they are the rarest
-    room = F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("keys"))
+    room = F.lit(COORDINATES - matches(similar) + 1) - (F.lit(COORDINATES) - F.size("keys"))
     prefix = F.explode(F.slice("keys", 1, room)).alias("x")
     return own.where(room > 0).select("rep", F.size("keys").alias("common"), prefix).select("x.key", "rep", "common")
 
 
-def enough(inter: Column, a: Column, b: Column) -> Column:
-    """100 * intersection >= 85 * union."""
-    return DEN * inter >= NUM * (a + b - inter)
+def enough(inter: Column, a: Column, b: Column, similar: int = NUM) -> Column:
+    """100 * intersection >= similar * union."""
+    return DEN * inter >= similar * (a + b - inter)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = NUM) -> DataFrame:
     """The pairs (a, b) that match in enough coordinates and are similar on their full sets."""
     left = sets.select(*[F.col(c).alias(f"{c}_a") for c in ("rep", "signature", "shingles")])
     right = sets.select(*[F.col(c).alias(f"{c}_b") for c in ("rep", "signature", "shingles")])
     both = pairs.join(left, F.col("a") == F.col("rep_a")).join(right, F.col("b") == F.col("rep_b"))
-    matched = both.where(F.size(F.array_intersect("signature_a", "signature_b")) >= MATCHES)
+    matched = both.where(F.size(F.array_intersect("signature_a", "signature_b")) >= matches(similar))
     inter = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return matched.where(enough(inter, F.size("shingles_a"), F.size("shingles_b"))).select("a", "b")
+    return matched.where(enough(inter, F.size("shingles_a"), F.size("shingles_b"), similar)).select("a", "b")
 
 
 def labelled(posts: DataFrame, merged: DataFrame | None) -> DataFrame:
@@ -184,19 +195,19 @@ def proposals(active: DataFrame, turn: int) -> DataFrame:
     ).distinct()
 
 
-def bounded(active: DataFrame, sets: DataFrame) -> DataFrame:
+def bounded(active: DataFrame, sets: DataFrame, similar: int = NUM) -> DataFrame:
     """The members that may still have a link, with their size and number of shared shingles."""
     members = active.select("rep").distinct()
     own = sets.join(members, "rep", "left_semi").select("rep", "n", F.explode("shingles").alias("x"))
     common = own.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
     counts = own.join(common, "x").groupBy("rep", "n").agg(F.count("*").alias("shared"))
-    # the partner is not smaller than the intersection: shared >= 0.85 * n
-    return counts.where(DEN * F.col("shared") >= NUM * F.col("n"))
+    # the partner is not smaller than the intersection: 100 * shared >= similar * n
+    return counts.where(DEN * F.col("shared") >= similar * F.col("n"))
 
 
-def remaining(active: DataFrame, bounds: DataFrame) -> DataFrame:
+def remaining(active: DataFrame, bounds: DataFrame, similar: int = NUM) -> DataFrame:
     """All pairs of a posting that are of two components and within the bound, each pair once."""
-    keys = active.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # PREFIX keys at most
+    keys = active.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # a prefix at most
     posts = active.join(bounds, "rep").join(keys, "rep")
     left = posts.select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "n", "shared", "keys")])
     right = posts.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "comp", "n", "shared", "keys")])
@@ -204,7 +215,7 @@ def remaining(active: DataFrame, bounds: DataFrame) -> DataFrame:
     meet = (
         (F.col("rep_a") > F.col("rep_b"))
         & (F.col("comp_a") != F.col("comp_b"))
-        & enough(most, F.col("n_a"), F.col("n_b"))
+        & enough(most, F.col("n_a"), F.col("n_b"), similar)
         & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a"))
     )
     left = left.withColumnRenamed("key", "key_a")
@@ -213,8 +224,8 @@ def remaining(active: DataFrame, bounds: DataFrame) -> DataFrame:
     return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS, similar: int = NUM) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row; links are of ``similar`` hundredths or more."""
     scratch = Scratch(spark, "near-dedup")
     marks = scratch.keep(signed(docs), "signed")
     classes = scratch.keep(
@@ -224,18 +235,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS)
         .select("digest", "x.rep", "x.signature"),
         "classes",
     )
-    posts = scratch.keep(postings(classes), "posts")
+    posts = scratch.keep(postings(classes, similar), "posts")
     members = posts.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.keep(with_sets(docs.join(members, "doc_id", "left_semi")), "sets")
     links, merged = [], None
     for turn in range(rounds):
         active = labelled(posts, merged)
-        found = scratch.keep(confirmed(proposals(active, turn), sets), f"links-{turn}")
+        found = scratch.keep(confirmed(proposals(active, turn), sets, similar), f"links-{turn}")
         links.append(found)
         merged = components(_all(links), scratch, f"round-{turn}")
     active = scratch.keep(labelled(posts, merged), "active")
-    bounds = scratch.keep(bounded(active, sets), "bounds")
-    links.append(scratch.keep(confirmed(remaining(active, bounds), sets), "links-rest"))
+    bounds = scratch.keep(bounded(active, sets, similar), "bounds")
+    links.append(scratch.keep(confirmed(remaining(active, bounds, similar), sets, similar), "links-rest"))
     # rows of one class are linked to its smallest id
     same = marks.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
     links.append(same.where(F.col("doc_id") > F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
@@ -256,13 +267,13 @@ def _all(links: list[DataFrame]) -> DataFrame:
     return out
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, similar: int = NUM) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the smallest id.
 
     Of rows that repeat an id, one stays: the one whose text has the least hash. Rows with a null
     id stay.
     """
-    found = near_duplicates(spark, docs)
+    found = near_duplicates(spark, docs, similar=similar)
     scratch = Scratch(spark, "near-dedup-out")
     gone = scratch.keep(
         found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct(), "gone"

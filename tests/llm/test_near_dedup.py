@@ -75,6 +75,28 @@ def test_one_document_of_each_component_stays(spark, docs, rows):
     assert ids.count(None) == 2
 
 
+def test_pairs_below_the_contract_go_at_a_lower_similarity(spark, docs):
+    rows = []
+    for k in range(20):
+        words = [f"t{k}w{i}" for i in range(100)]
+        changed = list(words)
+        changed[30], changed[60 + k] = "one", "other"  # 86 of 106 shingles: 0.81
+        further = list(words)
+        further[20], further[40], further[60 + k] = "one", "two", "three"  # 81 of 111: 0.73
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(changed)), (1000 + k, " ".join(further))]
+    shared = len(shingles(rows[0][1]) & shingles(rows[1][1]))
+    assert (shared, len(shingles(rows[0][1]) | shingles(rows[1][1]))) == (86, 106)
+    first, near = {3 * k for k in range(20)}, {3 * k + 1 for k in range(20)}
+    far = {1000 + k for k in range(20)}
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    assert ids(nd.deduplicate(spark, docs(rows))) == first | near | far
+    assert ids(nd.deduplicate(spark, docs(rows), similar=80)) == first | far
+
+
+def test_matches_are_those_of_the_bound():
+    assert (nd.matches(85), nd.matches(80)) == (23, 19)
+
+
 def test_empty(spark, docs):
     assert nd.near_duplicates(spark, docs([])).count() == 0
     assert nd.deduplicate(spark, docs([])).count() == 0

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.skew import computed_once
+
 from . import (
     additive_model,
     decontaminate,
@@ -11,8 +13,11 @@ from . import (
     near_dedup,
     packing,
     quality_rules,
+    runs,
+    simhash,
     suffix_tree,
     toolcalls,
+    vector_codes,
     warc,
 )
 from .registry import query
@@ -215,3 +220,103 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = additive_model.classify(spark, docs, table(spark, sf, "labels"), fold("doc_id", 5) != 0)
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; the words of one document in ten repeat from a word on that its id's hash names."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
+    n, g = F.nullif(F.size("words"), F.lit(0)), F.floor(h / 10)
+    cut = computed_once(docs, ["doc_id", "text"], {"words": words}).withColumns({"n": n, "a": g % n})
+    cut = cut.withColumn("period", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    repeated = F.transform(
+        "words",
+        lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("period")).cast("int"))),
+    )
+    text = F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return cut.select("doc_id", text.alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of words in every document, the longest one, and a digest of the text without their repeats."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = runs.find_runs(with_planted_runs(docs))
+    rank = F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), F.concat(r.period.cast("string"), F.lit("\n"))))
+    best = found.withColumns({"best": F.array_max(rank), "lines": F.array_join(lines, "")})
+    start, period = -F.col("best.start"), -F.col("best.period")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        start.alias("start"),
+        F.col("best.length").alias("length"),
+        period.alias("period"),
+        F.floor(1000 * F.col("best.length") / period).cast("bigint").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op12_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of each document and the component of near ones it is in."""
+    found = simhash.near_duplicates(spark, table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _assigned(step: int) -> str:
+    """SQL: the entry of each part, and the codebook after it, from codebook ``b<step>``."""
+    return f"""
+    d{step} as (
+        select vec_id, part, entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+        from p join b{step} b using (part)
+    ),
+    a{step} as (select vec_id, part, arg_min(entry, (d, entry)) as entry, min(d) as d from d{step} group by vec_id, part),
+    u{step} as (
+        select part, entry, list(m order by place) as v
+        from (
+            select part, entry, place, floor(sum(x)::hugeint // count(*) - case when sum(x) < 0 and sum(x) % count(*) <> 0 then 1 else 0 end)::bigint as m
+            from (select part, entry, unnest(v) as x, generate_subscripts(v, 1) as place from a{step} join p using (vec_id, part))
+            group by part, entry, place
+        ) group by part, entry
+    ),
+    b{step + 1} as (select part, entry, coalesce(u.v, b.v) as v from b{step} b left join u{step} u using (part, entry)),"""
+
+
+@query(f"""
+    with kept as (
+        select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+        where embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0
+    ),
+    p as (
+        select vec_id, part, e[part * len(e) // 16 + 1:(part + 1) * len(e) // 16] as v
+        from kept, (select unnest(generate_series(0, 15)) as part)
+    ),
+    b0 as (
+        select part, n - 1 as entry, v from p
+        join (select vec_id, row_number() over (order by vec_id) as n from kept) using (vec_id) where n <= 64
+    ),
+    {_assigned(0)}
+    {_assigned(1)}
+    {_assigned(2)}
+    books as (
+        select sha256(string_agg(x::varchar, ',' order by part, entry, place)) as digest
+        from (select part, entry, unnest(v) as x, generate_subscripts(v, 1) as place from b2)
+    ),
+    codes as (
+        select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from a2 group by vec_id
+    )
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, digest as codebooks_sha256
+    from codes join kept using (vec_id), books
+""")
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Product code and error of every vector, the error of its label and a digest of the codebooks."""
+    codes, books = vector_codes.compress(spark, table(spark, sf, "embeddings"))
+    return vector_codes.with_label_errors(codes).select(
+        "vec_id",
+        F.lower(F.hex("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"),
+    )

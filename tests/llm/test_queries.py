@@ -18,6 +18,9 @@ COLUMNS = {
     "op7": ["doc_id", "held_out", "score", "predicted"],
     "op8": ["doc_id", "size", "source_size", "target", "taken"],
     "op10": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12": ["doc_id", "fingerprint", "component_id"],
+    "op13": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
 
@@ -29,7 +32,7 @@ def duck():
 def test_registered():
     names = contract.queries()
     assert set(QUERIES) < set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(contract.oracle_sql())
 
 

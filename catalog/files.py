@@ -7,6 +7,7 @@ from colloquy.functions import error_count
 from colloquy.operators import archive_processed, ledger_union
 from colloquy.schemas import DOCUMENT_MIME, INVENTORY, NO_LOG
 from colloquy.sources import (
+    Attempt,
     append_ledger,
     decode_transcripts,
     inventory_report,
@@ -15,6 +16,7 @@ from colloquy.sources import (
     read_ledger,
     read_log_lines,
     read_summaries,
+    scan_ledger,
     write_summaries,
     write_transcript_text,
 )
@@ -124,6 +126,37 @@ def ledger_round_trip(spark, sf):
     return stored.groupBy(*stored.columns).agg(F.count("*").alias("copies"))
 
 
+# An error in three has line breaks and quotes.
+NOISY_LEDGER_SQL = f"""
+select original_file_id, file_name, archive_batch_id, date_moved, user_folder_id, status,
+  error || case when length(original_file_id) % 3 = 0 then chr(10) || '"again",' || chr(10) || chr(10) || file_name else '' end as error
+from ({LEDGER_SQL})"""
+
+
+@query(NOISY_LEDGER_SQL)
+def scanned_ledger(spark, sf):
+    """A ledger in one file, whose values hold line breaks, read in pieces."""
+    path = work_dir(spark, "ledger")
+    more = F.concat(F.lit('\n"again",\n\n'), "file_name")
+    noisy = F.when(F.length("original_file_id") % 3 == 0, more).otherwise("")
+    append_ledger(ledger(spark, sf).withColumn("error", F.concat("error", noisy)).coalesce(1), path)
+    return scan_ledger(spark, path)
+
+
+@query(f"select * from ({LEDGER_SQL}) where status = 'success' union all select * from ({LEDGER_SQL}) where status = 'failed'")
+def published_batches(spark, sf):
+    """Two batches, each written by a try that was given up and one that was published, beside an unpublished one."""
+    root, rows = work_dir(spark, "published"), ledger(spark, sf)
+    for status in ("success", "failed"):
+        own = rows.where(F.col("status") == status)
+        append_ledger(own, Attempt(spark, root, f"batch {status}").folder("ledger"))
+        kept = Attempt(spark, root, f"batch {status}")
+        append_ledger(own, kept.folder("ledger"))
+        kept.publish()
+    append_ledger(rows, Attempt(spark, root, "not yet").folder("ledger"))
+    return read_ledger(spark, f"{root}/ledger")
+
+
 @query(
     f"""select * from ({LEDGER_SQL}) where status = 'failed'
     union all select * from ({LEDGER_SQL})"""

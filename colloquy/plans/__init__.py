@@ -2,6 +2,6 @@
 
 from .media import media_tasks
 from .report import analyse_logs
-from .summarise import outcomes, summarise_batch, to_summarise
+from .summarise import SUMMARIES, outcomes, summarise_batch, to_summarise
 
-__all__ = ["analyse_logs", "media_tasks", "outcomes", "summarise_batch", "to_summarise"]
+__all__ = ["SUMMARIES", "analyse_logs", "media_tasks", "outcomes", "summarise_batch", "to_summarise"]

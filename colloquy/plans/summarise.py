@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.json import build_messages
 from ..functions.text import empty_transcript_guard
@@ -12,7 +13,8 @@ from ..operators.enrich import enrich_with_retry
 from ..operators.outcome import accept_replies, batch_status_counts, classify_outcome, ledger_row
 from ..schemas import ARCHIVE_FAILED, DOWNLOAD_FAILED, LEDGER, SUMMARY_FAILED, UPLOAD_FAILED
 from ..sources.inventory import list_transcripts
-from ..sources.ledger import append_ledger
+from ..sources.ledger import CSV, append_ledger
+from ..sources.published import Attempt, exists, is_published, names, read_published
 from ..sources.summaries import write_summaries
 from ..sources.transcripts import attach_texts
 
@@ -63,6 +65,47 @@ def to_summarise(
     return attach_texts(listed if ledger is None else unprocessed(listed, ledger), bodies)
 
 
+SUMMARIES = T.StructType(
+    [
+        T.StructField(name, T.StringType())
+        for name in ("file_id", "user_folder_id", "json_content", "output_filename", "archive_batch_id")
+    ]
+)
+
+
+def stage_requests(spark: SparkSession, todo: Callable[[], DataFrame], path: str, slices: int) -> tuple[str, int]:
+    """The table of a batch's requests that are open, partitioned into ``slices``; its folder and number.
+
+    The requests are worked out and written once, whatever the number of slices: later starts read
+    them from here. Is the batch started again with another number of slices, the requests without a
+    stored reply are dealt out anew; those with one are left as they are.
+    """
+    done = [n.split("-") for n in names(spark, f"{path}/requests") if exists(spark, f"{path}/requests/{n}/_SUCCESS")]
+    runs = sorted((int(run.removeprefix("run=")), int(k)) for run, k in done)
+    if runs and runs[-1][1] == slices:
+        return f"{path}/requests/run={runs[-1][0]}-{slices}", runs[-1][0]
+    if runs:
+        number = runs[-1][0] + 1
+        last = spark.read.parquet(f"{path}/requests/run={runs[-1][0]}-{runs[-1][1]}").drop("slice")
+        stored = stored_slices(spark, path)
+        if stored:
+            asked = spark.read.parquet(*stored).select(F.col("file_id").alias("_asked")).distinct()
+            last = last.join(asked, F.col("file_id").eqNullSafe(F.col("_asked")), "left_anti")
+        open_ = last
+    else:
+        number, open_ = 0, todo()
+    dealt = open_.withColumn("slice", F.pmod(F.xxhash64("file_id"), F.lit(slices)))
+    folder = f"{path}/requests/run={number}-{slices}"
+    dealt.hint("rebalance", "slice").write.mode("overwrite").partitionBy("slice").parquet(folder)
+    return folder, number
+
+
+def stored_slices(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the replies of a batch that are complete."""
+    found = [f"{path}/{n}" for n in names(spark, path) if n.startswith("slice=")]
+    return [folder for folder in found if exists(spark, f"{folder}/_SUCCESS")]
+
+
 def summarise_batch(
     spark: SparkSession,
     transcripts: DataFrame,
@@ -77,35 +120,35 @@ def summarise_batch(
 ) -> DataFrame:
     """Summarise what the ledger does not show as done; returns the counts per folder.
 
-    The replies are stored, with what was accepted of them, before summaries and ledger are
-    written from there: each transcript costs one model call and each reply is read once. They
-    are stored in ``slices``, by a hash of the file id: started again after a failure, the batch
-    goes on with the slice that was not finished. A batch whose ledger is written cannot be
-    written again. Run it without speculative tasks.
+    What is to be asked is written once (``stage_requests``). The replies are stored slice by slice, with
+    what was accepted of them: each transcript is read once and costs one model call. Summaries and
+    ledger are written from there and published together (``sources.published``). Wherever it
+    fails, the same call goes on where it stopped, with as many slices or another number of them, and
+    nothing is asked, stored or published twice. A published batch cannot be written again. Run it
+    without speculative tasks.
     """
-    todo = transcripts if ledger is None else unprocessed(transcripts, ledger)
-    replies = f"{out}/replies/archive_batch_id={batch}"
-    if _exists(spark, f"{replies}/done"):
+    if is_published(spark, out, batch):
         raise FileExistsError(f"batch {batch} is done")
-    for i in range(slices):
-        if not _exists(spark, f"{replies}/slice={i}/_SUCCESS"):
-            part = todo.where(F.pmod(F.xxhash64("file_id"), F.lit(slices)) == i)
-            called = enrich_with_retry(requests(part, system), fn, keep=KEEP, text="request", **calls)
-            outcomes(called).drop("v").write.mode("overwrite").parquet(f"{replies}/slice={i}")
-
-    parts = [f"{replies}/slice={i}" for i in range(slices)]
-    done = spark.read.parquet(*parts).withColumn("archive_batch_id", F.lit(batch))
-    summaries = done.where(F.col("status") == "success").select(
-        "file_id", "user_folder_id", "json_content", "output_filename", "archive_batch_id"
-    )
-    write_summaries(summaries, f"{out}/summaries")
-    rows = ledger_row(done, moved_at).select(LEDGER.fieldNames())
-    append_ledger(rows, f"{out}/ledger")
-    counts = batch_status_counts(rows)
-    counts.write.parquet(f"{replies}/done")
-    return spark.read.parquet(f"{replies}/done")
+    path = f"{out}/replies/archive_batch_id={batch}"
 
+    def asked() -> DataFrame:
+        todo = transcripts if ledger is None else unprocessed(transcripts, ledger)
+        return requests(todo, system).select("file_id", *KEEP, "request")
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+    staged, number = stage_requests(spark, asked, path, slices)
+    for i in range(slices):
+        replies = f"{path}/slice={number}-{i}"
+        if exists(spark, f"{staged}/slice={i}") and not exists(spark, f"{replies}/_SUCCESS"):
+            part = spark.read.parquet(f"{staged}/slice={i}")
+            called = enrich_with_retry(part, fn, keep=KEEP, text="request", **calls)
+            outcomes(called).drop("v").write.mode("overwrite").parquet(replies)
+
+    attempt, stored = Attempt(spark, out, batch), stored_slices(spark, path)
+    if stored:
+        done = spark.read.parquet(*stored).withColumn("archive_batch_id", F.lit(batch))
+        accepted = done.where(F.col("status") == "success").select(SUMMARIES.fieldNames())
+        write_summaries(accepted, attempt.folder("summaries"))
+        append_ledger(ledger_row(done, moved_at), attempt.folder("ledger"))
+    attempt.publish()
+    rows = read_published(spark, out, "ledger", LEDGER, batch, "csv", **CSV).na.fill("")
+    return batch_status_counts(rows)

@@ -1,0 +1,151 @@
+"""Batches that fail between any two writes and are started again."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
+
+from colloquy.plans import SUMMARIES, summarise_batch
+from colloquy.schemas import LEDGER
+from colloquy.sources import Attempt, append_ledger, is_published, published, read_ledger, read_published
+
+TRANSCRIPTS = "file_id string, file_name string, user_folder_id string, text string"
+N = 24
+
+
+class Stop(Exception):
+    """The driver is gone."""
+
+
+@pytest.fixture
+def bodies(spark, tmp_path):
+    """Transcripts, two of them empty or refused, whose reads are counted in files."""
+    log = tmp_path / "read"
+    log.mkdir()
+    rows = [(str(i), f"n{i}", f"u{i % 3}", "" if i == 3 else f"text {i}") for i in range(N)]
+    plain = spark.createDataFrame(rows, TRANSCRIPTS).coalesce(1)
+    folder = str(log)
+
+    def read(batches):
+        from pathlib import Path
+
+        for batch in batches:
+            for i in batch["file_id"]:
+                with (Path(folder) / i).open("a") as file:
+                    file.write("x")
+            yield batch
+
+    return plain.mapInPandas(read, TRANSCRIPTS), log
+
+
+def model(folder):
+    def reply(request):
+        from pathlib import Path
+
+        text = json.loads(request)[-1]["content"]
+        with (Path(folder) / text).open("a") as file:
+            file.write("x")
+        return "no" if text == "text 5" else '{"title": "' + text + '", "date": "2031-05-09"}'
+
+    return reply
+
+
+def times(folder):
+    return {p.name: len(p.read_text()) for p in folder.iterdir()}
+
+
+def start(spark, bodies, out, calls, slices):
+    return summarise_batch(
+        spark, bodies, None, model(str(calls)), out, "b 1", F.lit("t"), slices=slices, partitions=1, backoff=0
+    )
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_bodies_are_read_once_for_any_number_of_slices(spark, bodies, tmp_path, slices):
+    df, log = bodies
+    (tmp_path / "calls").mkdir()
+    counts = start(spark, df, str(tmp_path / "out"), tmp_path / "calls", slices)
+    assert sum(r.succeeded for r in counts.collect()) == N - 2
+    assert times(log) == {str(i): 1 for i in range(N)}
+
+
+def test_a_failure_at_any_write_loses_and_repeats_nothing(spark, bodies, tmp_path, monkeypatch):
+    df, log = bodies
+    writes, stop = [0], [None]
+    originals = {name: getattr(DataFrameWriter, name) for name in ("parquet", "csv")}
+    originals["publish"] = Attempt.publish
+
+    def counted(name):
+        def write(self, *args, **options):
+            writes[0] += 1
+            if stop[0] == (writes[0], "before"):
+                raise Stop
+            out = originals[name](self, *args, **options)
+            if stop[0] == (writes[0], "after"):
+                raise Stop
+            return out
+
+        return write
+
+    for name in ("parquet", "csv"):
+        monkeypatch.setattr(DataFrameWriter, name, counted(name))
+    monkeypatch.setattr(Attempt, "publish", counted("publish"))
+
+    def tried(k, when, slices, again):
+        out, calls = (tmp_path / f"{k}-{when}-{again}{kind}" for kind in ("", "-calls"))
+        calls.mkdir()
+        for f in log.iterdir():
+            f.unlink()
+        writes[0], stop[0] = 0, (k, when)
+        with pytest.raises(Stop):
+            start(spark, df, str(out), calls, slices)
+        published_now = is_published(spark, str(out), "b 1")
+        assert read_ledger(spark, f"{out}/ledger").count() == (N if published_now else 0) if (out / "ledger").exists() else True
+        stop[0] = None
+        if published_now:
+            with pytest.raises(FileExistsError):
+                start(spark, df, str(out), calls, again)
+        else:
+            start(spark, df, str(out), calls, again)
+        ledger = [r.original_file_id for r in read_ledger(spark, f"{out}/ledger").collect()]
+        assert sorted(ledger) == sorted(str(i) for i in range(N))
+        stored = [r.file_id for r in read_published(spark, str(out), "summaries", SUMMARIES).collect()]
+        assert sorted(stored) == sorted(str(i) for i in range(N) if i not in (3, 5))
+        assert set(times(calls).values()) == {1} and len(times(calls)) == N - 1
+        return times(log)
+
+    # requests, two slices, summaries, ledger, manifest
+    for k in range(1, 7):
+        read = tried(k, "after", 2, 2)
+        assert set(read.values()) == {1}
+    tried(1, "before", 2, 2)
+    tried(6, "before", 2, 2)
+    for again in (3, 1):  # started again with another number of slices, after one of two was stored
+        assert set(tried(2, "after", 2, again).values()) == {1}
+
+
+def test_only_one_try_of_a_batch_is_published(spark, tmp_path):
+    root = str(tmp_path)
+    row = spark.createDataFrame([("1", "n", "b/ü %", "t", "u", "success", "a\nb")], LEDGER)
+    first, second = Attempt(spark, root, "b/ü %"), Attempt(spark, root, "b/ü %")
+    for attempt in (first, second):
+        append_ledger(row, attempt.folder("ledger"))
+    assert read_ledger(spark, f"{root}/ledger").count() == 0
+    second.publish(rows=1)
+    with pytest.raises(FileExistsError):
+        first.publish()
+    assert [tuple(r) for r in read_ledger(spark, f"{root}/ledger").collect()] == [tuple(r) for r in row.collect()]
+    assert published.attempts(spark, root) == {"b/ü %": second.name}
+    assert not [n for n in published.names(spark, f"{root}/{published.MANIFESTS}") if n.startswith("_")]
+    append_ledger(row, f"{root}/ledger")  # rows that were appended without a batch count as well
+    assert read_ledger(spark, f"{root}/ledger").count() == 2
+    assert read_published(spark, root, "ledger", LEDGER, "another").count() == 0
+
+
+def test_an_empty_batch_is_published(spark, tmp_path):
+    out = str(tmp_path / "out")
+    none = spark.createDataFrame([], TRANSCRIPTS)
+    assert summarise_batch(spark, none, None, len, out, "b", F.lit("t"), slices=3).collect() == []
+    assert is_published(spark, out, "b")
+    assert read_ledger(spark, f"{out}/ledger").count() == 0

@@ -63,6 +63,31 @@ def cue_sentences(spark, sf):
     return found.select("file_id", "pos", "kind", F.md5("segment").alias("segment_md5"))
 
 
+# The first two or three words of every document are phrases of its source.
+PHRASES = r"""
+select distinct source as kind, n, array_to_string(w[1:n], ' ') as gram
+from (select source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents), (select unnest([2, 3]) as n)
+where len(w) >= n"""
+
+
+@query(
+    rf"""with s as (select file_id, pos, segment, regexp_extract_all(lower(segment), '[\p{{L}}\p{{N}}]+') as w from ({NUMBERED})),
+    g as (select file_id, pos, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as gram
+      from s, (select unnest([2, 3]) as n) where len(w) >= n),
+    k as (select file_id, pos, kind from g join ({PHRASES}) using (n, gram)
+      union all select file_id, pos, 'open_question' from s where segment like '%?')
+    select distinct file_id, pos::int as pos, kind, md5(segment) as segment_md5 from k join s using (file_id, pos)"""
+)
+def cue_table_sentences(spark, sf):
+    """Cues from a table with a phrase of two and one of three words for each document."""
+    docs = transcripts(spark, sf)
+    opening = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = docs.select(F.col("user_folder_id").alias("kind"), opening.alias("words"), F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
+    cues = words.where(F.size("words") >= F.col("n")).select("kind", F.array_join(F.slice("words", F.lit(1), F.col("n")), " -- ").alias("phrase"))
+    found = cue_extract(transcript_segments(docs), cues)
+    return found.select("file_id", "pos", "kind", F.md5("segment").alias("segment_md5"))
+
+
 WORDS = rf"""
 select file_id, pos, unnest(regexp_extract_all(lower(segment), '[\p{{L}}\p{{N}}]+')) as term
 from ({NUMBERED})"""

@@ -41,6 +41,7 @@ from .mining import (
     extractive_summary,
     key_terms,
     owner_from_speaker,
+    phrase_index,
     transcript_segments,
 )
 from .normalize import schema_drift_report, summary_normalize, summary_quality_flags
@@ -92,6 +93,7 @@ __all__ = [
     "number_runs",
     "observe_batch",
     "owner_from_speaker",
+    "phrase_index",
     "parse_log",
     "run_report",
     "run_report_lines",

@@ -36,17 +36,61 @@ def _kinds(text: Column, words: Column, cues, question_mark: str | None) -> Colu
     )
 
 
+def phrase_index(cues: DataFrame) -> DataFrame:
+    """The phrases of a cue table (``kind, phrase``) by number of words and words: ``kind, n, gram``.
+
+    Case and what stands between words do not count; a phrase without words is none.
+    """
+    words = cues.select("kind", tokens(F.col("phrase")).alias("words")).where(F.size("words") > 0)
+    return words.select("kind", F.size("words").alias("n"), F.array_join("words", " ").alias("gram")).distinct()
+
+
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """Distinct runs of so many words of a text, as ``n, gram``."""
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size("_words") - n + 1)
+        cut = F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_words", i, n), " ").alias("gram")))
+        return F.when(F.size("_words") >= n, cut).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
+
+
+def _cue_join(segments: DataFrame, cues: DataFrame, question_mark: str | None, text: str, keys: list[str]) -> DataFrame:
+    """Runs of words met with the phrases of the same length, then their segments with the kinds found.
+
+    Only keys and runs of words move, not the segments' texts. Spark broadcasts a short index and shuffles a
+    long one; a run that many segments share is split by its skew join.
+    """
+    index = phrase_index(cues)
+    lengths = sorted(r.n for r in index.select("n").distinct().collect())  # a few numbers
+    found = segments.select(*keys, F.lit(question_mark).alias("kind")).where(F.endswith(F.col(text), F.lit("?")))
+    if question_mark is None:
+        found = found.limit(0)
+    if lengths:
+        words = segments.select(*keys, tokens(F.col(text)).alias("_words"))
+        runs = words.select(*keys, F.inline(_grams(F.col("_words"), lengths)))
+        found = found.unionByName(runs.join(index, ["n", "gram"]).select(*keys, "kind"))
+    kinds = found.distinct().withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return segments.join(kinds, same).select(*segments.columns, "kind")
+
+
 def cue_extract(
     segments: DataFrame,
-    cues: dict[str, list[str]] = CUES,
+    cues: dict[str, list[str]] | DataFrame = CUES,
     question_mark: str | None = "open_question",
     text: str = "segment",
+    keys: tuple[str, ...] = ("file_id", "pos"),
 ) -> DataFrame:
     """One row per segment and kind of cue found in it.
 
-    The phrases are tested where the segment is; nothing is joined. A segment that ends
-    with a question mark also counts as the kind named by ``question_mark``.
+    A segment that ends with a question mark also counts as the kind named by ``question_mark``. A few
+    phrases, given as a dict, are tested where the segment is; nothing is joined. A table of them
+    (``kind, phrase``), of any length, is joined by words, and ``keys`` tell the segments apart.
     """
+    if isinstance(cues, DataFrame):
+        return _cue_join(segments, cues, question_mark, text, list(keys))
     spaced = segments.withColumn("_words", spaced_words(F.col(text)))
     kinds = _kinds(F.col(text), F.col("_words"), cues, question_mark)
     return spaced.withColumn("kind", F.explode(kinds)).drop("_words")
@@ -157,7 +201,7 @@ def assistant_mentions(df: DataFrame, name: str) -> DataFrame:
 
 def owner_from_speaker(
     turns: DataFrame,
-    cues: dict[str, list[str]] = CUES,
+    cues: dict[str, list[str]] | DataFrame = CUES,
     kind: str = "action_item",
 ) -> DataFrame:
     """Tasks found in the turns, each owned by whoever speaks: ``file_id, turn, pos, owner, task``."""
@@ -167,7 +211,8 @@ def owner_from_speaker(
         "speaker",
         F.posexplode(sentences(F.col("text"))).alias("pos", "segment"),
     ).withColumn("pos", F.col("pos") + 1)
-    tasks = cue_extract(said, {kind: cues[kind]}, question_mark=None)
+    own = cues.where(F.col("kind") == kind) if isinstance(cues, DataFrame) else {kind: cues[kind]}
+    tasks = cue_extract(said, own, question_mark=None, keys=("file_id", "turn", "pos"))
     return tasks.select(
         "file_id", "turn", "pos", F.col("speaker").alias("owner"), F.col("segment").alias("task")
     )

@@ -13,8 +13,9 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A reply may repeat a key; like a JSON reader in Python, the last one wins.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Transcripts are long rows: keep one Arrow batch to tens of megabytes.
+    # Transcripts are long rows: an Arrow batch holds so many rows or bytes, whichever is less.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
 }
 
 

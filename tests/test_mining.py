@@ -1,11 +1,12 @@
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import extractive_summary, key_terms
+from colloquy.operators import cue_extract, extractive_summary, key_terms, owner_from_speaker, phrase_index
 
 TEXTS = {
     "a": "Budget talks began. The budget was cut. Rain fell.",
@@ -66,3 +67,63 @@ def test_partition_count_is_the_sessions(spark, frame):
     plan = key_terms(frame, 3)._jdf.queryExecution().executedPlan().toString()
     wanted = spark.conf.get("spark.sql.shuffle.partitions")
     assert set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)) == {wanted}
+
+
+@pytest.fixture
+def segments(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"f{i % 9}", i, rng.choice([" ", ", ", " - "]).join(rng.choice(words) for _ in range(rng.randrange(0, 12))) + rng.choice(["", ".", "?"])) for i in range(300)]
+    rows += [(None, 900, "w1 w2 w3?"), ("f", None, "W1, w2! w3"), ("f", 901, None)]
+    return spark.createDataFrame(rows, "file_id string, pos int, segment string")
+
+
+def phrases(n):
+    rng = random.Random(n)
+    return [(f"k{rng.randrange(5)}", " ".join(f"w{rng.randrange(30 + n // 10)}" for _ in range(rng.choice([1, 2, 3, 7])))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_a_cue_table_finds_what_a_dict_finds(spark, segments, n):
+    rows = phrases(n) + [("k1", "W1 ... w2"), ("k1", "w1 w2"), ("none", " ?!"), ("none", "")]
+    as_dict = {}
+    for kind, phrase in rows:
+        if phrase.strip(" ?!"):
+            as_dict.setdefault(kind, []).append(phrase)
+    table = spark.createDataFrame(rows, "kind string, phrase string")
+    for mark in ("open_question", None, "k1"):
+        got = cue_extract(segments, table, question_mark=mark)
+        want = cue_extract(segments, {mark: [], **as_dict} if mark else as_dict, question_mark=mark)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_hundred_thousand_phrases(spark, segments):
+    rows = phrases(100_000)
+    found = cue_extract(segments, spark.createDataFrame(rows, "kind string, phrase string"), question_mark=None).collect()
+    index = {}
+    for kind, phrase in rows:
+        index.setdefault(tuple(phrase.split()), set()).add(kind)
+    want = set()
+    for r in segments.collect():
+        w = re.findall(r"[a-z0-9]+", (r.segment or "").lower())
+        for n in (1, 2, 3, 7):
+            for i in range(len(w) - n + 1):
+                want |= {(r.file_id, r.pos, kind) for kind in index.get(tuple(w[i : i + n]), ())}
+    assert sorted(map(str, ((r.file_id, r.pos, r.kind) for r in found))) == sorted(map(str, want))
+
+
+def test_no_phrases_and_texts_that_do_not_move(spark, segments):
+    none = spark.createDataFrame([], "kind string, phrase string")
+    assert cue_extract(segments, none, question_mark=None).count() == 0
+    assert cue_extract(segments, none).count() == sum((r.segment or "").endswith("?") for r in segments.collect())
+    table = spark.createDataFrame(phrases(3), "kind string, phrase string")
+    assert phrase_index(table).columns == ["kind", "n", "gram"]
+
+
+def test_owners_by_a_cue_table(spark):
+    rows = [("f", 1, "Ann", "I will send it. Yes."), ("f", 2, "Bob", "To do: buy tea. will  SEND!"), ("f", 3, "Ann", None)]
+    turns = spark.createDataFrame(rows, "file_id string, turn int, speaker string, text string")
+    table = spark.createDataFrame([("action_item", "will send"), ("action_item", "to do"), ("decision", "yes")], "kind string, phrase string")
+    want = owner_from_speaker(turns, {"action_item": ["will send", "to do"], "decision": ["yes"]}).collect()
+    assert sorted(map(tuple, owner_from_speaker(turns, table).collect())) == sorted(map(tuple, want)) and len(want) == 3

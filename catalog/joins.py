@@ -110,22 +110,31 @@ def batch_counts(spark, sf):
 
 @query(
     r"""with i as (
-      select doc_id::varchar as file_id, text, case doc_id % 4 when 0 then 'Para ' || (doc_id % 9)
-        when 1 then 'see "' || replace(left(text, 20), '"', ' ') || '"' when 2 then 'para. 2, "no such words"'
-        else 'context' end as citation, doc_id % 4 as k, doc_id % 9 as x,
-        len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) as n from documents)
-    select file_id, citation, case k when 0 then x when 2 then 2 end::varchar as paragraph, k < 3 as cited,
-      case k when 0 then x between 1 and n when 1 then contains(lower(text), lower(replace(left(text, 20), '"', ' ')))
-        else false end as grounded
-    from i"""
+      select doc_id::varchar as file_id, text, replace(left(text, 20), '"', ' ') as q, doc_id % 7 as k, doc_id % 9 as x,
+        len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) as n from documents),
+    c as (select *, case k when 0 then 'Para ' || x when 1 then 'see "' || q || '"' when 2 then 'para. 2, "no such words"'
+        when 3 then 'Para 1 and Para ' || x when 4 then '"' || q || '" and "no such words"'
+        when 5 then 'Paragraph 1: "' || q || '", "' || left(q, 4) || '"' else 'context' end as citation from i)
+    select file_id, citation, case k when 0 then x when 2 then 2 when 3 then 1 when 5 then 1 end::varchar as paragraph, k < 6 as cited,
+      case k when 0 then x between 1 and n when 1 then contains(lower(text), lower(q)) when 3 then n >= 1 and x between 1 and n
+        when 5 then n >= 1 and contains(lower(text), lower(q)) and contains(lower(text), lower(left(q, 4))) else false end as grounded
+    from c"""
 )
 def cited_passages(spark, sf):
-    """Items that cite a paragraph by number, the first words, words that are not there, or nothing."""
-    docs, kind = transcripts(spark, sf), F.col("doc_id") % 4
+    """Items that cite paragraphs by number, the first words, words that are not there, two of these, or nothing."""
+    docs, kind = transcripts(spark, sf), F.col("doc_id") % 7
+    words, x = F.replace(F.left("text", F.lit(20)), F.lit('"'), F.lit(" ")), F.col("doc_id") % 9
+
+    def said(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
     citation = (
-        F.when(kind == 0, F.concat(F.lit("Para "), F.col("doc_id") % 9))
-        .when(kind == 1, F.concat(F.lit('see "'), F.replace(F.left("text", F.lit(20)), F.lit('"'), F.lit(" ")), F.lit('"')))
+        F.when(kind == 0, said("Para ", x))
+        .when(kind == 1, said('see "', words, '"'))
         .when(kind == 2, 'para. 2, "no such words"')
+        .when(kind == 3, said("Para 1 and Para ", x))
+        .when(kind == 4, said('"', words, '" and "no such words"'))
+        .when(kind == 5, said('Paragraph 1: "', words, '", "', F.left(words, F.lit(4)), '"'))
         .otherwise("context")
     )
     checked = citation_check(docs.select("file_id", citation.alias("citation")), docs.select("file_id", "text"))

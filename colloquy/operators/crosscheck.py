@@ -83,23 +83,26 @@ def grounding_check(summary_norm: DataFrame, transcripts: DataFrame) -> DataFram
 def citation_check(items: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Does what an item cites stand in its transcript? ``items`` with ``paragraph, cited, grounded``.
 
-    ``Para X`` must be one of the transcript's paragraphs, a text between double quotes must occur in
-    it; ``cited`` is false where a citation has neither. An item without a transcript is not grounded.
-    Of the transcripts only the number of paragraphs and the quotes found go on.
+    Every ``Para X`` of a citation must be one of the transcript's paragraphs, and every text between
+    double quotes must occur in it; one that does not hold makes the item ungrounded. ``paragraph`` is
+    the first number. ``cited`` is false where a citation has neither. An item without a transcript
+    is not grounded. Of the transcripts only the number of paragraphs and the quotes found go on.
     """
-    quote = F.regexp_extract("citation", r'"([^"]+)"', 1)
-    number = F.regexp_extract("citation", r"(?i)\bpara(?:graph)?\.? *([0-9]{1,9})\b", 1)
-    cites = items.withColumns({"paragraph": F.nullif(number, F.lit("")).cast("int"), "_quote": F.lower(quote)})
-    asked = cites.groupBy("file_id").agg(F.collect_set("_quote").alias("_asked"))
+    number, quote = r"(?i)\bpara(?:graph)?\.? *([0-9]{1,9})\b", r'"([^"]+)"'
+    numbers = F.regexp_extract_all("citation", F.lit(number), F.lit(1)).cast("array<int>")
+    quotes = F.regexp_extract_all(F.lower("citation"), F.lit(quote), F.lit(1))
+    none = F.array().cast("array<string>")
+    cites = items.withColumns({"_numbers": F.coalesce(numbers, none.cast("array<int>")), "_quotes": F.coalesce(quotes, none)})
+    asked = cites.groupBy("file_id").agg(F.array_distinct(F.flatten(F.collect_set("_quotes"))).alias("_asked"))
     text = F.lower("text")
     read = transcripts.join(asked, "file_id").select(
         "file_id",
         F.size(paragraphs(F.col("text"))).alias("_paragraphs"),
-        F.filter("_asked", lambda q: (q != "") & text.contains(q)).alias("_found"),
+        F.filter("_asked", lambda q: text.contains(q)).alias("_found"),
     )
     met = cites.join(read, "file_id", "left")
-    there = F.coalesce(F.col("paragraph").between(1, F.col("_paragraphs")), F.lit(False))
-    said = F.coalesce(F.array_contains("_found", F.col("_quote")), F.lit(False))
-    has_number, has_quote = F.col("paragraph").isNotNull(), F.coalesce(F.col("_quote") != "", F.lit(False))
-    grounded = (has_number | has_quote) & (~has_number | there) & (~has_quote | said)
-    return met.withColumns({"cited": has_number | has_quote, "grounded": grounded}).drop("_quote", "_paragraphs", "_found")
+    there = F.forall("_numbers", lambda n: F.coalesce(n.between(1, F.col("_paragraphs")), F.lit(False)))
+    said = F.forall("_quotes", lambda q: F.coalesce(F.array_contains("_found", q), F.lit(False)))
+    cited = (F.size("_numbers") > 0) | (F.size("_quotes") > 0)
+    checked = met.withColumns({"paragraph": F.get("_numbers", F.lit(0)), "cited": cited, "grounded": cited & there & said})
+    return checked.drop("_numbers", "_quotes", "_paragraphs", "_found")

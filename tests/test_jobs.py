@@ -452,6 +452,17 @@ def test_citations(spark):
     }
 
 
+def test_every_citation_of_an_item_must_hold(spark):
+    said = ["Para 2 and Para 99", "Para 1, para. 3", '"alpha" and "zzz"', '"Alpha", "one" (paragraph 2)', '"one" "', "Para 0", '"" Para 1', "Para 9999999999"]
+    df = spark.createDataFrame([("f", i, c) for i, c in enumerate(said)], "file_id string, pos int, citation string")
+    texts = spark.createDataFrame([("f", "One alpha.\n\nTwo.\nThree.")], "file_id string, text string")
+    got = {r.pos: (r.paragraph, r.cited, r.grounded) for r in citation_check(df, texts).collect()}
+    assert got == {
+        0: (2, True, False), 1: (1, True, True), 2: (None, True, False), 3: (2, True, True),
+        4: (None, True, True), 5: (0, True, False), 6: (1, True, True), 7: (None, False, False),
+    }
+
+
 def test_landing(spark, tmp_path):
     put(tmp_path / "in" / "u 1", "a b.txt", "one\ntwo")
     table, checkpoint = str(tmp_path / "table"), str(tmp_path / "cp")

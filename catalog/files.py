@@ -1,5 +1,6 @@
 """Sources and sinks. What is written goes to the cluster's shared folder and is read back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy import work_dir
@@ -9,17 +10,21 @@ from colloquy.schemas import DOCUMENT_MIME, INVENTORY, NO_LOG
 from colloquy.sources import (
     Attempt,
     append_ledger,
-    decode_transcripts,
     inventory_report,
     list_transcripts,
     read_job_log,
     read_ledger,
     read_log_lines,
     read_summaries,
+    scan_folders,
     scan_ledger,
+    stream_folders,
+    write_folders,
     write_summaries,
     write_transcript_text,
 )
+from colloquy.sources import scan_transcripts as read_transcripts
+from colloquy.streaming import run_available
 
 from .columns import LEDGER_SQL, ledger
 from .logs import LINES_SQL, log_lines
@@ -27,22 +32,65 @@ from .registry import query, table, transcripts
 from .replies import ACCEPTED, accept_replies, replies
 
 
-@query(
-    """select doc_id::varchar as file_id, lang <> 'fr' as is_valid_utf8,
-    case when lang <> 'fr' then md5(text) end as text_md5 from documents"""
-)
-def scan_transcripts(spark, sf):
-    # The bytes of the French texts get a broken tail.
+FILES_SQL = """select doc_id::varchar as file_id, source as user_folder_id, lang <> 'fr' as is_valid_utf8,
+case when lang <> 'fr' then md5(text) end as text_md5 from documents"""
+
+
+def transcript_files(spark, sf):
+    """Transcripts as files of their users' folders; those in French get a broken tail."""
     content = F.encode("text", "utf-8")
     broken = F.concat(content, F.unhex(F.lit("C3")))
-    files = transcripts(spark, sf).select(
-        "file_id", F.when(F.col("lang") == "fr", broken).otherwise(content).alias("content")
+    return transcripts(spark, sf).select(
+        "doc_id",
+        "user_folder_id",
+        F.concat("file_id", F.lit(".txt")).alias("file_name"),
+        F.when(F.col("lang") == "fr", broken).otherwise(content).alias("content"),
     )
-    return decode_transcripts(files).select(
-        "file_id", "is_valid_utf8", F.md5("text").alias("text_md5")
+
+
+def as_read(files):
+    return files.select(
+        F.replace("file_name", F.lit(".txt"), F.lit("")).alias("file_id"),
+        "user_folder_id",
+        "is_valid_utf8",
+        F.md5("text").alias("text_md5"),
     )
 
 
+def user_folders(spark, sf, path):
+    """A manifest of the users' folders."""
+    folders = transcripts(spark, sf).select(F.concat(F.lit(f"{path}/"), "user_folder_id").alias("value")).distinct()
+    return [r.value for r in folders.collect()]
+
+
+@query(FILES_SQL)
+def scan_transcripts(spark, sf):
+    path = work_dir(spark, "files")
+    write_folders(transcript_files(spark, sf), path)
+    return as_read(read_transcripts(spark, path))
+
+
+@query(FILES_SQL)
+def scanned_folders(spark, sf):
+    """The same files, listed and read folder by folder by the tasks."""
+    path = work_dir(spark, "files")
+    write_folders(transcript_files(spark, sf), path)
+    return as_read(scan_folders(spark, user_folders(spark, sf, path), splits=4))
+
+
+@query(f"select *, 1::bigint as copies from ({FILES_SQL})")
+def streamed_folders(spark, sf):
+    """Files that come in two lots, each taken in by a run of one stream: every file once."""
+    path, out = work_dir(spark, "files"), work_dir(spark, "landed")
+    files, folders = transcript_files(spark, sf), user_folders(spark, sf, path)
+    for lot in (0, 1):
+        write_folders(files.where(F.col("doc_id") % 2 == lot), path)
+        run_available(stream_folders(spark, folders, settle=0), f"{out}/table", f"{out}/checkpoint")
+    landed = as_read(spark.read.parquet(f"{out}/table"))
+    copies = F.count("*").over(Window.partitionBy("file_id"))
+    return landed.withColumn("copies", copies)
+
+
 def inventory(spark, sf):
     docs = transcripts(spark, sf)
     return docs.select(

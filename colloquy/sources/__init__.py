@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from .folders import scan_folders, stream_folders, write_folders
 from .inventory import inventory_report, list_transcripts
 from .ledger import append_ledger, read_ledger, scan_ledger
 from .logfiles import read_job_log, read_log_lines
@@ -29,8 +30,11 @@ __all__ = [
     "read_probe",
     "read_published",
     "read_summaries",
+    "scan_folders",
     "scan_ledger",
     "scan_transcripts",
+    "stream_folders",
+    "write_folders",
     "write_summaries",
     "write_transcript_text",
 ]

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from colloquy import work_dir
 from colloquy.operators import (
     classify_lines,
     log_error_windows,
     log_runs,
+    merged_durations,
     number_runs,
     parse_log,
     run_report_lines,
@@ -14,6 +16,8 @@ from colloquy.operators import (
     step_pairs,
 )
 
+from colloquy.plans import store_durations, stored_durations
+
 from .registry import query, table
 
 
@@ -147,6 +151,32 @@ def step_durations(spark, sf):
     return step_duration_stats(classify_lines(log_lines(spark, sf)))
 
 
+@query(
+    f"""select step, count(*) as calls, round(avg(value), 4) as mean_seconds, max(value) as max_seconds,
+      true as p50_close, true as p95_close from ({LINES_SQL}) where event_type = 'click' group by step"""
+)
+def daily_step_durations(spark, sf):
+    """Durations over all days, from sketches that were stored in three batches; ranks are held against the lines."""
+    out, logs = work_dir(spark, "durations"), classify_lines(log_lines(spark, sf))
+    for lot in range(3):
+        store_durations(logs.where(F.col("line_no") % 3 == lot), out, f"lot {lot}")
+    merged = merged_durations(stored_durations(spark, out))
+    timed = logs.where(F.col("seconds").isNotNull()).select("step", "seconds")
+    quantiles = merged.select("step", "p50_seconds", "p95_seconds")
+
+    def share(condition):
+        return F.count_if(condition) / F.count("*")
+
+    def close(name, rank):  # the asked rank lies between the shares of what is less and what is not more
+        below, upto = share(F.col("seconds") < F.col(name)), share(F.col("seconds") <= F.col(name))
+        return (below <= rank + 0.02) & (upto >= rank - 0.02)
+
+    ranks = timed.join(quantiles, "step").groupBy("step").agg(
+        close("p50_seconds", 0.5).alias("p50_close"), close("p95_seconds", 0.95).alias("p95_close")
+    )
+    return merged.drop("p50_seconds", "p95_seconds").join(ranks, "step")
+
+
 @query(
     """select strftime(ts, '%Y-%m-%d') as day, case event_type when 'view' then 'started'
       when 'click' then 'completed' when 'error' then 'refused' when 'signup' then 'mailed'

@@ -3,17 +3,21 @@
 from pyspark.sql import functions as F
 
 from colloquy import work_dir
-from colloquy.operators import enrich_with_retry, log_error_windows
+from colloquy.operators import enrich_with_retry, log_error_windows, log_runs
 from colloquy.streaming import (
     archive_on_commit,
     incremental_ingest,
     land_transcripts,
     ledger_stream,
+    number_stream,
+    numbered_pairs,
+    read_steps,
     run_available,
 )
 
 from .columns import MOVED_AT
-from .registry import query, table
+from .logs import log_lines
+from .registry import ORACLE, query, table
 from .replies import Model, no_wait
 
 
@@ -131,3 +135,53 @@ def streamed_error_windows(spark, sf):
     return spark.read.parquet(out).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "errors"
     )
+
+
+def numbered_lines(spark, sf):
+    """The job logs in five lots, each taken in by a new run of one stream with a state per log."""
+    inbox, out = work_dir(spark, "log-lots"), work_dir(spark, "log-numbered")
+    lines = log_lines(spark, sf)
+    size = lines.agg(F.max("line_no")).scalar() / F.lit(5) + 1
+    for lot in range(5):
+        some = lines.where(F.floor(F.col("line_no") / size) == lot)
+        some.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(lines.schema).parquet(inbox)
+        run_available(number_stream(stream), f"{out}/table", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/table")
+
+
+@query(ORACLE["log_run_table"])
+def streamed_log_runs(spark, sf):
+    runs = log_runs(numbered_lines(spark, sf))
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS") for c in ("started_at", "ended_at")}
+    return runs.withColumns(times)
+
+
+@query(ORACLE["step_pairing"])
+def streamed_step_pairs(spark, sf):
+    places = {c: F.col(c).cast("string") for c in ("start_line", "end_line")}
+    return numbered_pairs(numbered_lines(spark, sf)).withColumns(places).drop("seconds")
+
+
+@query(
+    """select batch, step, case step when 'summaries' then done else n end as rows, true as timed
+    from (select 0::bigint as batch, count(*) as n, count(*) filter (where length(text) % 4 < 3) as done from documents),
+      (select unnest(['replies', 'summaries', 'ledger', 'addBatch']) as step)"""
+)
+def streamed_step_times(spark, sf):
+    """What each step of a streamed run took and how many rows it had."""
+    out = work_dir(spark, "timed")
+    stream = document_stream(spark, sf).select(
+        F.col("doc_id").cast("string").alias("file_id"),
+        F.lit("talk").alias("file_name"),
+        F.col("source").alias("user_folder_id"),
+        "text",
+    )
+
+    def enrich(batch):
+        return enrich_with_retry(batch, Model(), sleep=no_wait, keep=("file_name", "user_folder_id"))
+
+    ledger_stream(stream, enrich, out, f"{out}/checkpoint", F.lit(MOVED_AT), steps=f"{out}/steps")
+    steps = read_steps(spark, f"{out}/steps")
+    wanted = steps.where(F.col("step").isin("replies", "summaries", "ledger", "addBatch"))
+    return wanted.select("batch", "step", "rows", (F.col("seconds") > 0).alias("timed"))

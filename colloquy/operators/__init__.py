@@ -16,8 +16,10 @@ from .items import (
 )
 from .logs import (
     classify_lines,
+    daily_durations,
     log_error_windows,
     log_runs,
+    merged_durations,
     number_runs,
     parse_log,
     run_report,
@@ -71,16 +73,17 @@ __all__ = [
     "assistant_mentions",
     "batch_status_counts",
     "check_reply",
+    "citation_check",
     "classify_lines",
     "classify_outcome",
     "cue_extract",
+    "daily_durations",
     "document_type_filter",
     "enrich_with_retry",
     "extractive_summary",
     "files_of_folders",
     "first_match",
     "found_count",
-    "citation_check",
     "grounding_check",
     "key_terms",
     "latest_summary",
@@ -90,11 +93,12 @@ __all__ = [
     "log_runs",
     "media_output_names",
     "media_stream_counts",
+    "merged_durations",
     "number_runs",
     "observe_batch",
     "owner_from_speaker",
-    "phrase_index",
     "parse_log",
+    "phrase_index",
     "run_report",
     "run_report_lines",
     "scheduler_outcomes",

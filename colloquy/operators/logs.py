@@ -66,7 +66,8 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _starts(start: Column | None) -> Column:
+def run_starts(start: Column | None) -> Column:
+    """1 for a line that begins a run, else 0."""
     begins = F.startswith(F.col("message"), F.lit(RUN_START)) if start is None else start
     return F.when(begins, 1).otherwise(0)
 
@@ -81,7 +82,7 @@ def parse_log(lines: DataFrame, start: Column | None = None) -> DataFrame:
         classify_lines(lines),
         ["log_file"],
         "line_no",
-        sums={"run": _starts(start)},
+        sums={"run": run_starts(start)},
         lasts={"line_ts": F.col("ts")},
     )
 
@@ -107,7 +108,7 @@ def number_runs(logs: DataFrame, start: Column | None = None) -> DataFrame:
 
     A line where ``start`` holds begins a run; lines before the first start are run 0.
     """
-    return running(logs, ["log_file"], "line_no", sums={"run": _starts(start)})
+    return running(logs, ["log_file"], "line_no", sums={"run": run_starts(start)})
 
 
 def step_pairs(logs: DataFrame) -> DataFrame:
@@ -156,6 +157,36 @@ def step_duration_stats(logs: DataFrame) -> DataFrame:
     )
 
 
+def daily_durations(logs: DataFrame, k: int = 400) -> DataFrame:
+    """Durations of each step and day as a row that can be added to others: ``day, step, calls, total,
+    longest, sketch``.
+
+    ``sketch`` is a quantile sketch whose ranks are right to about 2.7 / ``k``, however much was added up.
+    """
+    timed = logs.where(F.col("seconds").isNotNull())
+    return timed.groupBy(F.to_date("ts").alias("day"), "step").agg(
+        F.count("*").alias("calls"),
+        F.sum("seconds").alias("total"),
+        F.max("seconds").alias("longest"),
+        F.kll_sketch_agg_double(F.col("seconds").cast("double"), k).alias("sketch"),
+    )
+
+
+def merged_durations(daily: DataFrame) -> DataFrame:
+    """``step_duration_stats`` over any choice of days, from the rows of ``daily_durations``; no log is read.
+
+    The percentiles are values whose rank is within the sketches' error of the one asked for.
+    """
+    steps = daily.groupBy("step").agg(
+        F.sum("calls").alias("calls"),
+        F.round(F.sum("total") / F.sum("calls"), 4).alias("mean_seconds"),
+        F.max("longest").alias("max_seconds"),
+        F.kll_merge_agg_double("sketch").alias("_sketch"),
+    )
+    half, most = (F.kll_sketch_get_quantile_double("_sketch", F.lit(rank)) for rank in (0.5, 0.95))
+    return steps.select("step", "calls", "mean_seconds", half.alias("p50_seconds"), most.alias("p95_seconds"), "max_seconds")
+
+
 def scheduler_outcomes(logs: DataFrame) -> DataFrame:
     """What the scheduler reports, counted per day: ``day, outcome, n``."""
     outcome = F.lit("other")

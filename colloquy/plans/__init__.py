@@ -1,7 +1,7 @@
 """Whole jobs put together from the operators."""
 
 from .media import media_tasks
-from .report import analyse_logs
+from .report import analyse_logs, store_durations, stored_durations
 from .summarise import SUMMARIES, outcomes, summarise_batch, to_summarise
 
-__all__ = ["SUMMARIES", "analyse_logs", "media_tasks", "outcomes", "summarise_batch", "to_summarise"]
+__all__ = ["SUMMARIES", "analyse_logs", "media_tasks", "outcomes", "store_durations", "stored_durations", "summarise_batch", "to_summarise"]

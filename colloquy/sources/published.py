@@ -36,8 +36,17 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(found)) if fs.exists(found) else []
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step, in the place of one of this name."""
+    _renamed(spark, path, text, overwrite=True)
+
+
 def put_new(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file in one step; an error if there is one of this name."""
+    _renamed(spark, path, text, overwrite=False)
+
+
+def _renamed(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder, name = path.rsplit("/", 1)
     fs, draft = _file_system(spark, f"{folder}/_{name}.{uuid.uuid4().hex}")
@@ -47,9 +56,12 @@ def put_new(spark: SparkSession, path: str, text: str) -> None:
     finally:
         out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
-    no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, int(overwrite))
+    if overwrite:
+        options[0] = rename.OVERWRITE
     try:
-        context.rename(draft, jvm.org.apache.hadoop.fs.Path(path), no_options)
+        context.rename(draft, jvm.org.apache.hadoop.fs.Path(path), options)
     except Exception as error:
         fs.delete(draft, False)
         if exists(spark, path):

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import batch_id
 from ..operators.outcome import ledger_row
 from ..plans.summarise import outcomes
+from .steps import BatchSteps, StepListener
 
 
 KEYS = ["run_id", "batch_id"]
@@ -37,6 +38,7 @@ def ledger_stream(
     checkpoint: str,
     moved_at: Column,
     batch_time: Column | None = None,
+    steps: str | None = None,
 ) -> StreamingQuery:
     """Run ``enrich`` on what is new, then write replies, summaries and ledger of the batch.
 
@@ -44,15 +46,19 @@ def ledger_stream(
     lives in the checkpoint: whoever starts again without it begins a new run and leaves the rows
     of earlier ones as they are. The archive batch is named by ``batch_time``, by default the time
     at which the batch was tried. Start it on a stream of transcripts; it stops when everything
-    available is done.
+    available is done. ``steps`` names the folder of a table (``read_steps``) that gets the times and
+    rows of each batch's steps.
     """
+    session = stream.sparkSession
 
     def process(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         started = F.lit(datetime.now(timezone.utc)) if batch_time is None else batch_time
         enriched = outcomes(enrich(batch)).drop("v").withColumn("archive_batch_id", batch_id(started))
-        _put(enriched, f"{out}/replies", run, number)
+        times = BatchSteps(run, number)
+        with times.step("replies", enriched) as rows:
+            _put(rows, f"{out}/replies", run, number)
         # The schema is given, as an empty batch writes no file to take it from.
         keys = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())]
         stored = spark.read.schema(T.StructType([*enriched.schema.fields, *keys])).parquet(f"{out}/replies")
@@ -60,14 +66,25 @@ def ledger_stream(
         accepted = done.where(F.col("status") == "success").select(
             "file_id", "user_folder_id", "json_content", "output_filename", "archive_batch_id"
         )
-        _put(accepted, f"{out}/summaries", run, number)
-        _put(ledger_row(done, moved_at), f"{out}/ledger", run, number)
+        with times.step("summaries", accepted) as rows:
+            _put(rows, f"{out}/summaries", run, number)
+        with times.step("ledger", ledger_row(done, moved_at)) as rows:
+            _put(rows, f"{out}/ledger", run, number)
+        if steps:
+            times.save(spark, steps, "own")
 
+    listener = StepListener(session, steps) if steps else None
+    if listener:
+        session.streams.addListener(listener)
     query = (
         stream.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        if listener:
+            listener.finish(query)
     return query

@@ -179,9 +179,16 @@ TOOLS = {
         || ',"result":' || case when n_results = 0 then 'null' else to_json(content) end || ',"status":"' || status || '","tool":'
         || coalesce('"' || tool || '"', 'null') || ',"violations":' || to_json(violations) || '}' as json
     from judged
+    where conv_id is not null and call_id is not null
+    union all
+    select conv_id, null, turn, null, null, 'unlinked', 0, 0, '', null from conversations
+    where role is null or role not in ('user', 'assistant') or conv_id is null or turn is null
 """)
 def op3_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns as tool calls, each built on the user turn before; assistant turns as their results."""
+    """User turns as tool calls, each built on the user turn before; assistant turns as their results.
+
+    Turns of other roles, and those without a conversation or a number, are there as ``unlinked``.
+    """
     turns = table(spark, sf, "conversations")
     words = F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')")
     calls = turns.where("role = 'user'").select(
@@ -196,7 +203,11 @@ def op3_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content")
     )
     linked = toolcalls.link_calls(spark, calls, results, TOOLS)
-    return linked.withColumn("violations", F.concat_ws(",", "violations"))
+    linked = linked.withColumn("violations", F.concat_ws(",", "violations"))
+    known = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    others = turns.where(~known | F.col("conv_id").isNull() | F.col("turn").isNull()).select("conv_id", "turn")
+    values = {"status": F.lit("unlinked"), "n_calls": F.lit(0).cast("bigint"), "n_results": F.lit(0).cast("bigint"), "violations": F.lit("")}
+    return linked.unionByName(others.withColumns(values), allowMissingColumns=True)
 
 
 @query()

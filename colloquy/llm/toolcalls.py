@@ -15,13 +15,15 @@ Defined results
   lowest text, counts; ``n_calls`` and ``n_results`` tell how many there were.
 * a call without result, a result without call: rows with status ``no_result`` and ``no_call``.
 * a parent that no call has: the call is a root, its status ``no_parent`` unless there is a worse one.
-* null conversation or identifier: left out, there is nothing to link.
-* null or malformed arguments: the violation ``json``; an unknown tool: ``tool``.
-* null content: an empty result. Empty tables: no rows.
+* null conversation or identifier: left out, there is nothing to link; the query lists them as ``unlinked``.
+* null or malformed arguments: the violation ``json``, as for numbers beyond a double, ``NaN``, half of a
+  surrogate pair and nesting that is too deep to read; an unknown tool: ``tool``.
+* null content: an empty result. Very long texts stay whole. Empty tables: no rows. Other columns are left out.
 """
 
 import json
 from collections.abc import Iterator
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -82,11 +84,24 @@ def canonical(value: object) -> str:
     return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def _refused(text: str) -> float:
+    """NaN and Infinity are no JSON."""
+    raise ValueError(text)
+
+
+def _finite(text: str) -> float:
+    number = float(text)
+    return number if isfinite(number) else _refused(text)
+
+
 def loads(text: str | None) -> object:
+    """The value of a JSON text; None if it has none that canonical JSON in UTF-8 can say."""
     try:
-        return json.loads(text) if text else None
-    except ValueError:
+        value = json.loads(text, parse_constant=_refused, parse_float=_finite) if text else None
+        canonical([value]).encode()  # half of a surrogate pair, or too deep
+    except (ValueError, RecursionError):
         return None
+    return value
 
 
 def one_per_id(df: DataFrame, value: str, count: str) -> DataFrame:

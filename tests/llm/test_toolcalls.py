@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from colloquy.llm import queries
 from colloquy.llm import toolcalls as t
 
 CALLS = "conv_id long, call_id string, turn long, tool string, arguments string, parent_id string"
@@ -84,3 +85,28 @@ def test_empty(spark):
     assert t.link_calls(spark, calls, results, SCHEMAS).count() == 0
     only = t.link_calls(spark, calls, spark.createDataFrame([(1, "a", 0, "r")], RESULTS), SCHEMAS).collect()
     assert [r.status for r in only] == ["no_call"]
+
+
+@pytest.mark.parametrize(
+    "arguments",
+    ['{"query": "\\ud800"}', '{"\\udfff": 1}', "[" * 100_000 + "]" * 100_000, '{"query": NaN}', '{"limit": 1e400}', "-Infinity", "{", "9" * 5000, " "],
+)
+def test_arguments_that_no_canonical_json_can_say(spark, arguments):
+    calls = spark.createDataFrame([(1, "a", 0, "find", arguments, None, "x"), (1, "b", 1, "find", '{"query":"fine"}', None, "y")], CALLS + ", json string")
+    results = spark.createDataFrame([(1, "a", 1, "word " * 300_000)], RESULTS)
+    got = {r.call_id: r for r in t.link_calls(spark, calls, results, SCHEMAS).collect()}
+    assert got["a"].violations == ["json"] and got["b"].violations == []
+    told = json.loads(got["a"].json, parse_constant=lambda _: pytest.fail())
+    assert told["arguments"] is None and told["result"] == "word " * 300_000
+
+
+def test_pairs_of_surrogates_and_large_numbers_stay():
+    assert t.canonical(t.loads('{"q": "\\ud83d\\ude00", "n": 1e300}')) == '{"n":' + str(int(1e300)) + ',"q":"\U0001f600"}'
+
+
+def test_every_turn_is_accounted_for(spark, tmp_path):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "hello there, what is it that you need?"), (1, 2, "assistant", "a"), (None, 1, "user", "x"), (1, None, "assistant", "y"), (2, 1, None, "z"), (2, 2, "tool", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op3_tool_calls(spark, str(tmp_path)).collect()
+    assert sum(r.n_calls + r.n_results for r in got) + sum(r.status == "unlinked" for r in got) == len(rows)
+    assert sorted((r.conv_id or 0, r.turn or 0) for r in got if r.status == "unlinked") == [(0, 1), (1, 0), (1, 0), (2, 1), (2, 2)]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from colloquy import work_dir
 from colloquy.operators import (
     assemble_transcript,
     assistant_mentions,
@@ -12,7 +13,9 @@ from colloquy.operators import (
     transcript_segments,
 )
 
-from .registry import SENTENCES, query, transcripts, turns
+from colloquy.plans import stored_key_terms, update_terms
+
+from .registry import ORACLE, SENTENCES, query, transcripts, turns
 
 NUMBERED = f"""
 select doc_id::varchar as file_id, unnest(s) as segment, unnest(range(1, len(s) + 1)) as pos
@@ -109,6 +112,18 @@ def key_term_table(spark, sf):
     return key_terms(transcripts(spark, sf), 5)
 
 
+@query(ORACLE["key_term_table"])
+def incremental_key_terms(spark, sf):
+    """The same after three batches; the files of the first one are replaced by the third one's texts."""
+    out, docs = work_dir(spark, "terms"), transcripts(spark, sf).select("doc_id", "file_id", "text")
+    third = F.col("doc_id") % 3 == 0
+    draft = F.concat(F.reverse("text"), F.lit(" a first draft of "), "file_id")
+    update_terms(spark, docs.where(third).withColumn("text", draft), out, "1")
+    update_terms(spark, docs.where(~third), out, "2")
+    update_terms(spark, docs.where(third), out, "3")
+    return stored_key_terms(spark, out, 5)
+
+
 @query(
     f"""with {WEIGHTS}, s as (
       select w.file_id, w.pos, round(avg(weight), 6) as score

@@ -121,14 +121,18 @@ def _by_file(df: DataFrame) -> DataFrame:
 
 
 def with_idf(terms: DataFrame, texts: DataFrame, files: Column) -> DataFrame:
-    """Adds ``idf`` to rows of ``file_id, term``; ``files`` is the number of files.
+    """Adds ``idf`` to rows of ``file_id, term``; ``files`` is the number of files."""
+    return weighted_terms(terms, document_frequency(texts), files)
+
+
+def weighted_terms(terms: DataFrame, frequency: DataFrame, files: Column) -> DataFrame:
+    """Adds ``idf`` to rows with a ``term``, from a table of ``term, df``.
 
     A frequent term has a row in a large share of the files. Terms with more than a
     ten-thousandth of all rows are at most ten thousand, however much text there is: their
     weights are broadcast, and their rows stay where they are. Only rows of the rare terms,
     none of which can be hot, are moved to meet their weights.
     """
-    frequency = document_frequency(texts)
     pairs = frequency.agg(F.sum("df")).scalar()
     frequent = F.col("df") > pairs * F.lit(FREQUENT)
     weights = frequency.select("term", F.log(files / F.col("df")).alias("idf"), frequent.alias("frequent"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import cue_extract, extractive_summary, key_terms, owner_from_speaker, phrase_index
+from colloquy.plans import stored_frequency, stored_key_terms, update_terms
 
 TEXTS = {
     "a": "Budget talks began. The budget was cut. Rain fell.",
@@ -127,3 +128,26 @@ def test_owners_by_a_cue_table(spark):
     table = spark.createDataFrame([("action_item", "will send"), ("action_item", "to do"), ("decision", "yes")], "kind string, phrase string")
     want = owner_from_speaker(turns, {"action_item": ["will send", "to do"], "decision": ["yes"]}).collect()
     assert sorted(map(tuple, owner_from_speaker(turns, table).collect())) == sorted(map(tuple, want)) and len(want) == 3
+
+
+def test_replaced_files_change_the_terms_as_a_full_run_does(spark, tmp_path):
+    schema, out = "file_id string, text string", str(tmp_path / "out")
+    rng = random.Random(6)
+
+    def text():
+        return rng.choice([None, "", "?!", " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 15)))])
+
+    now = {}
+    for batch in ("1", "2", "3"):
+        given = {f"f{i}": text() for i in rng.sample(range(30), 18)}
+        now |= given
+        update_terms(spark, spark.createDataFrame(list(given.items()), schema), out, batch)
+        full = spark.createDataFrame(list(now.items()), schema)
+        frequency, files = stored_frequency(spark, out)
+        want = Counter(t for x in now.values() for t in set(re.findall(r"[a-z]+", x or "")))
+        assert {r.term: r.df for r in frequency.collect()} == dict(want)
+        assert files.first().n == len(now)
+        assert sorted(map(tuple, stored_key_terms(spark, out, 3).collect())) == sorted(map(tuple, key_terms(full, 3).collect()))
+    with pytest.raises(FileExistsError):
+        update_terms(spark, full, out, "3")
+    assert files.first().n == len(now)

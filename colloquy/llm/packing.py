@@ -18,6 +18,7 @@ Defined results
 """
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 
@@ -184,7 +185,7 @@ def packed(docs: list[tuple[int | None, np.ndarray]], length: int, pad: int, fir
         )
 
 
-ENCODERS: dict[int, Encoder] = {}
+ENCODERS: dict[str, Encoder] = {}
 
 
 def pack(
@@ -200,10 +201,11 @@ def pack(
     if len(raw) > 64 << 20:
         raise ValueError(f"{vocabulary}: more than 64 MB")
     ranks = spark.sparkContext.broadcast(raw)
-    number = hash((vocabulary, len(raw)))
+    number = hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in ENCODERS:
+            ENCODERS.clear()
             ENCODERS[number] = Encoder(ranks.value)
         encoder = ENCODERS[number]
         row, held, tokens = TaskContext.get().partitionId() << 33, [], 0

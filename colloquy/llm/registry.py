@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.session import configure
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -14,7 +16,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name, with the SQL that gives the same rows."""
 
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return fn(configure(spark), sf)
+
+        QUERIES[fn.__name__] = run
         if sql:
             ORACLE[fn.__name__] = sql
         return fn

@@ -4,6 +4,9 @@ Every stage takes what its predecessor kept, as a table, and returns what it kee
 stages but the last return the columns of ``documents``.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,8 @@ from colloquy.llm.shared import Scratch, table
 # The workers get the functions they need with the task; they need not have the package.
 cloudpickle.register_pickle_by_value(colloquy)
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: texts that a rule rejects go."""
@@ -26,7 +31,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates: the document with the smallest id of each component stays."""
+    """Near-duplicates, from a similarity of 0.85 on: the document with the smallest id of each component stays."""
     return deduplicate(spark, docs)
 
 
@@ -45,12 +50,22 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(spark, docs)
 
 
+def configured(stage: Stage) -> Stage:
+    """The stage with the package's settings, which bound what a task holds at a time."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(colloquy.configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", clean),
-    ("near_dedup", dedup),
-    ("decontamination", decontaminated),
-    ("mixing", mixed),
-    ("packing", packed),
+    ("quality_rules", configured(clean)),
+    ("near_dedup", configured(dedup)),
+    ("decontamination", configured(decontaminated)),
+    ("mixing", configured(mixed)),
+    ("packing", configured(packed)),
 ]
 
 # Cutoffs from exact tests and packed token ids are not for SQL; see tests/llm/test_pipeline.py.

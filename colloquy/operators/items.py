@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions.json import STRICT
 from ..schemas import ITEM_FIELDS, ITEM_SECTIONS
-from ..skew import top_per_key
+from ..skew import computed_once, top_per_key
 
-SCORE = r"^([1-9]|10)$"
-ITEM = "section: string, pos: int, item_json: string, _i: map<string,string>"
-ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+SCORES = [str(n) for n in range(1, 11)]
+ISO_DATE = "0000-00-00"  # a date, whatever its digits
 
 
 def assistant_slug(name: str) -> str:
@@ -29,11 +28,11 @@ def item_sections(assistant_name: str) -> tuple[str, ...]:
 
 
 def _score(c: Column) -> Column:
-    return F.when(F.regexp_like(c, F.lit(SCORE)), c.cast("int"))
+    return F.when(c.isin(*SCORES), c.cast("int"))
 
 
 def _day(c: Column) -> Column:
-    return F.when(F.regexp_like(c, F.lit(ISO_DATE)), c.try_cast("date"))
+    return F.when(F.translate(c, "123456789", "000000000") == ISO_DATE, c.try_cast("date"))
 
 
 def action_items_flatten(
@@ -42,57 +41,43 @@ def action_items_flatten(
     """One row per action item: ``file_id, section, pos, item_json, field_names`` and its fields.
 
     The sections are cut out of the text in one read, and each item is read once more for itself,
-    so that one odd item does not cost the others. The names keep their order, which is part
-    of the contract; of a repeated name the first place and the last value count. Empty and missing
-    sections give no rows.
+    as the fields of the contract and as names, so that one odd item does not cost the others. The
+    names keep their order, which is part of the contract; of a repeated name the first place and
+    the last value count. Empty and missing sections give no rows.
     """
     sections = item_sections(assistant_name)
-    layout = ", ".join(f"`{s}` array<string>" for s in sections)
     flag = f"{assistant_slug(assistant_name)}_reference"
-    def tagged_items(section: str) -> Column:
-        # Read inside the generator, as a projection would read the item once per field.
-        tagged = F.transform(
-            F.col("_s")[section],
-            lambda item, i: F.struct(
-                F.lit(section).alias("section"),
-                i.alias("pos"),
-                item.alias("item_json"),
-                F.from_json(item, "map<string,string>", STRICT).alias("_i"),
-            ),
-        )
-        nothing = F.expr(f"cast(array() as array<struct<{ITEM}>>)")
-        return F.coalesce(tagged, nothing)
-
-    listed = df.select("file_id", F.from_json(F.col(col), layout, STRICT).alias("_s"))
-    items = F.concat(*[tagged_items(s) for s in sections])
-    rows = listed.select("file_id", F.inline(items))
-    entries = F.map_entries("_i")
-    names = F.coalesce(F.map_keys("_i"), F.array().cast("array<string>"))
-
-    class Fields:
-        """The last value of each name; looking one up in the map itself gives the first."""
-
-        def __getitem__(self, name: str) -> Column:
-            last = F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
-            return F.when(F.size("field_names") < F.size("_i"), last).otherwise(F.col("_i")[name])
-
-    field = Fields()
-    rows = rows.withColumn("field_names", F.array_distinct(names))
+    layout = ", ".join(f"`{s}` array<string>" for s in sections)
+    fields = ", ".join(f"`{f}` string" for f in (*ITEM_FIELDS, flag))
+
+    def listed(section: str) -> Column:
+        texts = F.coalesce(F.col("_s")[section], F.array().cast("array<string>"))
+        return F.struct(F.lit(section).alias("section"), texts.alias("items"))
+
+    read = df.select("file_id", F.from_json(F.col(col), layout, STRICT).alias("_s"))
+    cut = read.select("file_id", F.inline(F.array(*[listed(s) for s in sections])))
+    rows = cut.select("file_id", "section", F.posexplode("items").alias("pos", "item_json"))
+    item = {"_i": F.from_json("item_json", fields, STRICT), "_names": F.json_object_keys("item_json")}
+    rows = computed_once(rows, ["file_id", "section", "pos", "item_json"], item)
+
+    def field(name: str) -> Column:
+        return F.col("_i")[name]
+
     return rows.select(
         "file_id",
         "section",
         "pos",
         "item_json",
-        "field_names",
-        field["description"].alias("description"),
-        field["owner"].alias("owner"),
-        field["due_date"].alias("due_date_raw"),
-        _day(field["due_date"]).alias("due_date"),
-        _score(field["urgency_score"]).alias("urgency"),
-        _score(field["priority_score"]).alias("priority"),
-        field["citation"].alias("citation"),
-        field["high_level_topic"].alias("high_level_topic"),
-        F.lower(field[flag]).try_cast("boolean").alias("assistant_reference"),
+        F.coalesce(F.array_distinct("_names"), F.array().cast("array<string>")).alias("field_names"),
+        field("description").alias("description"),
+        field("owner").alias("owner"),
+        field("due_date").alias("due_date_raw"),
+        _day(field("due_date")).alias("due_date"),
+        _score(field("urgency_score")).alias("urgency"),
+        _score(field("priority_score")).alias("priority"),
+        field("citation").alias("citation"),
+        field("high_level_topic").alias("high_level_topic"),
+        F.lower(field(flag)).try_cast("boolean").alias("assistant_reference"),
     )
 
 

@@ -24,7 +24,7 @@ from colloquy.sources import (
     write_transcript_text,
 )
 from colloquy.sources import scan_transcripts as read_transcripts
-from colloquy.streaming import run_available
+from colloquy.streaming import land_summaries, run_available
 
 from .columns import LEDGER_SQL, ledger
 from .logs import LINES_SQL, log_lines
@@ -247,12 +247,12 @@ def write_transcripts_back(spark, sf):
     return spark.read.parquet(path).select("file_id", F.md5("text").alias("text_md5"))
 
 
-@query(
-    """select s_suppkey, 'Visit of ' || s_name as title, n_name as place
-    from supplier join nation on s_nationkey = n_nationkey"""
-)
-def stored_replies(spark, sf):
-    """One reply file per supplier, as replies are stored, read whole and unwrapped."""
+REPLIES_SQL = """select s_suppkey, 'Visit of ' || s_name as title, n_name as place
+from supplier join nation on s_nationkey = n_nationkey"""
+
+
+def supplier_replies(spark, sf):
+    """A reply per supplier, as replies are stored, in the folder of its nation."""
     suppliers = table(spark, sf, "supplier").join(
         table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
@@ -265,9 +265,13 @@ def stored_replies(spark, sf):
         "n_name",
         F.lit('\n"\n}\n```\n}'),
     )
-    path = work_dir(spark, "replies")
-    suppliers.select("s_suppkey", raw.alias("raw")).write.partitionBy("s_suppkey").text(path)
-    found = read_summaries(spark, path)
+    name = F.concat(F.col("s_suppkey").cast("string"), F.lit(".json"))
+    return suppliers.select(
+        F.col("s_nationkey").cast("string").alias("user_folder_id"), name.alias("file_name"), F.encode(raw, "utf-8").alias("content")
+    )
+
+
+def as_visits(found):
     content = F.try_variant_get("v", "$.content", "string")
     return found.select(
         F.try_variant_get("v", "$.supplier", "bigint").alias("s_suppkey"),
@@ -276,6 +280,25 @@ def stored_replies(spark, sf):
     )
 
 
+@query(REPLIES_SQL)
+def stored_replies(spark, sf):
+    """Replies that come as files in two lots, landed in one table and unwrapped."""
+    inbox, out = work_dir(spark, "replies"), work_dir(spark, "replies-landed")
+    replies = supplier_replies(spark, sf)
+    for lot in (0, 1):
+        write_folders(replies.where(F.length("user_folder_id") % 2 == lot), inbox)
+        landed = land_summaries(spark, inbox, f"{out}/table", f"{out}/checkpoint")
+    return as_visits(landed)
+
+
+@query(REPLIES_SQL)
+def reply_files(spark, sf):
+    """The same replies, each file read whole."""
+    path = work_dir(spark, "replies")
+    write_folders(supplier_replies(spark, sf), path)
+    return as_visits(read_summaries(spark, path))
+
+
 @query(
     f"""with l as ({LINES_SQL}) select log_file, sum(length(line) + 1)::bigint as chars,
     sum(case when contains(line, 'ERROR') then 1 else 0 end)::bigint as errors from l group by log_file

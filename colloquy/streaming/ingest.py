@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.summaries import reply_files, unwrapped
 from ..sources.transcripts import laid_out
 
 BINARY_FILE = T.StructType(
@@ -67,3 +68,14 @@ def land_transcripts(spark: SparkSession, path: str, out: str, checkpoint: str,
     options = {"recursiveFileLookup": "true", **options}
     run_available(laid_out(incremental_ingest(spark, path, **options)), out, checkpoint)
     return spark.read.parquet(out)
+
+
+def land_summaries(spark: SparkSession, path: str, out: str, checkpoint: str, **options: str) -> DataFrame:
+    """Many small reply files become rows of one table, as ``read_summaries`` gives them: ``file_id, raw, v``.
+
+    Each run takes in the files that are new.
+    """
+    text = T.StructType([T.StructField("value", T.StringType())])
+    options = {"wholetext": "true", "recursiveFileLookup": "true", **options}
+    run_available(reply_files(incremental_ingest(spark, path, "text", text, **options)), out, checkpoint)
+    return unwrapped(spark.read.parquet(out))

@@ -37,6 +37,7 @@ from colloquy.schemas import DOCUMENT_MIME, INVENTORY, LEDGER
 from colloquy.streaming import (
     archive_on_commit,
     incremental_ingest,
+    land_summaries,
     land_transcripts,
     ledger_stream,
     run_available,
@@ -452,6 +453,19 @@ def test_citations(spark):
     }
 
 
+def test_landed_replies_are_those_of_the_files(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    for lot, names in enumerate((["a+b.json", "ü c.json"], ["d.json"])):
+        for name in names:
+            put(inbox / "u 1", name, '{"response": ```json\n{"title": "%s"}\n```}' % name)
+        landed = land_summaries(spark, str(inbox), out, str(tmp_path / "cp"))
+        files = read_summaries(spark, str(inbox))
+        assert landed.columns == files.columns and landed.count() == (2, 3)[lot]
+        title = F.try_variant_get("v", "$.title", "string").alias("title")
+        rows = [sorted(map(tuple, df.select("file_id", "raw", title).collect())) for df in (landed, files)]
+        assert rows[0] == rows[1] and rows[0][0][2] == "a+b.json"
+
+
 def test_every_citation_of_an_item_must_hold(spark):
     said = ["Para 2 and Para 99", "Para 1, para. 3", '"alpha" and "zzz"', '"Alpha", "one" (paragraph 2)', '"one" "', "Para 0", '"" Para 1', "Para 9999999999"]
     df = spark.createDataFrame([("f", i, c) for i, c in enumerate(said)], "file_id string, pos int, citation string")

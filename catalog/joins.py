@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from colloquy import work_dir
 from colloquy.operators import (
+    add_done,
     batch_status_counts,
     citation_check,
     files_of_folders,
@@ -10,12 +12,14 @@ from colloquy.operators import (
     found_count,
     grounding_check,
     latest_summary,
+    merged_done,
     stage_reconcile,
     unprocessed,
+    unprocessed_by_filter,
 )
 
 from .columns import LEDGER_SQL, ledger
-from .registry import query, table, transcripts
+from .registry import ORACLE, query, table, transcripts
 
 
 def label_ledger(spark, sf):
@@ -35,6 +39,16 @@ def unprocessed_transcripts(spark, sf):
     return unprocessed(files, label_ledger(spark, sf))
 
 
+@query(ORACLE["unprocessed_transcripts"])
+def filtered_transcripts(spark, sf):
+    """The same by way of a filter that three batches of the ledger have added to."""
+    files = transcripts(spark, sf).select("file_id", "user_folder_id")
+    ledger, out = label_ledger(spark, sf), work_dir(spark, "done")
+    for lot in range(3):
+        add_done(ledger.where(F.length("original_file_id") % 3 == lot), out, f"lot {lot}")
+    return unprocessed_by_filter(files, merged_done(spark, out), ledger)
+
+
 @query(
     """select doc_id::varchar as file_id, 'talk ' || doc_id as file_name, source as user_folder_id
     from documents where source in (select source from documents where lang = 'de' and n_chars > 6000)"""

@@ -7,6 +7,7 @@ from .crosscheck import (
     stage_reconcile,
     unprocessed,
 )
+from .done import add_done, done_bits, maybe_done, merged_done, unprocessed_by_filter
 from .enrich import check_reply, enrich_with_retry
 from .items import (
     action_item_rank,
@@ -67,6 +68,7 @@ __all__ = [
     "action_item_report",
     "action_item_validate",
     "action_items_flatten",
+    "add_done",
     "archive_processed",
     "assemble_parts",
     "assemble_transcript",
@@ -79,6 +81,7 @@ __all__ = [
     "cue_extract",
     "daily_durations",
     "document_type_filter",
+    "done_bits",
     "enrich_with_retry",
     "extractive_summary",
     "files_of_folders",
@@ -91,8 +94,10 @@ __all__ = [
     "ledger_union",
     "log_error_windows",
     "log_runs",
+    "maybe_done",
     "media_output_names",
     "media_stream_counts",
+    "merged_done",
     "merged_durations",
     "number_runs",
     "observe_batch",
@@ -112,5 +117,6 @@ __all__ = [
     "summary_quality_flags",
     "transcript_segments",
     "unprocessed",
+    "unprocessed_by_filter",
     "video_only_plan",
 ]

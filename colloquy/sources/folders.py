@@ -73,7 +73,7 @@ def _files(share: Share) -> Iterator[pa.RecordBatch]:
         when = info.mtime_ns or 0
         if when <= share.after or (share.until is not None and when > share.until):
             continue
-        with found.open_input_stream(info.path) as file:
+        with found.open_input_stream(info.path, compression=None) as file:
             content = file.read()
         parent = info.path.rsplit("/", 2)[-2]
         rows.append((prefix + info.path, name, parent, datetime.fromtimestamp(when / 1e9, timezone.utc), content))
@@ -138,7 +138,7 @@ class FolderWriter(DataSourceWriter):
             if folder not in made:
                 found.create_dir(folder)
                 made.add(folder)
-            with found.open_output_stream(f"{folder}/{row.file_name}") as file:
+            with found.open_output_stream(f"{folder}/{row.file_name}", compression=None) as file:
                 file.write(bytes(row.content))
             n += 1
         return Written(n)

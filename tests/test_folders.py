@@ -48,6 +48,14 @@ def test_empty_files_hidden_files_and_no_folders(spark, tmp_path):
     assert scan_folders(spark, []).count() == 0
 
 
+def test_names_do_not_change_the_bytes(spark, tmp_path):
+    rows = [("u", "a.txt.gz", b"plain"), ("u", "b.zst", b"\x28\xb5\x2f\xfd"), ("u", "c.bz2", b"")]
+    write_folders(spark.createDataFrame(rows, FILES), str(tmp_path))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "u").iterdir()} == {name: content for _, name, content in rows}
+    got = {r.file_name: r.text for r in scan_folders(spark, [str(tmp_path / "u")]).collect()}
+    assert got == {"a.txt.gz": "plain", "b.zst": None, "c.bz2": ""}
+
+
 def test_offsets_are_kept_over_two_runs(spark, tree, tmp_path):
     root, folders = tree
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")

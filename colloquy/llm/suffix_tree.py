@@ -47,7 +47,7 @@ FREQUENT = 500_000
 FREQUENT_WINDOWS = 8_000_000
 HELD_WORDS = 150_000  # distinct words a task adds up before it hands them on
 HELD_GRAMS = 1_500_000  # and windows
-COUNTED = 1 << 20  # bytes of text whose windows are counted at a time
+COUNTED = 1 << 19  # bytes of text whose windows are counted at a time
 LANE = 1024
 SYMBOLS = 257
 U = np.uint64

@@ -21,7 +21,7 @@ from . import (
     warc,
 )
 from .registry import query
-from .shared import fold, table
+from .shared import Scratch, fold, table
 
 
 @query()
@@ -120,8 +120,10 @@ def op9_packed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     from g
 """)
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
-    """The records of the archives of all pages, as they are read back."""
-    archives = warc.write_warc(spark, table(spark, sf, "pages"))
+    """The records of the archives of all pages, as they are read back from their files."""
+    folder = f"{Scratch(spark, 'warc-files').root}/archives"
+    warc.export_warc(warc.write_warc(spark, table(spark, sf, "pages")), folder)
+    archives = warc.read_files(spark, folder)
     return warc.verified(warc.read_warc(archives)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )

@@ -4,7 +4,10 @@ Each archive is a ``.warc.zst`` file: a skippable frame that holds a Zstandard d
 from the archive's records, then one frame per record, so that any record can be read by itself
 with the dictionary alone. The archives are rows of a table, ``(archive, part, content)``; the
 parts of an archive in their order are its bytes, and no part is larger than ``PART_BYTES`` unless
-one record is.
+one record is. ``export_warc`` writes them as files.
+
+A payload is what a page's text is in UTF-8; there is no HTTP head, as the pages carry none, and all records
+have the date ``DATE``.
 
 Of the pages with equal payloads of ``REVISIT_BYTES`` or more, the one with the largest page_id is
 a response record and the others are revisits of it, without payload. Digests are counted first;
@@ -14,7 +17,7 @@ Defined results
 * null html: an empty payload. null url: an empty target.
 * null page_id: a record of its own, never the one that others refer to.
 * pages with one id and one payload: each is a response if its id is the largest of its group.
-* an empty table: no archives.
+* very long payloads stay whole. Other columns are left out. An empty table: no archives.
 """
 
 import re
@@ -27,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.sources import write_folders
+
 from .shared import Scratch
 
 REVISIT_BYTES = 1000
@@ -36,6 +41,7 @@ PART_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20  # of an archive's records, evenly spread, that the dictionary is built from
 PIECE = 8 << 10  # what one record adds to the sample at most
+PLACES = 8  # of a long record, that its piece may be from
 LEVEL = 3
 STEP = 4 << 10
 DATE = "2024-01-01T00:00:00Z"  # of records whose pages carry no date
@@ -89,17 +95,24 @@ def parse(raw: bytes) -> dict:
 
 
 def dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from records that are spread evenly over the archive; empty if there are few."""
+    """A dictionary from pieces of records that are spread evenly over the archive.
+
+    A long record gives a piece from another place than the one before it did. Where there are too
+    few pieces to train on, or nothing they share, the pieces themselves are the dictionary: Zstandard
+    takes any content for one.
+    """
     step = max(1, sum(min(len(r), PIECE) for r in records) // SAMPLE_BYTES)
-    sample = [r[:PIECE] for r in records[::step]]
-    total = sum(map(len, sample))
-    size = min(DICTIONARY_BYTES, total // 10)
-    if len(sample) < 8 or size < 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, sample, k=512, d=8, steps=1, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # records too much alike or too different to share anything
-        return b""
+    sample = []
+    for i, raw in enumerate(records[::step]):
+        start = max(0, len(raw) - PIECE) * (i % PLACES) // (PLACES - 1)
+        sample.append(raw[start : start + PIECE])
+    size = min(DICTIONARY_BYTES, sum(map(len, sample)) // 10)
+    if len(sample) >= 8 and size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, sample, k=512, d=8, steps=1, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(sample)[:DICTIONARY_BYTES]
 
 
 def written(records: list[bytes], name: str, part_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -170,6 +183,21 @@ def write_warc(
     return scratch.keep(judged(spark, pages, scratch).mapInArrow(run, ARCHIVES), "archives")
 
 
+def export_warc(archives: DataFrame, folder: str) -> None:
+    """Write the archives as files ``<name>.warc.zst`` below ``folder``, each by one task."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "content")))
+    whole = archives.groupBy("archive").agg(parts.alias("parts"))
+    content = F.aggregate("parts", F.lit(b""), lambda done, part: F.concat(done, part["content"]))
+    path, name = folder.rstrip("/").rsplit("/", 1)
+    write_folders(whole.select(F.lit(name).alias("user_folder_id"), F.col("archive").alias("file_name"), content.alias("content")), path)
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive files as rows of one part."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.lit(0).alias("part"), "content")
+
+
 def read_warc(archives: DataFrame) -> DataFrame:
     """A row per record of the archives; ``at`` and ``length`` are its frame in the part.
 

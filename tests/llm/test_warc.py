@@ -73,3 +73,33 @@ def test_damage_is_an_error(spark, pages):
 
 def test_empty(spark, pages):
     assert w.read_warc(w.write_warc(spark, pages.limit(0))).count() == 0
+
+
+def test_files_are_the_archives(spark, pages, tmp_path):
+    more = pages.withColumns({"archive": F.lit("x"), "payload": F.lit(1)})
+    archives = w.write_warc(spark, more, archive_bytes=300_000, part_bytes=40_000)
+    assert archives.where("part > 0").count() > 0
+    w.export_warc(archives, f"file://{tmp_path}/out/archives")
+    want = {}
+    for r in archives.orderBy("archive", "part").collect():
+        want[r.archive] = want.get(r.archive, b"") + bytes(r.content)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out" / "archives").iterdir()} == want
+    records = w.verified(w.read_warc(w.read_files(spark, f"{tmp_path}/out/archives")))
+    got = [tuple(r) for r in records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == sorted(expected(pages.collect()), key=str)
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 30])
+def test_few_or_unlike_records_have_a_dictionary_too(spark, n):
+    rows = [(i, f"http://a/{i}", hashlib.sha512(str(i).encode()).hexdigest() * (1 + 2000 * (i == 0))) for i in range(n)]
+    (row,) = w.write_warc(spark, spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    magic, size = struct.unpack_from("<II", bytes(row.content))
+    assert magic == w.MAGIC and 0 < size <= w.DICTIONARY_BYTES
+    archives = spark.createDataFrame([(row.archive, 0, row.content)], w.ARCHIVES)
+    got = {r.page_id: bytes(r.payload).decode() for r in w.verified(w.read_warc(archives)).collect()}
+    assert got == {i: html for i, _, html in rows}
+
+
+def test_no_archives(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert w.read_warc(w.write_warc(spark, none)).count() == 0

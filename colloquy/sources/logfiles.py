@@ -32,6 +32,11 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A big file is read by many tasks. Each task knows where its block starts and numbers
     the lines inside it; what comes before the block is the sum over the earlier blocks.
+
+    A line's place in its block is the distance of its row id from the block's least one: a task reads the
+    lines of a block one after the other, also if it has several blocks or small files. The ids are taken
+    by two reads of the same files, which Spark deals out alike; files that grow meanwhile are
+    for ``streaming.number_stream``.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("log_file"),

@@ -161,3 +161,20 @@ def test_analysis(spark, tmp_path):
 def test_windows(lines):
     rows = log_error_windows(classify_lines(lines), "1 hour", "10 minutes").collect()
     assert [(r.window_start, r.errors) for r in rows] == [(datetime(2031, 2, 3, 8), 1)]
+
+
+@pytest.mark.parametrize("size", [1 << 27, 3000, 100])
+def test_several_files_in_a_task_and_several_tasks_for_a_file(spark, tmp_path, size):
+    for k in range(40):
+        (tmp_path / f"{k}.log").write_text("".join(f"{k} {i}\n" for i in range(k * k % 37 * 10)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = read_log_lines(spark, str(tmp_path))
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {(r.line, r.line_no) for r in got}
+    assert found == {(f"{k} {i}", i + 1) for k in range(40) for i in range(k * k % 37 * 10)} and len(got) == len(found)

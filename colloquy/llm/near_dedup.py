@@ -267,21 +267,50 @@ def _all(links: list[DataFrame]) -> DataFrame:
     return out
 
 
+def apart(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``node, doc_id, text`` of ``docs``, where different texts of one id are different nodes, and what
+    node stands for which id.
+
+    All other rows have their id for a node. The new numbers lie beyond all ids, on the side with more room.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    hashed = slim.where("doc_id is not null").select("doc_id", digest.alias("digest"))
+    several = hashed.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
+    texts = hashed.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    low, high = slim.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    node = number + F.lit((high or 0) + 1) if (high or 0) < -(low or 0) else F.lit((low or 0) - 1) - number
+    nodes = scratch.keep(texts.select("doc_id", "digest", node.alias("node")), "nodes")
+    ids = nodes.select("doc_id").distinct()
+    alone = slim.join(ids, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "doc_id", "text")
+    more = slim.join(ids, "doc_id", "left_semi").withColumn("digest", digest).join(nodes, ["doc_id", "digest"])
+    return alone.union(more.select("node", "doc_id", "text")), nodes
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, similar: int = NUM) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the smallest id.
 
-    Of rows that repeat an id, one stays: the one whose text has the least hash. Rows with a null
-    id stay.
+    Of rows with one id and one text, one stays. Different texts of one id are documents of their own,
+    each in the component of its text; where several of them are in one component, the text with the
+    least digest stays. Rows with a null id stay.
     """
-    found = near_duplicates(spark, docs, similar=similar)
     scratch = Scratch(spark, "near-dedup-out")
-    gone = scratch.keep(
-        found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct(), "gone"
-    )
+    nodes_of, named = apart(docs, scratch)
+    found = near_duplicates(spark, nodes_of.select(F.col("node").alias("doc_id"), "text"), similar=similar)
+    own = found.where("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id").distinct()
+    ids = own.join(named.select("node", "doc_id", "digest"), "node", "left")
+    rank = F.struct(F.coalesce("doc_id", "node").alias("id"), "digest", "node")
+    best = ids.withColumn("_rank", rank).groupBy("component_id").agg(F.min("_rank").alias("best"), F.count("*").alias("n"))
+    lost = ids.withColumn("_rank", rank).join(best.where("n > 1"), "component_id").where(F.col("_rank") != F.col("best"))
+    gone = scratch.keep(lost.select(F.col("_rank.id").alias("doc_id"), "digest"), "gone")
+    whole = gone.where("digest is null").select("doc_id")
+    mark, key = free_name(docs, "_digest"), free_name(docs, "_id")
+    kept = docs.join(whole, "doc_id", "left_anti").select(docs.columns)
     twice = scratch.keep(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    rank, hashed = free_name(docs, "_rank"), F.xxhash64(F.coalesce("text", F.lit("")))
     once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
-    some = kept.join(twice, "doc_id", "left_semi")
-    one = some.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), hashed).alias(rank)).select(f"{rank}.*")
+    some = kept.join(twice, "doc_id", "left_semi").select(docs.columns).withColumn(mark, F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = gone.where("digest is not null").select(F.col("doc_id").alias(key), F.col("digest").alias("_gone"))
+    some = some.join(texts, (F.col("doc_id") == F.col(key)) & (F.col(mark) == F.col("_gone")), "left_anti")
+    one = some.groupBy("doc_id", mark).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(key)).select(f"{key}.*")
     return once.union(one.select(docs.columns))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -75,6 +76,18 @@ def test_one_document_of_each_component_stays(spark, docs, rows):
     assert ids.count(None) == 2
 
 
+def test_different_texts_of_one_id_are_documents_of_their_own(spark, docs, prose):
+    near = lambda seed: edited(prose(200, seed), 2, seed)
+    rows = [(5, prose(200, 50)), (5, prose(200, 51)), (5, prose(200, 52)), (5, prose(200, 50))]
+    rows += [(9, near(50)), (3, near(51)), (12, prose(200, 53)), (12, near(53)), (12, prose(200, 54)), (7, prose(80, 55)), (8, prose(80, 55))]
+    rows += [(-4, ""), (-4, None), (-4, "a b"), (20, "a b"), (None, prose(200, 50)), (None, None)]
+    got = sorted((str(r.doc_id), r.text or "") for r in nd.deduplicate(spark, docs(rows, extra=("x",)).withColumnRenamed("_0", "_digest")).collect())
+    first = min((prose(200, 53), near(53)), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = [(5, prose(200, 50)), (3, near(51)), (5, prose(200, 52)), (12, first), (12, prose(200, 54)), (7, prose(80, 55))]
+    want += [(-4, ""), (-4, "a b"), (None, prose(200, 50)), (None, "")]
+    assert got == sorted((str(i), t) for i, t in want)
+
+
 def test_pairs_below_the_contract_go_at_a_lower_similarity(spark, docs):
     rows = []
     for k in range(20):

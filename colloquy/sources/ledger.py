@@ -20,7 +20,8 @@ CSV = {
 def _paths(spark: SparkSession, path: str) -> list[str] | None:
     """What of the ledger counts, or None if it has no batches: rows that were appended and
     those of published batches. What an unfinished batch has left does not count."""
-    root, table = path.rstrip("/").rsplit("/", 1)
+    root, slash, table = path.rstrip("/").rpartition("/")
+    root = root if slash else "."
     if not attempts(spark, root) and not any(n.startswith("batch=") for n in names(spark, path)):
         return None
     return [f"{path}/{n}" for n in names(spark, path) if n.endswith(".csv")] + published_folders(spark, root, table)

@@ -21,11 +21,13 @@ from .registry import ORACLE, query, table
 from .replies import Model, no_wait
 
 
+def table_stream(spark, sf, name):
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    return incremental_ingest(spark, f"{sf}/{name}.parquet", "parquet", table(spark, sf, name).schema)
+
+
 def document_stream(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    return incremental_ingest(
-        spark, sf, "parquet", schema, pathGlobFilter="documents.parquet"
-    )
+    return table_stream(spark, sf, "documents")
 
 
 @query("select doc_id, md5(text) as text_md5 from documents")
@@ -127,10 +129,7 @@ def streamed_ledger(spark, sf):
 def streamed_error_windows(spark, sf):
     """Windows of a stream that are closed: those that end before the watermark."""
     out, checkpoint = work_dir(spark, "windows"), work_dir(spark, "windows-checkpoint")
-    events = incremental_ingest(
-        spark, sf, "parquet", table(spark, sf, "events").schema, pathGlobFilter="events.parquet"
-    )
-    windows = log_error_windows(events, "6 hours", "2 hours", F.col("event_type") == "error")
+    windows = log_error_windows(table_stream(spark, sf, "events"), "6 hours", "2 hours", F.col("event_type") == "error")
     run_available(windows, out, checkpoint)
     return spark.read.parquet(out).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "errors"

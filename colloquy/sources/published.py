@@ -25,6 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(found)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, found = _file_system(spark, path)
+    return fs.exists(found) and fs.getFileStatus(found).isFile()
+
+
 def _file_system(spark: SparkSession, path: str):
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found

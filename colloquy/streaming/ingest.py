@@ -1,9 +1,12 @@
 """New files as a stream."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.published import is_file
 from ..sources.summaries import reply_files, unwrapped
 from ..sources.transcripts import laid_out
 
@@ -24,7 +27,13 @@ def incremental_ingest(
     schema: T.StructType = BINARY_FILE,
     **options: str,
 ) -> DataFrame:
-    """Files below ``path`` that the query's checkpoint has not seen, as a stream."""
+    """Files below ``path`` that the query's checkpoint has not seen, as a stream.
+
+    Where ``path`` is itself a file, that one: Spark streams folders only.
+    """
+    if is_file(spark, path):
+        path, name = path.rsplit("/", 1)
+        options = {**options, "pathGlobFilter": re.sub(r"([][{}*?\\])", r"\\\1", name)}
     return spark.readStream.format(source).schema(schema).options(**options).load(path)
 
 

@@ -174,6 +174,8 @@ def ledger_round_trip(spark, sf):
     return stored.groupBy(*stored.columns).agg(F.count("*").alias("copies"))
 
 
+FILE_ROWS = 1_000_000
+
 # An error in three has line breaks and quotes.
 NOISY_LEDGER_SQL = f"""
 select original_file_id, file_name, archive_batch_id, date_moved, user_folder_id, status,
@@ -183,11 +185,13 @@ from ({LEDGER_SQL})"""
 
 @query(NOISY_LEDGER_SQL)
 def scanned_ledger(spark, sf):
-    """A ledger in one file, whose values hold line breaks, read in pieces."""
+    """A ledger in files of up to about a million rows, whose values hold line breaks, read in pieces."""
     path = work_dir(spark, "ledger")
+    files = 1 + table(spark, sf, "documents").count() // FILE_ROWS
     more = F.concat(F.lit('\n"again",\n\n'), "file_name")
     noisy = F.when(F.length("original_file_id") % 3 == 0, more).otherwise("")
-    append_ledger(ledger(spark, sf).withColumn("error", F.concat("error", noisy)).coalesce(1), path)
+    # The texts are read by many tasks; only the ledger's rows meet in the one that writes a file.
+    append_ledger(ledger(spark, sf).withColumn("error", F.concat("error", noisy)).repartition(files), path)
     return scan_ledger(spark, path)
 
 

@@ -136,14 +136,28 @@ def streamed_error_windows(spark, sf):
     )
 
 
+# What a task of a stream holds of a log is at most a lot.
+LOT = 1_000_000
+
+
+def line_lots(lines, size=LOT, least=5):
+    """Conditions that cut lines by their numbers into lots of about ``size`` lines, in order; ``least`` or more."""
+    n = max(least, -(-lines.count() // size))
+    ranks = [i / n for i in range(1, n)]
+    # Ranks are right to a ten-thousandth of the lines, or of a lot where there are more.
+    cuts = lines.agg(F.percentile_approx("line_no", ranks, max(10_000, 10 * n))).first()[0] or []
+    cuts = sorted(set(cuts))
+    line = F.col("line_no")
+    lots = [(line > low) & (line <= high) for low, high in zip(cuts, cuts[1:])]
+    return [line <= cuts[0], *lots, line > cuts[-1]] if cuts else [line.isNotNull()]
+
+
 def numbered_lines(spark, sf):
-    """The job logs in five lots, each taken in by a new run of one stream with a state per log."""
+    """The job logs in lots, each taken in by a new run of one stream with a state per log."""
     inbox, out = work_dir(spark, "log-lots"), work_dir(spark, "log-numbered")
     lines = log_lines(spark, sf)
-    size = lines.agg(F.max("line_no")).scalar() / F.lit(5) + 1
-    for lot in range(5):
-        some = lines.where(F.floor(F.col("line_no") / size) == lot)
-        some.write.mode("append").parquet(inbox)
+    for lot in line_lots(lines):
+        lines.where(lot).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(lines.schema).parquet(inbox)
         run_available(number_stream(stream), f"{out}/table", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table")

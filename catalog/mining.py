@@ -84,7 +84,9 @@ where len(w) >= n"""
 def cue_table_sentences(spark, sf):
     """Cues from a table with a phrase of two and one of three words for each document."""
     docs = transcripts(spark, sf)
-    opening = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    # Three words are wanted; the rest of a text is not cut into words.
+    start = F.regexp_extract(F.lower("text"), r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,3}", 0)
+    opening = F.regexp_extract_all(start, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     words = docs.select(F.col("user_folder_id").alias("kind"), opening.alias("words"), F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
     cues = words.where(F.size("words") >= F.col("n")).select("kind", F.array_join(F.slice("words", F.lit(1), F.col("n")), " -- ").alias("phrase"))
     found = cue_extract(transcript_segments(docs), cues)

@@ -7,7 +7,10 @@ from ..functions.text import mentions, paragraphs, sentences, spaced_words, toke
 from ..skew import top_per_key
 
 # A term counts as frequent from this share of all pairs of file and term on.
-FREQUENT = 1 / 10_000
+FREQUENT = 1 / 1_000_000
+
+# So many different marks of phrases are broadcast at most.
+MARKS = 1 << 22
 
 # Cue phrases in plain English; callers bring their own for other languages.
 CUES = {
@@ -50,8 +53,10 @@ def _grams(text: Column, lengths: list[int]) -> Column:
 
     def runs(n: int) -> Column:
         places = F.sequence(F.lit(1), F.size("_words") - n + 1)
-        cut = F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_words", i, n), " ").alias("gram")))
-        return F.when(F.size("_words") >= n, cut).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+        # Texts are told apart by hashing; Spark would compare every struct with every other one.
+        cut = F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("_words", i, n), " ")))
+        named = F.transform(cut, lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram")))
+        return F.when(F.size("_words") >= n, named).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
     return F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
 
@@ -59,8 +64,9 @@ def _grams(text: Column, lengths: list[int]) -> Column:
 def _cue_join(segments: DataFrame, cues: DataFrame, question_mark: str | None, text: str, keys: list[str]) -> DataFrame:
     """Runs of words met with the phrases of the same length, then their segments with the kinds found.
 
-    Only keys and runs of words move, not the segments' texts. Spark broadcasts a short index and shuffles a
-    long one; a run that many segments share is split by its skew join.
+    Only keys and runs of words move, not the segments' texts. Most runs are no phrase: a run whose mark, a hash
+    of at most ``MARKS`` values, no phrase has, stays where it is. Spark broadcasts a short index and shuffles
+    a long one; a run that many segments share is split by its skew join.
     """
     index = phrase_index(cues)
     lengths = sorted(r.n for r in index.select("n").distinct().collect())  # a few numbers
@@ -69,7 +75,10 @@ def _cue_join(segments: DataFrame, cues: DataFrame, question_mark: str | None, t
         found = found.limit(0)
     if lengths:
         words = segments.select(*keys, tokens(F.col(text)).alias("_words"))
+        mark = F.pmod(F.xxhash64("n", "gram"), F.lit(MARKS)).alias("_mark")
+        marks = F.broadcast(index.select(mark).distinct())
         runs = words.select(*keys, F.inline(_grams(F.col("_words"), lengths)))
+        runs = runs.select("*", mark).join(marks, "_mark", "left_semi").drop("_mark")
         found = found.unionByName(runs.join(index, ["n", "gram"]).select(*keys, "kind"))
     kinds = found.distinct().withColumnsRenamed({k: f"_key_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]

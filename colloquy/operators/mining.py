@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions, paragraphs, sentences, spaced_words, tokens
-from ..skew import top_per_key
+from ..skew import computed_once, top_per_key
 
 # A term counts as frequent from this share of all pairs of file and term on.
 FREQUENT = 1 / 1_000_000
@@ -58,7 +58,7 @@ def _grams(text: Column, lengths: list[int]) -> Column:
         named = F.transform(cut, lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram")))
         return F.when(F.size("_words") >= n, named).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
-    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
+    return F.flatten(F.array(*[runs(n) for n in lengths]))
 
 
 def _cue_join(segments: DataFrame, cues: DataFrame, question_mark: str | None, text: str, keys: list[str]) -> DataFrame:
@@ -105,10 +105,54 @@ def cue_extract(
     return spaced.withColumn("kind", F.explode(kinds)).drop("_words")
 
 
+def _file_terms(df: DataFrame, words, entry, term=lambda w: w) -> DataFrame:
+    """``file_id, terms``: a row per file, also if it has no words.
+
+    ``words`` gives the array of a text's words, ``term`` what of a word has to be equal, and ``entry`` what is
+    kept of the words from one place up to another, all equal. A file's words are sorted inside its row, so there
+    is no table of all words to aggregate, which would be sorted and spilled.
+    """
+    texts = df.groupBy("file_id").agg(F.collect_list("text").alias("_texts"))
+    ordered = computed_once(texts, ["file_id"], {"_words": F.array_sort(F.flatten(F.transform("_texts", words)))})
+    n = F.size("_words")
+
+    def begins(i: Column) -> Column:
+        return (i == 0) | (term(F.get("_words", i)) != term(F.get("_words", i - 1)))
+
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), begins)).otherwise(F.array().cast("array<int>"))
+    cut = computed_once(ordered, ["file_id", "_words"], {"_starts": starts})
+    terms = F.transform("_starts", lambda i, k: entry(i, F.coalesce(F.get("_starts", k + 1), n)))
+    return computed_once(cut, ["file_id"], {"terms": terms})
+
+
+def counted_file_terms(df: DataFrame) -> DataFrame:
+    """``file_id, terms``: how often each term occurs in each file, as ``term, tf``."""
+
+    def entry(start: Column, end: Column) -> Column:
+        return F.struct(F.get("_words", start).alias("term"), (end - start).cast("long").alias("tf"))
+
+    return _file_terms(df, tokens, entry)
+
+
 def document_terms(df: DataFrame) -> DataFrame:
     """How often each term occurs in each file: ``file_id, term, tf``."""
-    words = df.select("file_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return words.groupBy("file_id", "term").agg(F.count("*").alias("tf"))
+    return counted_file_terms(df).select("file_id", F.inline("terms"))
+
+
+def _placed_terms(df: DataFrame) -> DataFrame:
+    """In which sentences each term of a file is, a place per occurrence: ``file_id, term, places``."""
+
+    def words(text: Column) -> Column:
+        def placed(found: Column, i: Column) -> Column:
+            return F.transform(found, lambda w: F.struct(w.alias("term"), (i + 1).alias("pos")))
+
+        return F.flatten(F.transform(F.transform(sentences(text), tokens), placed))
+
+    def entry(start: Column, end: Column) -> Column:
+        places = F.transform(F.slice("_words", start + 1, end - start), lambda w: w["pos"])
+        return F.struct(F.get("_words", start)["term"].alias("term"), places.alias("places"))
+
+    return _file_terms(df, words, entry, lambda w: w["term"]).select("file_id", F.inline("terms"))
 
 
 def document_frequency(df: DataFrame) -> DataFrame:
@@ -117,7 +161,8 @@ def document_frequency(df: DataFrame) -> DataFrame:
     Repeats inside a file go before the count, so no (file, term) shuffle is needed.
     """
     words = df.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df"))
+    # A join asks for terms that are not null; asked here, all readers share one shuffle.
+    return words.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def _by_file(df: DataFrame) -> DataFrame:
@@ -138,7 +183,7 @@ def weighted_terms(terms: DataFrame, frequency: DataFrame, files: Column) -> Dat
     """Adds ``idf`` to rows with a ``term``, from a table of ``term, df``.
 
     A frequent term has a row in a large share of the files. Terms with more than a
-    ten-thousandth of all rows are at most ten thousand, however much text there is: their
+    millionth of all rows are at most a million, however much text there is: their
     weights are broadcast, and their rows stay where they are. Only rows of the rare terms,
     none of which can be hot, are moved to meet their weights.
     """
@@ -171,11 +216,7 @@ def extractive_summary(df: DataFrame, k: int) -> DataFrame:
     with the terms. A file without words gives no rows.
     """
     texts = _by_file(df)
-    numbered = texts.select(
-        "file_id", F.posexplode(F.transform(sentences(F.col("text")), tokens)).alias("pos", "words")
-    )
-    words = numbered.select("file_id", (F.col("pos") + 1).alias("pos"), F.explode("words").alias("term"))
-    places = words.groupBy("file_id", "term").agg(F.collect_list("pos").alias("places"))
+    places = _placed_terms(texts)
     weight = F.size("places") * F.col("idf")
     scores = (
         with_idf(places, texts, df.agg(F.count("*")).scalar())
@@ -189,13 +230,15 @@ def extractive_summary(df: DataFrame, k: int) -> DataFrame:
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("chosen"))
     )
-    # The same texts, moved the same way: Spark takes them from the first shuffle.
-    found = chosen.join(texts, "file_id").withColumn("_s", sentences(F.col("text")))
+    # The same texts, moved the same way: Spark takes them from the first shuffle. An inner join would first
+    # filter them, and so move them again; files without a choice give no rows anyway.
+    found = texts.join(chosen, "file_id", "left")
+    cut = computed_once(found, ["file_id", "chosen"], {"_s": F.when(F.col("chosen").isNotNull(), sentences(F.col("text")))})
     picked = F.transform(
         "chosen",
-        lambda c: F.struct(c["pos"], c["score"], F.col("_s")[c["pos"] - 1].alias("segment")),
+        lambda c: F.struct(c["pos"], c["score"], F.get("_s", c["pos"] - 1).alias("segment")),
     )
-    return found.select("file_id", F.inline(picked))
+    return cut.select("file_id", F.inline(picked))
 
 
 def assistant_mentions(df: DataFrame, name: str) -> DataFrame:

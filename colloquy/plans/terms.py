@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
-from ..operators.mining import weighted_terms
+from ..operators.mining import counted_file_terms, weighted_terms
 from ..skew import top_per_key
 from ..sources.published import Attempt, read_published
 
@@ -27,15 +26,7 @@ DELTAS = T.StructType([T.StructField("term", T.StringType()), T.StructField("del
 
 def counted_terms(texts: DataFrame) -> DataFrame:
     """``file_id, terms``: how often each term occurs in each file, a row per file."""
-    each = texts.select("file_id", "text").repartition("file_id")
-    words = each.select("file_id", F.explode_outer(tokens(F.col("text"))).alias("term"))
-    counts = words.groupBy("file_id", "term").agg(F.count("*").alias("tf"))
-    pair = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    return counts.groupBy("file_id").agg(F.collect_list(pair).alias("terms"))
-
-
-def _latest(stored: DataFrame) -> DataFrame:
-    return stored.groupBy("file_id").agg(F.max_by("terms", "batch").alias("terms"))
+    return counted_file_terms(texts.select("file_id", "text").repartition("file_id"))
 
 
 def update_terms(spark: SparkSession, texts: DataFrame, out: str, batch: str) -> None:
@@ -47,14 +38,17 @@ def update_terms(spark: SparkSession, texts: DataFrame, out: str, batch: str) ->
     attempt = Attempt(spark, out, batch)
     counted_terms(texts).write.parquet(attempt.folder("terms"))
     new = spark.read.schema(T.StructType(TERMS.fields[:2])).parquet(attempt.folder("terms"))
-    before = read_published(spark, out, "terms", TERMS).join(new.select("file_id"), "file_id", "left_semi")
-    old = _latest(before)
+    # Of the old files only the names of their terms are moved.
+    names = F.transform("terms", lambda t: t["term"]).alias("names")
+    before = read_published(spark, out, "terms", TERMS).select("file_id", "batch", names)
+    replaced = before.join(new.select("file_id"), "file_id", "left_semi")
+    old = replaced.groupBy("file_id").agg(F.max_by("names", "batch").alias("names"))
 
     def change(files: DataFrame, by: int) -> DataFrame:
-        terms = F.concat(F.transform("terms", lambda t: t["term"]), F.array(F.lit(None).cast("string")))
+        terms = F.concat("names", F.array(F.lit(None).cast("string")))
         return files.select(F.explode(terms).alias("term"), F.lit(by).cast("long").alias("delta"))
 
-    both = change(new, 1).union(change(old, -1)).groupBy("term").agg(F.sum("delta").alias("delta"))
+    both = change(new.select(names), 1).union(change(old, -1)).groupBy("term").agg(F.sum("delta").alias("delta"))
     both.where(F.col("delta") != 0).write.parquet(attempt.folder("frequencies"))
     attempt.publish()
 
@@ -67,11 +61,18 @@ def stored_frequency(spark: SparkSession, out: str) -> tuple[DataFrame, DataFram
 
 
 def stored_key_terms(spark: SparkSession, out: str, k: int) -> DataFrame:
-    """``key_terms`` of all files as they are now, from the stored terms: no text is read."""
-    latest = _latest(read_published(spark, out, "terms", TERMS))
-    terms = latest.select("file_id", F.inline("terms"))
+    """``key_terms`` of all files as they are now, from the stored terms: no text is read.
+
+    Every stored text is cut to its k terms first, so that what tells the latest one from those it has
+    replaced moves k rows a text and not all of its terms.
+    """
+    stored = read_published(spark, out, "terms", TERMS)
+    latest = stored.groupBy("file_id").agg(F.max("batch").alias("batch"))
+    terms = stored.select("file_id", "batch", F.inline("terms"))
     frequency, files = stored_frequency(spark, out)
     scored = weighted_terms(terms, frequency, files.scalar()).select(
-        "file_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
+        "file_id", "batch", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score")
     )
-    return top_per_key(scored, ["file_id"], [F.desc("score"), F.asc("term")], k, "rank")
+    top = top_per_key(scored, ["file_id", "batch"], [F.desc("score"), F.asc("term")], k, "rank").alias("t")
+    same = F.col("t.file_id").eqNullSafe(F.col("l.file_id")) & (F.col("t.batch") == F.col("l.batch"))
+    return top.join(latest.alias("l"), same, "left_semi").drop("batch")

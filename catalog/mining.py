@@ -14,6 +14,7 @@ from colloquy.operators import (
 )
 
 from colloquy.plans import stored_key_terms, update_terms
+from colloquy.skew import computed_once
 
 from .registry import ORACLE, SENTENCES, query, transcripts, turns
 
@@ -84,10 +85,12 @@ where len(w) >= n"""
 def cue_table_sentences(spark, sf):
     """Cues from a table with a phrase of two and one of three words for each document."""
     docs = transcripts(spark, sf)
-    # Three words are wanted; the rest of a text is not cut into words.
-    start = F.regexp_extract(F.lower("text"), r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,3}", 0)
-    opening = F.regexp_extract_all(start, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    words = docs.select(F.col("user_folder_id").alias("kind"), opening.alias("words"), F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
+    # Three words are wanted; the rest of a text is not read. The fourth word is there as some letters are
+    # lowered by what follows them.
+    start = F.regexp_extract("text", r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,4}", 0)
+    opening = F.slice(F.regexp_extract_all(F.lower(start), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 3)
+    begun = computed_once(docs.select(F.col("user_folder_id").alias("kind"), "text"), ["kind"], {"words": opening})
+    words = begun.select("kind", "words", F.explode(F.array(F.lit(2), F.lit(3))).alias("n"))
     cues = words.where(F.size("words") >= F.col("n")).select("kind", F.array_join(F.slice("words", F.lit(1), F.col("n")), " -- ").alias("phrase"))
     found = cue_extract(transcript_segments(docs), cues)
     return found.select("file_id", "pos", "kind", F.md5("segment").alias("segment_md5"))

@@ -1,6 +1,6 @@
 """Sentences, terms and cues of transcripts."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions, paragraphs, sentences, spaced_words, tokens
@@ -9,8 +9,17 @@ from ..skew import computed_once, top_per_key
 # A term counts as frequent from this share of all pairs of file and term on.
 FREQUENT = 1 / 1_000_000
 
-# So many different marks of phrases are broadcast at most.
-MARKS = 1 << 22
+# So many phrases of a cue table are broadcast at most, those that stand in the most places.
+COMMON = 500_000
+
+# Places of phrases are counted in one of so many segments, to tell which phrases are common.
+COUNTED = 16
+
+# So many numbers with marks of phrases in their 64 bits are broadcast at most; a power of two.
+MARKS = 1 << 20
+
+# Stands for the question mark at the end of a segment; no run of words is equal to it.
+ASKED = "?"
 
 # Cue phrases in plain English; callers bring their own for other languages.
 CUES = {
@@ -48,41 +57,106 @@ def phrase_index(cues: DataFrame) -> DataFrame:
     return words.select("kind", F.size("words").alias("n"), F.array_join("words", " ").alias("gram")).distinct()
 
 
-def _grams(text: Column, lengths: list[int]) -> Column:
-    """Distinct runs of so many words of a text, as ``n, gram``."""
+def _starts(text: Column, least: int, most: int) -> Column:
+    """From each word of a text on the run of ``most`` words, or of as many as there are, ``least`` at least;
+    ``ASKED`` if the text ends with a question mark."""
+    run = rf"(?<= )(?=([^ ]++(?: [^ ]++){{{least - 1},{most - 1}}}+))"
+    asked = F.when(F.endswith(text, F.lit("?")), F.array(F.lit(ASKED))).otherwise(F.array().cast("array<string>"))
+    return F.concat(asked, F.regexp_extract_all(spaced_words(text), F.lit(run), F.lit(1)))
+
+
+def _runs(segments: DataFrame, lengths: list[int], text: str, keys: list[str]) -> DataFrame:
+    """Runs of words of these lengths: ``_key, gram``. Where a text ends sooner, a shorter run is there again."""
+    starts = _starts(F.col(text), min(lengths), max(lengths))
+    begun = segments.select(F.struct(*keys).alias("_key"), F.explode(starts).alias("_start"))
+    cut = [F.substring_index("_start", " ", n) for n in lengths]
+    return begun.select("_key", F.explode(F.array(*cut)).alias("gram"))
+
+
+def _bit(place: Column) -> Column:
+    """A number with one bit, the one that the last six of ``place`` name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
-    def runs(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.size("_words") - n + 1)
-        # Texts are told apart by hashing; Spark would compare every struct with every other one.
-        cut = F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("_words", i, n), " ")))
-        named = F.transform(cut, lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram")))
-        return F.when(F.size("_words") >= n, named).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
-    return F.flatten(F.array(*[runs(n) for n in lengths]))
+def _marked(runs: DataFrame, phrases: DataFrame, also: str = "false") -> DataFrame:
+    """Runs of words (``gram``) whose mark one of the phrases has, and those of which ``also`` holds.
+
+    A mark is two bits of one of ``MARKS`` numbers, which are broadcast. Other runs may have it as well.
+    """
+    place = F.xxhash64("gram")
+    number = place.bitwiseAND(MARKS - 1).alias("_number")
+    mark = _bit(F.shiftrightunsigned(place, 58)).bitwiseOR(_bit(F.shiftrightunsigned(place, 52)))
+    known = phrases.select(number, mark.alias("_mark")).groupBy("_number").agg(F.bit_or("_mark").alias("_marks"))
+    met = runs.select("*", number).join(F.broadcast(known), "_number", "left")
+    return met.where(F.expr(also) | (F.col("_marks").bitwiseAND(mark) == mark)).select(*runs.columns)
+
+
+def _by_places(runs: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The phrases that stand in the most places, ``COMMON`` at most, and all others.
+
+    Places are counted in one in ``COUNTED`` keys. That says which phrases are broadcast, not what is found.
+    """
+    some = runs.where(F.pmod(F.xxhash64("_key"), F.lit(COUNTED)) == 0).select("gram")
+    places = _marked(some, masks).groupBy("gram").agg(F.count("*").alias("_places"))
+    weighed = masks.join(places, "gram", "left").withColumn("_places", F.coalesce("_places", F.lit(0)))
+    # A row per number of places, from the highest on.
+    so_far = F.sum("_rows").over(Window.orderBy(F.desc("_places"))).alias("_so_far")
+    levels = weighed.groupBy("_places").agg(F.count("*").alias("_rows")).select("_places", so_far)
+    least = levels.where(F.col("_so_far") <= COMMON).agg(F.min("_places")).scalar()
+    common = F.coalesce(F.col("_places") >= least, F.lit(False))
+    return weighed.where(common).select(*masks.columns), weighed.where(~common).select(*masks.columns)
+
+
+def _found(runs: DataFrame, masks: DataFrame) -> DataFrame:
+    """``runs`` met with so many phrases that not all are broadcast: ``_key, _block, _mask``.
+
+    Runs of common phrases stay where they are, a row per key moves. Of all others those move whose mark a phrase
+    has. Both leave the same shuffle, so that runs are made once for them.
+    """
+    common, rare = _by_places(runs, masks)
+    met = _marked(runs.join(F.broadcast(common), "gram", "left"), masks, "_mask is not null")
+    moved = met.groupBy("_key", "_block", F.when(F.col("_mask").isNull(), F.col("gram")).alias("gram"))
+    moved = moved.agg(F.bit_or("_mask").alias("_mask"))
+    moved = computed_once(moved, ["_key"], {c: F.col(c) for c in ("_block", "_mask", "gram")})
+    rare = rare.select("gram", F.col("_block").alias("_b"), F.col("_mask").alias("_m"))
+    named = ["_key", F.coalesce("_block", "_b").alias("_block"), F.coalesce("_mask", "_m").alias("_mask")]
+    here = moved.where(F.col("gram").isNull()).select("_key", "_block", "_mask")
+    # Moved by key alone, as the segments will be.
+    return here.unionByName(moved.join(rare, "gram").select(*named)).repartition("_key")
 
 
 def _cue_join(segments: DataFrame, cues: DataFrame, question_mark: str | None, text: str, keys: list[str]) -> DataFrame:
-    """Runs of words met with the phrases of the same length, then their segments with the kinds found.
+    """Runs of words met with the phrases, then their segments with the kinds found.
 
-    Only keys and runs of words move, not the segments' texts. Most runs are no phrase: a run whose mark, a hash
-    of at most ``MARKS`` values, no phrase has, stays where it is. Spark broadcasts a short index and shuffles
-    a long one; a run that many segments share is split by its skew join.
+    What is found in a segment is a bit per kind, in numbers of 64 bits (``_mask``, the ``_block``-th one): a row or
+    a few, however many phrases and kinds there are. Keys, these numbers and runs that may be a rare phrase move;
+    the segments' texts move once, to meet what was found.
     """
-    index = phrase_index(cues)
-    lengths = sorted(r.n for r in index.select("n").distinct().collect())  # a few numbers
-    found = segments.select(*keys, F.lit(question_mark).alias("kind")).where(F.endswith(F.col(text), F.lit("?")))
-    if question_mark is None:
-        found = found.limit(0)
-    if lengths:
-        words = segments.select(*keys, tokens(F.col(text)).alias("_words"))
-        mark = F.pmod(F.xxhash64("n", "gram"), F.lit(MARKS)).alias("_mark")
-        marks = F.broadcast(index.select(mark).distinct())
-        runs = words.select(*keys, F.inline(_grams(F.col("_words"), lengths)))
-        runs = runs.select("*", mark).join(marks, "_mark", "left_semi").drop("_mark")
-        found = found.unionByName(runs.join(index, ["n", "gram"]).select(*keys, "kind"))
-    kinds = found.distinct().withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return segments.join(kinds, same).select(*segments.columns, "kind")
+    index = phrase_index(cues).where(F.col("gram").isNotNull())
+    lengths = index.groupBy("n").count().collect()  # a few numbers
+    phrases = index.select("kind", "gram")
+    if question_mark is not None:
+        asked = segments.sparkSession.range(0, 1, 1, 1).select(F.lit(question_mark).alias("kind"), F.lit(ASKED).alias("gram"))
+        phrases = phrases.unionByName(asked)
+
+    place = F.row_number().over(Window.orderBy("kind")) - 1
+    kinds = phrases.select("kind").distinct().select(F.col("kind").alias("_kind"), place.alias("_place"))
+    kinds = kinds.select("_kind", F.expr("int(_place div 64)").alias("_block"), F.expr("int(_place % 64)").alias("_bit"))
+    masks = phrases.join(F.broadcast(kinds), F.col("kind").eqNullSafe(F.col("_kind"))).groupBy("gram", "_block")
+    masks = masks.agg(F.bit_or(_bit(F.col("_bit"))).alias("_mask"))
+
+    runs = _runs(segments, sorted(r.n for r in lengths) or [1], text, keys)
+    few = sum(r["count"] for r in lengths) < COMMON
+    found = runs.join(F.broadcast(masks), "gram") if few else _found(runs, masks)
+    found = found.groupBy("_key", "_block").agg(F.bit_or("_mask").alias("_mask"))
+
+    # A struct of the keys equals another with nulls in the same places, so no row is lost.
+    whole = segments.select(F.struct(*keys).alias("_key"), *[c for c in segments.columns if c not in keys])
+    named = kinds.groupBy("_block").agg(F.collect_list(F.struct("_bit", "_kind")).alias("_kinds"))
+    told = whole.join(found, "_key").join(F.broadcast(named), "_block")
+    own = F.filter("_kinds", lambda k: F.getbit(F.col("_mask"), k["_bit"]) == 1)
+    columns = [F.col("_key")[c].alias(c) if c in keys else F.col(c) for c in segments.columns]
+    return told.select(*columns, F.explode(F.transform(own, lambda k: k["_kind"])).alias("kind"))
 
 
 def cue_extract(

@@ -1,8 +1,12 @@
 """What mining makes and moves on its way to the results."""
 
+import random
+import re
 import time
 
-from colloquy.operators import cue_extract
+import pytest
+
+from colloquy.operators import cue_extract, mining
 from colloquy.operators.mining import document_terms
 from colloquy.plans import stored_key_terms, update_terms
 
@@ -37,3 +41,62 @@ def test_replaced_texts_are_cut_before_the_latest_is_chosen(spark, tmp_path):
     rows = stored_key_terms(spark, out, 2)
     assert [(r.file_id, r.term, r.score, r["rank"]) for r in rows.collect()] == [("1", "d", 0.693147, 1)]
     assert "max_by" not in _spy(rows)
+
+
+def _cues_by_hand(rows, phrases, mark):
+    """``file_id, pos, segment, kind`` by plain loops; kinds of one key are told of all its segments."""
+    found = {}
+    for file_id, pos, text in rows:
+        spaced = f" {' '.join(re.findall(r'[a-z0-9]+', (text or '').lower()))} "
+        kinds = {kind for kind, phrase in phrases if f" {phrase} " in spaced}
+        found.setdefault((file_id, pos), set()).update(kinds | ({mark} if mark and (text or "").endswith("?") else set()))
+    return sorted(str((*row, kind)) for row in rows for kind in found[row[:2]])
+
+
+@pytest.mark.parametrize("common, counted", [(0, 16), (1, 1), (40, 1), (40, 1000), (500_000, 16)])
+def test_however_many_phrases_are_common_all_are_found(spark, monkeypatch, common, counted):
+    # 150 kinds are three numbers of bits; with 64 marks nearly every run has one that a phrase has
+    monkeypatch.setattr(mining, "COMMON", common)
+    monkeypatch.setattr(mining, "COUNTED", counted)
+    monkeypatch.setattr(mining, "MARKS", 64)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(f"f{i % 7}", i, " ".join(rng.choices(words, k=rng.randrange(9))) + rng.choice(["", ".", "?"])) for i in range(200)]
+    rows += [("f0", 0, "w1 w2"), ("f0", 0, "w1 w2"), ("f0", 0, None), (None, 1, "w3 w4"), (None, None, "w5 w6 w7?"), ("f", None, "w3 w4")]
+    phrases = [(f"k{rng.randrange(150)}", " ".join(rng.choices(words, k=rng.choice([1, 2, 3])))) for _ in range(600)]
+    phrases += [(None, "w3 w4"), ("none", "w99"), ("asked", "w5")]
+    segments = spark.createDataFrame(rows, "file_id string, pos int, segment string")
+    table = spark.createDataFrame(phrases, "kind string, phrase string")
+    for mark in ("asked", None):
+        got = cue_extract(segments, table, question_mark=mark)
+        assert sorted(str(tuple(r)) for r in got.collect()) == _cues_by_hand(rows, phrases, mark)
+
+
+def _written(df):
+    """Rows that each shuffle of a query wrote."""
+    def numbers(node):
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            yield node.metrics().apply("shuffleRecordsWritten").value()
+        if name == "AdaptiveSparkPlanExec":
+            yield from numbers(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from numbers(node.plan())
+        else:
+            for i in range(node.children().size()):
+                yield from numbers(node.children().apply(i))
+
+    df.collect()
+    return list(numbers(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("common", [100, 500_000])
+def test_found_kinds_and_common_runs_do_not_move_as_rows(spark, monkeypatch, common):
+    # 2,000 segments of ten words, in each of them all 60 kinds: 120,000 rows come out
+    monkeypatch.setattr(mining, "COMMON", common, raising=False)
+    segments = spark.range(2000).selectExpr("string(id) as file_id", "1 as pos", "'a b c d e f g h i j' as segment").cache()
+    often = [(f"k{i}", " ".join("abcdefghij"[i % 9 : i % 9 + 2])) for i in range(60)]
+    rare = [(f"k{i % 60}", f"x{i} y{i}") for i in range(500)]
+    found = cue_extract(segments, spark.createDataFrame(often + rare, "kind string, phrase string"), question_mark=None)
+    written = _written(found)
+    assert found.count() == 120_000 and written and max(written) <= 2000
